@@ -1,10 +1,12 @@
 """The document queries by name, with oracle text where SQL can express them."""
 
-from fluxgrid.llm import langid, quality, secrets
+from fluxgrid.llm import langid, lm, quality, secrets, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_language_id": langid.op5_language_id,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
