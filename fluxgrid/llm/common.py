@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,6 @@ SPACE = b" \t\n\x0b\x0c\r"
 #: Rows a Python worker gets at once; whole texts can be long.
 BATCH_ROWS = 512
 
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read through Spark so that any file system works."""
@@ -102,4 +103,37 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     return vertices.select("v").distinct().join(roots, F.col("v") == F.col("a"), "left").select("v", F.coalesce("root", "v").alias("component"))
 
 
-DISK = StorageLevel.DISK_ONLY
+class Scratch:
+    """Written tables that cut lineage, in the folder of spark.checkpoint.dir, which driver and executors share."""
+
+    def __init__(self, spark: SparkSession):
+        prepare(spark)
+        self.spark = spark
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        _ROOTS.append(weakref.ref(spark)), _PATHS.append(self.root)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df and reads it again; a lost executor costs a reread."""
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for n in names:
+            _delete(self.spark, f"{self.root}/{n}")
+
+
+_ROOTS: list = []
+_PATHS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in zip(_ROOTS, _PATHS):
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark(), path)

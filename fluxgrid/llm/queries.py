@@ -1,8 +1,9 @@
 """The document queries by name, with oracle text where SQL can express them."""
 
-from fluxgrid.llm import langid, lm, quality, secrets, toxicity
+from fluxgrid.llm import langid, lm, quality, secrets, substrings, toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_language_id": langid.op5_language_id,
     "op8_lm_scoring": lm.op8_lm_scoring,
