@@ -1,13 +1,15 @@
 """The document queries by name, with oracle text where SQL can express them."""
 
-from fluxgrid.llm import langid, lm, quality, secrets, substrings, toxicity
+from fluxgrid.llm import chunks, langid, lm, mixing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_language_id": langid.op5_language_id,
+    "op6_chunk_dedup": chunks.op6_chunk_dedup,
+    "op7_mix_sources": mixing.op7_mix_sources,
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_mix_sources": mixing.OP7_SQL}
