@@ -1,10 +1,11 @@
 """The document queries by name, with oracle text where SQL can express them."""
 
-from fluxgrid.llm import chunks, jaccard, langid, lm, mixing, quality, secrets, substrings, toxicity
+from fluxgrid.llm import chunks, decontaminate, jaccard, langid, lm, mixing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_language_id": langid.op5_language_id,
     "op6_chunk_dedup": chunks.op6_chunk_dedup,
