@@ -76,6 +76,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pieces(raw: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of bounded size, each with the index of its first."""
+    at, size = 0, 0
+    for i, b in enumerate(raw):
+        size += len(b)
+        if size >= most:
+            yield at, raw[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(raw):
+        yield at, raw[at:]
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts, A-Z in lower case, and the number of words of each text; all texts at once."""
+    b = np.frombuffer(b"\n".join(raw).lower() + b"\n", np.uint8)
+    inside = ~GAPS[b]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+    length = np.diff(np.concatenate([first, [len(at)]]))
+    place = np.arange(len(at)) - np.repeat(first, length)
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
+    h = np.add.reduceat((b[at].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    upto = np.searchsorted(at[first], ends)
+    return mix64(h + length.astype(np.uint64)), np.diff(np.concatenate([[0], upto]))
+
+
+GAPS = np.isin(np.arange(256), list(SPACE))
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, component) for each v of `vertices`; component is the smallest id reachable over edges (a, b).
 

@@ -33,34 +33,35 @@ from fluxgrid.llm import common
 MAX_FREQUENT, LOCAL_SHARE = 50_000, 0.002
 #: Sets of a group that one task compares.
 BLOCK = 2048
-_WORDS: dict[bytes, int] = {}
+#: Bits of a bitmap, at least and at most.
+BITS = (64, 1024)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; the usual ones are remembered."""
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
+def shingles(raw: list[bytes], n: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text."""
     out = []
-    for w in words:
-        h = _WORDS.get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def shingles(raw: bytes, n: int) -> np.ndarray:
-    """Sorted distinct n-gram hashes of a text."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
-    k = min(n, len(h))
-    x = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
-        x ^= x >> np.uint64(29)
-    return np.unique(common.mix64(x))
+    for _, part in common.pieces(raw):
+        h, per = common.word_hashes(part)
+        x = np.full(len(h), n, np.uint64)
+        for i in range(n):
+            x = x * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([h[i:], np.zeros(min(i, len(h)), np.uint64)])
+            x ^= x >> np.uint64(29)
+        x = common.mix64(x)
+        at = 0
+        for k in per.tolist():
+            if k >= n:
+                s = np.sort(x[at : at + k - n + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            elif k:  # fewer words than n: the whole sequence
+                whole = np.uint64(k)
+                for w in h[at : at + k]:
+                    whole = np.uint64((int(whole) * 0x9E3779B97F4A7C15 + int(w)) & 0xFFFFFFFFFFFFFFFF)
+                    whole ^= whole >> np.uint64(29)
+                out.append(common.mix64(np.array([whole])))
+            else:
+                out.append(np.zeros(0, np.uint64))
+            at += k
+    return out
 
 
 def ordered(s: np.ndarray, rank: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -81,7 +82,7 @@ def prefix_length(n: int, t: float) -> int:
 
 def bitmap(s: np.ndarray) -> bytes:
     """Parity bitmap with about as many bits as s has members; the bits in which two differ are a lower bound of the members not shared."""
-    m = min(max(64, 1 << max(len(s) - 1, 1).bit_length()), 4096)
+    m = min(max(BITS[0], 1 << max(len(s) - 1, 1).bit_length()), BITS[1])
     bits = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -155,11 +156,45 @@ def _bitmaps(raw: list[bytes]) -> tuple[dict[int, np.ndarray], np.ndarray]:
     return maps, size
 
 
+def _small_forest(sid: list[int], n: list[int], pos: list[int], raw: list[bytes], t: float) -> Iterator[tuple[int, int]]:
+    """The spanning forest of a small group; plain integers are quicker here."""
+    p = round(100 * t)
+    left = sorted(range(len(sid)), key=sid.__getitem__)
+    maps: dict[tuple[int, int], int] = {}
+
+    def bits(i: int, size: int) -> int:
+        if (i, size) not in maps:
+            x, m = int.from_bytes(raw[i], "little"), 8 * len(raw[i])
+            while m > size:
+                m //= 2
+                x = (x >> m) ^ (x & ((1 << m) - 1))
+            maps[i, size] = x
+        return maps[i, size]
+
+    while left:
+        queue, left = [left[0]], left[1:]
+        while queue and left:
+            i, stay = queue.pop(), []
+            for j in left:
+                need = -(-p * (n[i] + n[j]) // (100 + p))
+                if min(n[i], n[j]) >= need and 1 + min(n[i] - pos[i], n[j] - pos[j]) + min(pos[i], pos[j]) >= need:
+                    size = 8 * min(len(raw[i]), len(raw[j]))
+                    if (bits(i, size) ^ bits(j, size)).bit_count() <= n[i] + n[j] - 2 * need:
+                        yield sid[i], sid[j]
+                        queue.append(j)
+                        continue
+                stay.append(j)
+            left = stay
+
+
 def group_pairs(sid: np.ndarray, n: np.ndarray, pos: np.ndarray, raw: list[bytes], label: np.ndarray, side: np.ndarray, t: float, per_pair: int) -> Iterator[tuple[int, int]]:
     """Pairs of a group to check. per_pair 0: a spanning forest of all that may be similar; k: k pairs between any two labels at most; -1: all pairs between labels.
 
     side tells apart the two blocks of a pair of blocks (0 and 1; 2 is one block, compared within).
     """
+    if per_pair == 0 and len(sid) <= 12:
+        yield from _small_forest(sid.tolist(), n.tolist(), pos.tolist(), raw, t)
+        return
     maps, size = _bitmaps(raw)
     order = np.argsort(sid)
     if per_pair == 0:
@@ -197,9 +232,9 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["key", "n"])
 
         for batch in batches:
-            for raw in common.as_bytes(batch.column("text")):
-                held.append(shingles(raw, n))
-                total += len(held[-1])
+            for own in shingles(common.as_bytes(batch.column("text")), n):
+                held.append(own)
+                total += len(own)
                 rows += 1
                 if total > 6_000_000:
                     yield out()
@@ -246,30 +281,36 @@ def _check(edges: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, t: float, per_pair: int) -> DataFrame:
-    """Edges to check from rows(part, token, sid, n, pos, bits, label, side); a part of a token's group is compared as one."""
+    """(token, a, b) to check from rows(part, token, sid, n, pos, bits, label, side); a part of a token's group is compared as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
+        found: list[tuple[int, int, int]] = []
 
-        def out() -> pa.RecordBatch:
-            found: set[tuple[int, int]] = set()
+        def compare() -> None:
             if len(held) > 1:
                 sid, n, pos, raw, label, side = zip(*held)
-                found.update((min(p), max(p)) for p in group_pairs(np.array(sid), np.array(n), np.array(pos), list(raw), np.array(label), np.array(side), t, per_pair))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+                pairs = group_pairs(np.array(sid), np.array(n), np.array(pos), list(raw), np.array(label), np.array(side), t, per_pair)
+                found.extend((key[0], min(p), max(p)) for p in pairs)
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*found)) or [[]] * 3
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["token", "a", "b"])
 
         for batch in batches:
             for token, part, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "part", "sid", "n", "pos", "bits", "label", "side"))):
                 if (token, part) != key:
-                    if held:
+                    compare()
+                    if len(found) > 10_000:
                         yield out()
                     key, held = (token, part), []
                 held.append(row)
-        if held:
-            yield out()
+        compare()
+        yield out()
 
     dealt = rows.repartition("token", "part").sortWithinPartitions("token", "part", "sid")
-    return common.map_rows(dealt.select("token", "part", "sid", "n", "pos", "bits", "label", "side"), run, "a long, b long").distinct()
+    return common.map_rows(dealt.select("token", "part", "sid", "n", "pos", "bits", "label", "side"), run, "token long, a long, b long")
 
 
 def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -279,59 +320,71 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
     """
     scratch = common.Scratch(docs.sparkSession)
     rank = _frequent(docs, n)
+    docs = docs.withColumn("rid", F.xxhash64("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for rid, raw in zip(batch.column("rid").to_pylist(), common.as_bytes(batch.column("text"))):
-                s = shingles(raw, n)
+            for s in shingles(common.as_bytes(batch.column("text")), n):
                 sid = int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True)
                 known = not len(s) or sid in seen
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(sid)
                 first = None if known else ordered(s, rank)[: prefix_length(len(s), t)].view(np.int64)
-                rows.append((len(s), sid, rid, first, None if known else bitmap(s)))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], ["doc_id", "n", "sid", "rid", "first", "bits"])
+                rows.append((len(s), sid, first, None if known else bitmap(s)))
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], ["doc_id", "rid", "n", "sid", "first", "bits"])
 
-    all_sets = scratch.put(common.map_rows(docs.select("doc_id", "text").withColumn("rid", F.xxhash64("text")), make, "doc_id long, n long, sid long, rid long, first array<long>, bits binary"), "sets")
+    all_sets = scratch.put(common.map_rows(docs.select("doc_id", "rid", "text"), make, "doc_id long, rid long, n long, sid long, first array<long>, bits binary"), "sets")
     rows = all_sets.where("first is not null").select("sid", "n", F.posexplode("first").alias("pos", "token"))
     often = rows.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("token")
-    shared = rows.join(often, "token").distinct()
+    by_size = Window.partitionBy("token").orderBy("n", "sid")
+    p = round(100 * t)
+    shared = rows.join(often, "token").distinct().withColumns({"below": F.lag("n").over(by_size), "above": F.lead("n").over(by_size)})
+    shared = shared.where(f"100 * below >= {p} * n or 100 * n >= {p} * above").drop("below", "above")  # a partner has to be of about that size
+    shared = scratch.put(shared.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("token")) / block).cast("int")), "shared")
     bits = all_sets.where("bits is not null").groupBy("sid").agg(F.first("bits").alias("bits"))
-    shared = scratch.put(shared.join(bits, "sid"), "shared")
-    needed = shared.select("sid").distinct().join(all_sets.where("bits is not null").groupBy("sid").agg(F.min("rid").alias("rid")), "sid")
 
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [ordered(shingles(raw, n), rank).tobytes() for raw in common.as_bytes(batch.column("text"))]
+            made = [ordered(s, rank).tobytes() for s in shingles(common.as_bytes(batch.column("text")), n)]
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(made, pa.binary())], ["sid", "members"])
 
-    texts = docs.withColumn("rid", F.xxhash64("text")).groupBy("rid").agg(F.first("text").alias("text"))
-    sets = scratch.put(common.map_rows(texts.join(needed, "rid").select("sid", "text"), remake, "sid long, members binary"), "members")
+    def checked(edges: DataFrame, name: str) -> DataFrame:
+        """Those of the edges (a, b) that are links; the sets they need are made from the texts again."""
+        needed = edges.select(F.col("a").alias("sid")).union(edges.select("b")).distinct().join(all_sets.where("bits is not null").groupBy("sid").agg(F.min("rid").alias("rid")), "sid")
+        texts = docs.groupBy("rid").agg(F.first("text").alias("text")).join(needed, "rid").select("sid", "text")
+        sets = scratch.put(common.map_rows(texts, remake, "sid long, members binary"), f"members-{name}")
+        return scratch.put(_check(edges, sets, t), f"links-{name}")
 
-    # Round 1: a spanning forest within each block of a group.
-    blocks = shared.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = shared.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    # Round 1: a spanning forest of what may be similar, within each block of a group.
+    placed = shared.join(bits, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     first = placed.select("token", "sid", "n", "pos", "bits", F.col("own").alias("part"), F.col("sid").alias("label"), F.lit(2).alias("side"))
-    tried = scratch.put(_pairs(first, t, 0), "tried-0")
-    links = scratch.put(_check(tried, sets, t), "links-0")
-    vertices = shared.select(F.col("sid").alias("v")).distinct()
-    # Further rounds: pairs between classes that share a member and are still apart; a few of each first, then all.
+    forest = scratch.put(_pairs(first, t, 0), "forest")
+    tried = scratch.put(forest.select("a", "b").distinct(), "tried-0")
+    links = checked(tried, "0")
+    vertices = tried.select(F.col("a").alias("v")).union(tried.select("b")).distinct()
+    # Further rounds, for groups of which an edge failed or which have several blocks: pairs between classes that are still
+    # apart; a few of each two classes first, then all.
+    several = shared.where("blocks > 1")
+    label = None
     for k, per_pair in ((1, 2), (2, -1)):
         label = scratch.put(common.connected_components(vertices, links), f"labels-{k}")
-        labelled = placed.join(label, F.col("sid") == F.col("v")).withColumnRenamed("component", "label")
-        apart = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-        rest = labelled.join(apart, "token").select("token", "sid", "n", "pos", "bits", "label", "own", "blocks")
-        twice = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        twice = twice.select("token", "sid", "n", "pos", "bits", "label", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        more = scratch.put(_pairs(twice, t, per_pair).join(tried, ["a", "b"], "left_anti"), f"tried-{k}")
+        of = lambda c: label.select(F.col("v").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
+        failed = forest.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select("token").distinct()
+        split = several.join(label, F.col("sid") == F.col("v"), "left").groupBy("token").agg(F.min(F.coalesce("component", "sid")).alias("low"), F.max(F.coalesce("component", "sid")).alias("high")).where("low <> high").select("token")
+        open_ = shared.join(failed.union(split).distinct(), "token").join(label, F.col("sid") == F.col("v"), "left").withColumn("label", F.coalesce("component", "sid")).drop("v", "component")
+        rest = open_.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.join(bits, "sid").select("token", "sid", "n", "pos", "bits", "label", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+        found = scratch.put(_pairs(rest, t, per_pair), f"found-{k}")
+        more = scratch.put(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"tried-{k}")
         if more.isEmpty():
             break
-        tried = tried.unionByName(more)
-        links = links.unionByName(scratch.put(_check(more, sets, t), f"links-{k}"))
+        tried, forest = tried.unionByName(more), forest.unionByName(found)
+        links = links.unionByName(checked(more, str(k)))
+        vertices = tried.select(F.col("a").alias("v")).union(tried.select("b")).distinct()
     else:
         label = scratch.put(common.connected_components(vertices, links), "labels")
     classes = all_sets.join(label, F.col("sid") == F.col("v"), "left").select("doc_id", "n", F.coalesce("component", "sid").alias("class"))
