@@ -3,7 +3,9 @@
 Every source has a target share of the mixture; a document of it is repeated k times, with k from a Poisson distribution whose
 mean is target share * size of the mixture / documents of the source. k comes from the inverse of the distribution at a uniform
 number hashed from the seed and the doc_id, so that a rerun gives the same mixture. Copies are then put in a global order by a
-hash of seed, doc_id and copy. Everything is DataFrame expressions; only the table of sources is joined.
+hash of seed, doc_id and copy. Everything is DataFrame expressions. The table of sources is broadcast if it has no more than
+``MAX_BROADCAST`` rows, which is counted; a larger one is joined with every source dealt to ``SALTS`` keys, so that a source with
+a third of all documents isn't one task's.
 
 Edge cases: a null source is a source of its own, named ''. A null doc_id hashes as ''. Rows with equal doc_id are repeated
 equally often. A source without a target share, where shares are given, has mean 0 and no copies. An empty table stays empty.
@@ -21,6 +23,7 @@ from fluxgrid.llm import common
 SEED = 17
 #: Without given shares, a source's share is in proportion to its documents to this power.
 POWER = 0.5
+MAX_BROADCAST, SALTS = 20_000, 32
 
 
 def rates(docs: DataFrame, shares: Mapping[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
@@ -48,7 +51,14 @@ def mix(docs: DataFrame, shares: Mapping[str, float] | None = None, epochs: floa
     table = distribution(rates(docs, shares, epochs)).withColumnsRenamed({"src": "__src", "cdf": "__cdf", "rate": "__rate"})
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    counted = docs.join(table, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__src")).withColumn("__u", uniform)
+    table = common.Scratch(docs.sparkSession).put(table, "sources")
+    same = F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("__src")
+    if table.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        counted = docs.join(F.broadcast(table), same)
+    else:
+        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        counted = docs.withColumn("__part", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__part") == F.col("__salt"))).drop("__part", "__salt")
+    counted = counted.withColumn("__u", uniform)
     copies = counted.withColumn("n_copies", F.size(F.filter("__cdf", lambda x: x <= F.col("__u"))).cast("long")).where("n_copies > 0")
     copies = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     key = F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.col("copy_no").cast("string")).cast("binary"))
