@@ -160,31 +160,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees
     return grow(x[order], y[order], list(FEATURES.values()))
 
 
+def _verdict(found: list, trees: Trees, min_quality: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, base_failed, kept and probability of measured texts."""
+    counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
+    p = trees.probability(np.array([x for _, x in found], float).reshape(-1, len(FEATURES)))
+    failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
+    return counts, failed, ~failed & (p >= min_quality), p
+
+
 def score(docs: DataFrame, trees: Trees, min_quality: float = MIN_QUALITY) -> DataFrame:
     """doc_id, the five counts, base_failed, kept and the probability of good quality, for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(b) for b in common.as_bytes(batch.column("text"))]
-            counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
-            p = trees.probability(np.array([x for _, x in found], float).reshape(-1, len(FEATURES)))
-            failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(~failed & (p >= min_quality)), pa.array(p)], ["doc_id", *COUNTS, "base_failed", "kept", "quality"])
+            counts, failed, kept, p = _verdict([measure(b) for b in common.as_bytes(batch.column("text"))], trees, min_quality)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(kept), pa.array(p)], ["doc_id", *COUNTS, "base_failed", "kept", "quality"])
 
     return common.map_rows(common.texts(docs), run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, quality double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. A kept verdict depends on the text alone."""
-    trees = fit(docs, labels)
+def keep_good(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns. The trees learn from the labelled texts of `labelled`, by default docs."""
+    trees = fit(docs if labelled is None else labelled, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [measure(b) for b in common.as_bytes(batch.column("text"))]
-            counts = np.array([c for c, _ in found], np.int64).reshape(-1, len(COUNTS))
-            p = trees.probability(np.array([x for _, x in found], float).reshape(-1, len(FEATURES)))
-            kept = (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0]) & (p >= MIN_QUALITY)
-            yield batch.filter(pa.array(kept))
+            yield batch.filter(pa.array(_verdict(found, trees, MIN_QUALITY)[2]))
 
     return common.map_rows(docs, run, docs.schema)
 
