@@ -33,8 +33,8 @@ from fluxgrid.llm import common
 MAX_FREQUENT, LOCAL_SHARE = 50_000, 0.002
 #: Sets of a group that one task compares.
 BLOCK = 2048
-#: Bits of a bitmap, at least and at most.
-BITS = (64, 1024)
+#: Bits of a bitmap that goes with a set into its groups, at least and at most; pairs are held against wider ones before they are checked.
+BITS, WIDE = (64, 1024), 65536
 
 
 def shingles(raw: list[bytes], n: int) -> list[np.ndarray]:
@@ -80,9 +80,9 @@ def prefix_length(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1 if n else 0
 
 
-def bitmap(s: np.ndarray) -> bytes:
+def bitmap(s: np.ndarray, most: int = BITS[1]) -> bytes:
     """Parity bitmap with about as many bits as s has members; the bits in which two differ are a lower bound of the members not shared."""
-    m = min(max(BITS[0], 1 << max(len(s) - 1, 1).bit_length()), BITS[1])
+    m = min(max(BITS[0], 1 << max(len(s) - 1, 1).bit_length()), most)
     bits = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -280,6 +280,28 @@ def _check(edges: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return common.map_rows(rows, run, "a long, b long")
 
 
+def _still_near(edges: DataFrame, wide: DataFrame, t: float) -> DataFrame:
+    """The edges (a, b) that wider bitmaps of large sets don't rule out; wide has (sid, n, wide)."""
+    p = round(100 * t)
+    side = lambda c: wide.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"w_{c}"))
+    both = edges.join(side("a"), "a", "left").join(side("b"), "b", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "w_a", "w_b"))):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                size = min(len(x), len(y)) // 8
+                x, y = (fold_to(np.frombuffer(m, np.uint64)[None, :], size) for m in (x, y))
+                need = -(-p * (n_a + n_b) // (100 + p))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= n_a + n_b - 2 * need)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return common.map_rows(both.select("a", "b", "n_a", "n_b", "w_a", "w_b"), run, "a long, b long")
+
+
 def _pairs(rows: DataFrame, t: float, per_pair: int) -> DataFrame:
     """(token, a, b) to check from rows(part, token, sid, n, pos, bits, label, side); a part of a token's group is compared as one."""
 
@@ -333,11 +355,11 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
                     seen.clear()
                 seen.add(sid)
                 first = None if known else ordered(s, rank)[: prefix_length(len(s), t)].view(np.int64)
-                rows.append((len(s), sid, first, None if known else bitmap(s)))
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], ["doc_id", "rid", "n", "sid", "first", "bits"])
+                rows.append((len(s), sid, first, None if known else bitmap(s), None if known or len(s) <= BITS[1] // 2 else bitmap(s, WIDE)))
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *(pa.array(c, pa.int64()) for c in cols[:2]), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["doc_id", "rid", "n", "sid", "first", "bits", "wide"])
 
-    all_sets = scratch.put(common.map_rows(docs.select("doc_id", "rid", "text"), make, "doc_id long, rid long, n long, sid long, first array<long>, bits binary"), "sets")
+    all_sets = scratch.put(common.map_rows(docs.select("doc_id", "rid", "text"), make, "doc_id long, rid long, n long, sid long, first array<long>, bits binary, wide binary"), "sets")
     rows = all_sets.where("first is not null").select("sid", "n", F.posexplode("first").alias("pos", "token"))
     often = rows.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("token")
     by_size = Window.partitionBy("token").orderBy("n", "sid")
@@ -347,6 +369,8 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
     shared = scratch.put(shared.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("token")) / block).cast("int")), "shared")
     bits = all_sets.where("bits is not null").groupBy("sid").agg(F.first("bits").alias("bits"))
 
+    wide = all_sets.where("wide is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("wide").alias("wide"))
+
     def remake(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [ordered(s, rank).tobytes() for s in shingles(common.as_bytes(batch.column("text")), n)]
@@ -354,6 +378,7 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
 
     def checked(edges: DataFrame, name: str) -> DataFrame:
         """Those of the edges (a, b) that are links; the sets they need are made from the texts again."""
+        edges = scratch.put(_still_near(edges, wide, t), f"near-{name}")
         needed = edges.select(F.col("a").alias("sid")).union(edges.select("b")).distinct().join(all_sets.where("bits is not null").groupBy("sid").agg(F.min("rid").alias("rid")), "sid")
         texts = docs.groupBy("rid").agg(F.first("text").alias("text")).join(needed, "rid").select("sid", "text")
         sets = scratch.put(common.map_rows(texts, remake, "sid long, members binary"), f"members-{name}")
