@@ -5,7 +5,8 @@ over the benchmark's informative words; a distributed randomised SVD of all pass
 latent space: every task adds its passages' part of A'(A X) for a thin matrix X, the parts are summed in a shuffle, and two
 such steps leave the leading right singular vectors. Passages whose cosine with an item reaches ``MIN_COSINE`` are candidates.
 A candidate is a leak if the longest common subsequence of words covers ``SURE`` of the item, or ``MAYBE`` of it and the answer
-(what follows "answer:", else the item's last words) is there too.
+(what follows "answer:", else the item's last words) is there too; and if the item's informative words alone are covered by
+``INFORMATIVE``, so that frequent words don't make a leak.
 
 Items are taken in blocks of ``MAX_ITEMS``, so that what is sent to the workers is bounded whatever the benchmark's size. Words
 are compared in lower case without marks at either end; only words of the block's items are kept of a document.
@@ -30,8 +31,8 @@ from fluxgrid.llm import common
 STEP, WIDTH = 24, 3
 MAX_ITEMS, RANK, SPARE = 256, 192, 16
 #: A word in more than this share of blocks says little; of an item that would keep too few words, the rarest ones stay.
-COMMON, LEAST_WORDS = 0.01, 8
-MIN_COSINE, MAYBE, SURE = 0.35, 0.5, 0.7
+COMMON, LEAST_WORDS = 0.002, 8
+MIN_COSINE, MAYBE, SURE, INFORMATIVE = 0.35, 0.5, 0.7, 0.5
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 EDGES = b".,;:!?\"'()[]"
 ANSWER = re.compile(rb"(?i)\banswer\s*[:=]\s*")
@@ -99,16 +100,23 @@ class Batch:
         known = word >= 0
         self.word, self.block = word[known], block[known]
 
-    def passages(self, rows: np.ndarray, word: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """Sum over each passage of rows[word]; a passage is named by its first block."""
-        e = np.zeros((self.n_blocks, rows.shape[1]), np.float32)
-        if len(word):
-            at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            e[block[at]] = np.add.reduceat(rows[word], at, axis=0)
-        y = e.copy()
+    def passages(self, rows: np.ndarray, word: np.ndarray, block: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """First blocks of the passages with `least` of the given words or more, and the sum over each of rows[word]."""
+        n = np.bincount(block, minlength=self.n_blocks + WIDTH)
+        many = n[: self.n_blocks].copy()
         for k in range(1, WIDTH):
-            y[:-k] += e[k:]
-        return y
+            many += n[k : self.n_blocks + k]
+        own = np.flatnonzero(many >= least)
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+        e = np.zeros((len(first) + 1, rows.shape[1]), np.float32)  # the last row is that of an empty block
+        place = np.full(self.n_blocks + WIDTH, len(first))
+        if len(first):
+            e[:-1] = np.add.reduceat(rows[word], first, axis=0)
+            place[block[first]] = np.arange(len(first))
+        y = e[place[own]]
+        for k in range(1, WIDTH):
+            y += e[place[own + k]]
+        return own, y
 
 
 def _document_frequency(numbered: DataFrame, size: int) -> tuple[int, np.ndarray]:
@@ -141,14 +149,19 @@ def _gram_times(numbered: DataFrame, column: np.ndarray, weight: np.ndarray, x:
             word, block = c[c >= 0], b.block[c >= 0]
             if not len(word):
                 continue
-            y = b.passages(rows, word, block)
-            g = y.copy()
+            own, y = b.passages(rows, word, block)
+            place = np.full(b.n_blocks + WIDTH, len(own))
+            place[own + WIDTH - 1] = np.arange(len(own))
+            y = np.concatenate([y, np.zeros((1, y.shape[1]), np.float32)])
+            held = np.unique(block)
+            g = y[place[held]]  # sums over the passages that hold each block
             for k in range(1, WIDTH):
-                g[k:] += y[:-k]
+                g += y[place[held + k]]
+            row = np.searchsorted(held, block)
             order = np.argsort(word, kind="stable")
             at = np.flatnonzero(np.concatenate([[True], word[order][1:] != word[order][:-1]]))
             own = word[order][at]
-            z[own] += weight[own, None] * np.add.reduceat(g[block[order]], at, axis=0)
+            z[own] += weight[own, None] * np.add.reduceat(g[row[order]], at, axis=0)
         parts = np.array_split(z, slices)
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "z"])
 
@@ -198,18 +211,15 @@ def _search(numbered: DataFrame, items: Items, space: tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, rows, q, items = sent.value
+        telling = [[w for w in ws if column[w] >= 0] for ws in items.words]
+        least = max(2, int(np.ceil(0.8 * INFORMATIVE * min(map(len, telling)))))  # no leak has fewer informative words, four in five of them in one passage
         for batch in batches:
             b = Batch(batch)
             out: dict[tuple[int, int], tuple] = {}
             c = column[b.word]
             word, block = c[c >= 0], b.block[c >= 0]
-            n = np.bincount(block, minlength=b.n_blocks)
-            many = n.copy()
-            for k in range(1, WIDTH):
-                many[:-k] += n[k:]
-            y = b.passages(rows, word, block)
-            own = np.flatnonzero(many >= 2)
-            y = y[own] / np.maximum(np.linalg.norm(y[own], axis=1, keepdims=True), 1e-12)
+            own, y = b.passages(rows, word, block, least)
+            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
             cosine = y @ q.T
             for p, i in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE))):
                 d = int(np.searchsorted(b.first, own[p], side="right")) - 1
@@ -219,7 +229,7 @@ def _search(numbered: DataFrame, items: Items, space: tuple[np.ndarray, np.ndarr
                 share = common_subsequence(item, text) / len(item)
                 answer = items.answers[i]
                 found = common_subsequence(answer, text) >= ANSWER_SHARE * len(answer)
-                if share >= SURE or share >= MAYBE and found:
+                if (share >= SURE or share >= MAYBE and found) and common_subsequence(telling[i], text) >= INFORMATIVE * len(telling[i]):
                     old = out.get((d, i))
                     if old is None or (share, cosine[p, i]) > (old[1], old[0]):
                         out[d, i] = (float(cosine[p, i]), share, found, at)
