@@ -17,3 +17,7 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
     QUERIES[name] = query
     if oracle is not None:
         ORACLES[name] = oracle
+
+
+from fluxgrid.plans import grid_queries  # noqa: E402, F401
+
