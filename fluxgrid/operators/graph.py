@@ -100,20 +100,26 @@ def squared_norm(vectors: DataFrame) -> DataFrame:
     return vectors.select("i", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("norm2"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, component): smallest reachable node, by alternating large-star and small-star steps with a checkpoint each."""
-    spark = nodes.sparkSession
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the session's checkpoint folder; a temporary one is set where there is none."""
+    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, component): smallest reachable node, by alternating large-star and small-star steps with a checkpoint each."""
     cur, before = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
+    cur = cut_lineage(cur)
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         down = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        cur = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct().checkpoint()
+        cur = cut_lineage(down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

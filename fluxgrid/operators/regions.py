@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.operators.filters import EIGHT, FOUR, offsets
-from fluxgrid.operators.graph import components
+from fluxgrid.operators.graph import components  # noqa: F401
 
 
 def seeds(norms: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.operators import evaluate, filters, graph, regions, stack, traces
+from fluxgrid.operators import evaluate, extract, filters, graph, regions, stack, traces
+from fluxgrid.plans import pipeline
 from fluxgrid.plans.registry import register
 from fluxgrid.sources import tables as src
 
@@ -151,7 +152,7 @@ register("select_eigs", lambda s, d: regions.select_vectors(src.vectors(s, d).se
 register("pixel_distance", lambda s, d: regions.seed_distance(src.vectors(s, d), 0).select("i", F.round("d", 5).alias("d")), _VEC + " SELECT a.i, round(pow(list_distance(a.x, b.x), 2), 5) AS d FROM e a, e b WHERE b.i = 0")
 register("grow", lambda s, d: regions.seed_distance(src.vectors(s, d), 0).where("d <= norm2").select("i"), _VEC + " SELECT a.i FROM e a, e b WHERE b.i = 0 AND pow(list_distance(a.x, b.x), 2) <= list_inner_product(a.x, a.x)")
 _on_frames("elbow", lambda f: regions.elbow(stack.project(f, "mean").select(F.round("mean", 6).alias("mean")), "mean"), "SELECT v AS elbow FROM (SELECT v, abs((n - 1) * (v - v0) - k * (v1 - v0)) / sqrt((n - 1) * (n - 1) + (v1 - v0) * (v1 - v0)) AS d FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n, min(v) OVER () AS v0, max(v) OVER () AS v1 FROM (SELECT round(avg(v), 6) AS v FROM frames GROUP BY pixel))) ORDER BY d DESC, v LIMIT 1")
-_on_frames("pca_elbow", lambda f: graph.principal_values(stack.pixel_vectors(_dense(f))), "SELECT 1") if False else register("pca_elbow", lambda s, d: graph.principal_values(stack.pixel_vectors(_dense(src.event_frames(s, d)))))
+register("pca_elbow", lambda s, d: graph.principal_values(stack.pixel_vectors(_dense(src.event_frames(s, d)))))
 
 # Regions
 _on_frames("local_maxima", lambda f: regions.local_maxima(f.groupBy("pixel", "row", "col").agg(F.max("v").alias("m")), "m"), f"SELECT a.pixel, a.m FROM i a, {EIGHT} s JOIN i b ON b.row = a.row + s.di AND b.col = a.col + s.dj GROUP BY a.pixel, a.m HAVING a.m >= max(b.m)", ",\ni AS (SELECT pixel, row, col, max(v) AS m FROM frames GROUP BY ALL)")
@@ -201,7 +202,7 @@ _on_frames("neuropil_ring", lambda f: regions.ring(_odd(f), _size(f)[0], 15, 2).
 _on_frames("outline", lambda f: regions.outline(_a(f)).select("roi", "pixel"), f"SELECT a.roi, a.pixel FROM ra a, {FOUR} s(di, dj) LEFT JOIN ra b ON b.roi = a.roi AND b.row = a.row + di AND b.col = a.col + dj GROUP BY ALL HAVING count(b.roi) < 4", REGION)
 _on_frames("brush", lambda f: regions.brush(f.where("pixel % 37 = 0").select("row", "col").distinct(), 1, _size(f)[0], 15).select("pixel"), "SELECT DISTINCT (row + dr) * 15 + col + dc AS pixel FROM frames, size, (VALUES (-1),(0),(1)) a(dr), (VALUES (-1),(0),(1)) b(dc) WHERE pixel % 37 = 0 AND row + dr BETWEEN 0 AND nrows - 1 AND col + dc BETWEEN 0 AND 14")
 _on_frames("roi_patch", lambda f: _b(f).join(regions.shape(_b(f)).select("roi", "r0", "c0"), "roi").selectExpr("roi", "pixel", "row - r0 as r", "col - c0 as c"), "SELECT roi, pixel, row - min(row) OVER (PARTITION BY roi) AS r, col - min(col) OVER (PARTITION BY roi) AS c FROM rb", REGION)
-_on_frames("component", lambda f: regions.connected(f.where("v > 30").select("pixel", "row", "col").distinct()), f"SELECT pixel, min(root) AS component FROM (SELECT a AS root, b AS pixel FROM reach UNION ALL SELECT pixel, pixel FROM ps) GROUP BY pixel", f",\nps AS (SELECT DISTINCT pixel, row, col FROM frames WHERE v > 30)") if False else register("component", lambda s, d: (lambda f: regions.connected(f.where("v > 30").select("pixel", "row", "col").distinct()))(src.event_frames(s, d)), FRAMES.replace("WITH ", "WITH RECURSIVE ", 1) + f", ps AS (SELECT DISTINCT pixel, row, col FROM frames WHERE v > 30), ed AS (SELECT a.pixel AS a, b.pixel AS b FROM ps a, {EIGHT} s JOIN ps b ON b.row = a.row + s.di AND b.col = a.col + s.dj), reach(root, pixel) AS (SELECT pixel, pixel FROM ps UNION SELECT root, b FROM reach JOIN ed ON a = pixel) SELECT pixel, min(root) AS component FROM reach GROUP BY pixel")
+register("component", lambda s, d: (lambda f: regions.connected(f.where("v > 30").select("pixel", "row", "col").distinct()))(src.event_frames(s, d)), FRAMES.replace("WITH ", "WITH RECURSIVE ", 1) + f", ps AS (SELECT DISTINCT pixel, row, col FROM frames WHERE v > 30), ed AS (SELECT a.pixel AS a, b.pixel AS b FROM ps a, {EIGHT} s JOIN ps b ON b.row = a.row + s.di AND b.col = a.col + s.dj), reach(root, pixel) AS (SELECT pixel, pixel FROM ps UNION SELECT root, b FROM reach JOIN ed ON a = pixel) SELECT pixel, min(root) AS component FROM reach GROUP BY pixel")
 register("fill_holes", lambda s, d: (lambda f: regions.fill_holes(_a(f).where("(row % 5, col % 5) <> (2, 2)")))(src.event_frames(s, d)), FRAMES + REGION + " SELECT DISTINCT roi, row, col FROM (SELECT roi, row, col FROM ra) WHERE roi IN (SELECT roi FROM ra GROUP BY roi HAVING count(*) = 25) OR row % 5 <> 2 OR col % 5 <> 2")
 register("circularity", lambda s, d: regions.circularity(_b(src.event_frames(s, d))))
 _on_frames("roi_weights", lambda f: _a(f).join(stack.project(f, "max"), "pixel").selectExpr("roi", "pixel", "round((max - min(max) over (partition by roi)) / (max(max) over (partition by roi) - min(max) over (partition by roi)), 6) as w"), "SELECT roi, pixel, round((m - min(m) OVER w) / nullif(max(m) OVER w - min(m) OVER w, 0), 6) AS w FROM ra JOIN (SELECT pixel, max(v) AS m FROM frames GROUP BY pixel) USING (pixel) WINDOW w AS (PARTITION BY roi)", REGION)
@@ -247,3 +248,16 @@ _on_frames("eval_shapes", lambda f: evaluate.shape_scores(_match(f), _a(f), _b(f
 register("param_grid", lambda s, d: evaluate.parameter_grid(s, {"median": [False, True], "size": [3, 5, 7], "metric": ["l2", "cosine"]}), "SELECT row_number() OVER (ORDER BY m, s, k) - 1 AS config, m = 1 AS median, s AS size, CASE k WHEN 0 THEN 'l2' ELSE 'cosine' END AS metric FROM (VALUES (0),(1)) a(m), (VALUES (3),(5),(7)) b(s), (VALUES (0),(1)) c(k)")
 _on_frames("detect_freq", lambda f: _match(f).groupBy("a").agg(F.count("*").alias("n")).join(regions.shape(_a(f)).select(F.col("roi").alias("a")), "a", "right").select("a", F.coalesce("n", F.lit(0)).cast("double").alias("freq")), "SELECT ca.roi AS a, CAST(count(mt.a) AS DOUBLE) AS freq FROM ca LEFT JOIN mt ON mt.a = ca.roi GROUP BY ca.roi", REGION, _CEN)
 register("frames_months", lambda s, d: stack.project(src.part_frames(s, d), "mean").select("pixel", R6("mean")), "SELECT pixel, round(avg(v), 6) AS mean FROM (SELECT CAST(l_partkey % 400 AS BIGINT) AS pixel, (year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS frame, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL) GROUP BY pixel")
+
+# Kernels that SQL can't express
+register("poisson_noise", lambda s, d: extract.poisson_noise(src.event_frames(s, d), 0.5, 2))
+
+
+def _embedding_regions(s: SparkSession, d: str) -> DataFrame:
+    f = _dense(src.event_frames(s, d))
+    nrows, nframes = _size(f)
+    return pipeline.find_regions(f, pipeline.Config.load('{"eigen": {"num_eig": 8, "knn": 12, "normalize_w_k": 6}, "roi_extraction": {"roi_size_min": 2, "max_iter": 20, "num_rois": 8, "roi_eccentricity_limit": 1.0}, "box": {"total_num_spatial_boxes": 1}}'), nrows, src.NCOLS, nframes)
+
+
+register("lssc_rois", _embedding_regions)
+register("denoised_traces", lambda s, d: (lambda f: extract.denoised_traces(_both(f), f))(src.event_frames(s, d)))
