@@ -2,8 +2,8 @@
 
 Documents are read as overlapping passages of three blocks of ``STEP`` words. Passages and benchmark items become TF-IDF vectors
 over the benchmark's informative words; a distributed randomised SVD of all passages, with the items among them, gives the
-latent space: every task adds its passages' part of A'(A X) for a thin matrix X, the parts are summed in a shuffle, and two
-such steps leave the leading right singular vectors. Passages whose cosine with an item reaches ``MIN_COSINE`` are candidates.
+latent space: every task adds its passages' part of A'(A X) for a thin random matrix X, the parts are summed in a shuffle, and what
+is left spans the leading right singular vectors. Passages whose cosine with an item reaches ``MIN_COSINE`` are candidates.
 A candidate is a leak if the longest common subsequence of words covers ``SURE`` of the item, or ``MAYBE`` of it and the answer
 (what follows "answer:", else the item's last words) is there too; and if the item's informative words alone are covered by
 ``INFORMATIVE``, so that frequent words don't make a leak.
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from fluxgrid.llm import common
 
 STEP, WIDTH = 24, 3
-MAX_ITEMS, RANK, SPARE = 256, 192, 16
+MAX_ITEMS, RANK, SPARE, STEPS = 256, 192, 16, 1
 #: A word in more than this share of blocks says little; of an item that would keep too few words, the rarest ones stay.
-COMMON, LEAST_WORDS = 0.002, 8
+COMMON, LEAST_WORDS = 0.0007, 8
 MIN_COSINE, MAYBE, SURE, INFORMATIVE = 0.35, 0.5, 0.7, 0.5
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
 EDGES = b".,;:!?\"'()[]"
@@ -197,7 +197,7 @@ def latent_space(numbered: DataFrame, items: Items, rank: int = RANK) -> tuple[n
     share = np.sqrt(max(total, 1) / max(len(b), 1))  # the items weigh as much as the passages together
     rng = np.random.default_rng(11)
     x = rng.normal(size=(len(weight), min(rank + SPARE, len(weight))))
-    for _ in range(2):
+    for _ in range(STEPS):
         x = np.linalg.qr(x)[0]
         x = _gram_times(numbered, column, weight, x) + share**2 * (b.T @ (b @ x))
     v = np.linalg.svd(x, full_matrices=False)[0][:, :rank]
@@ -212,6 +212,9 @@ def _search(numbered: DataFrame, items: Items, space: tuple[np.ndarray, np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, rows, q, items = sent.value
         telling = [[w for w in ws if column[w] >= 0] for ws in items.words]
+        words, tells = [set(ws) for ws in items.words], [set(ws) for ws in telling]
+        # A common subsequence has no more words than both have, repeats counted; that is cheap to see first.
+        enough = [(MAYBE * len(ws) - (len(ws) - len(w)), INFORMATIVE * len(ts) - (len(ts) - len(t))) for ws, w, ts, t in zip(items.words, words, telling, tells)]
         least = max(2, int(np.ceil(0.8 * INFORMATIVE * min(map(len, telling)))))  # no leak has fewer informative words, four in five of them in one passage
         for batch in batches:
             b = Batch(batch)
@@ -221,10 +224,15 @@ def _search(numbered: DataFrame, items: Items, space: tuple[np.ndarray, np.ndarr
             own, y = b.passages(rows, word, block, least)
             y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
             cosine = y @ q.T
+            last = -1
             for p, i in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE))):
-                d = int(np.searchsorted(b.first, own[p], side="right")) - 1
-                at = int(own[p] - b.first[d]) * STEP
-                text = b.docs[d][max(0, at - STEP) : at + (WIDTH + 1) * STEP]
+                if p != last:
+                    d = int(np.searchsorted(b.first, own[p], side="right")) - 1
+                    at = int(own[p] - b.first[d]) * STEP
+                    text = b.docs[d][max(0, at - STEP) : at + (WIDTH + 1) * STEP]
+                    held, last = set(text.tolist()), p
+                if len(tells[i] & held) < enough[i][1] or len(words[i] & held) < enough[i][0]:
+                    continue
                 item = items.words[i]
                 share = common_subsequence(item, text) / len(item)
                 answer = items.answers[i]
