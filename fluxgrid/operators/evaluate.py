@@ -25,7 +25,7 @@ def match(a: DataFrame, b: DataFrame, limit: float) -> DataFrame:
 def centre_scores(a: DataFrame, b: DataFrame, limit: float) -> DataFrame:
     """Recall, precision and F1 of matched centres (a is the truth)."""
     hits = match(a, b, limit).agg(F.count("*").alias("hits"))
-    out = hits.join(a.agg(F.count("*").alias("n_a"))).join(b.agg(F.count("*").alias("n_b"))).selectExpr("hits / n_a as recall", "hits / n_b as precision")
+    out = hits.join(a.agg(F.count("*").alias("n_a"))).join(b.agg(F.count("*").alias("n_b"))).selectExpr("hits / nullif(n_a, 0) as recall", "hits / nullif(n_b, 0) as precision")
     return out.withColumn("f1", F.expr("case when recall + precision = 0 then 0.0 else round(2 * recall * precision / (recall + precision), 4) end"))
 
 

@@ -31,13 +31,13 @@ def as_frames(spark, data):
 
 def test_planted_disks_are_found(spark):
     data, truth = scene()
-    cfg = pipeline.Config.load('{"filter": {"localSpatialDenoising": true, "z_score": false}, "eigen": {"num_eig": 12, "knn": 20, "normalize_w_k": 10}, "roi_extraction": {"roi_size_min": 8, "roi_size_max": 80, "num_rois": 6, "max_iter": 40, "merge_temporal_coef": 0.9}}')
+    cfg = pipeline.Config.load('{"filter": {"localSpatialDenoising": false}, "eigen": {"num_eig": 8, "knn": 40, "normalize_w_k": 25}, "roi_extraction": {"roi_size_min": 8, "roi_size_max": 80, "num_rois": 6, "max_iter": 40, "merge_temporal_coef": 0.9}}')
     found = pipeline.find_regions(as_frames(spark, data), cfg, 24, 24, len(data)).toPandas()
     hits = 0
     for m in truth:
         want = set(np.flatnonzero(m.ravel()))
         best = max((len(want & set(g.pixel)) / len(want | set(g.pixel)) for _, g in found.groupby("roi")), default=0)
-        hits += best > 0.6
+        hits += best > 0.8
     assert hits == 3
 
 

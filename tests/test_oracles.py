@@ -1,9 +1,9 @@
 """Every query with SQL text against DuckDB on the smallest tables."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from fluxgrid.plans import registry
@@ -12,7 +12,7 @@ from fluxgrid.plans import registry
 def rows(df):
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("null" if v is None or isinstance(v, float) and math.isnan(v) else round(float(v), 4) + 0.0 if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("null" if pd.isna(v) else round(float(v), 4) + 0.0 if isinstance(v, float) else str(v) for v in r))
     return sorted(out, key=str)
 
 
