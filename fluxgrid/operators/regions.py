@@ -166,3 +166,26 @@ def circularity(regions: DataFrame) -> DataFrame:
     per = joined.groupBy("roi").agg(F.sum(F.when(F.col("o").isNull(), 1).otherwise(0)).alias("perimeter"), (F.count("*") / 4).alias("area"))
     score = per.withColumn("s", 4 * np.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter")))
     return score.join(F.broadcast(score.agg(F.max("s").alias("best")))).select("roi", "area", "perimeter", (100 * F.col("s") / F.col("best")).alias("circularity"))
+
+
+def assign_unassigned(regions: DataFrame, nrows: int, ncols: int) -> DataFrame:
+    """Regions grown by one step into free pixels: to the only neighbour, or to that with the nearer centre (a tie to the smaller number)."""
+    free = dilate(regions, nrows, ncols).join(regions.select("pixel").distinct(), "pixel", "left_anti")
+    return resolve(free.select("roi", "pixel", "row", "col"), shape(regions))
+
+
+def footprint_correlation(regions: DataFrame, frames: DataFrame, active: DataFrame, margin: int = 2) -> DataFrame:
+    """(roi, n_frames, corr): mask against the mean image of the frames in which a region is active and no region that overlaps it is.
+
+    active is (roi, frame). The image is the region's bounding box with a margin; a region of less than 3 pixels scores 0.
+    """
+    near = overlaps(regions)
+    both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    busy = both.join(active, both["b"] == active["roi"]).select(F.col("a").alias("roi"), "frame").distinct()
+    own = active.join(busy, ["roi", "frame"], "left_anti")
+    box = shape(regions).select("roi", "area", (F.col("r0") - margin).alias("r0"), (F.col("r1") + margin).alias("r1"), (F.col("c0") - margin).alias("c0"), (F.col("c1") + margin).alias("c1"))
+    cells = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).select("roi", "area", "row", "col")
+    image = own.join(cells, "roi").join(frames.select("row", "col", "frame", "v"), ["row", "col", "frame"]).groupBy("roi", "area", "row", "col").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
+    mask = image.join(regions.select("roi", "row", "col", F.lit(1.0).alias("one")), ["roi", "row", "col"], "left")
+    out = mask.groupBy("roi", "area").agg(F.max("n").alias("n_frames"), F.corr("m", F.coalesce("one", F.lit(0.0))).alias("corr"))
+    return out.select("roi", "n_frames", F.expr("case when area < 3 then 0.0 else corr end").alias("corr"))

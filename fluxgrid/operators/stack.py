@@ -83,7 +83,8 @@ def image_pixel(boxed: DataFrame, ncols: int) -> DataFrame:
 def mosaic(tiled: DataFrame, nrows: int, ncols: int, per_side: int) -> DataFrame:
     """Tiles without their overlap: of each box the pixels of its core."""
     h, w = nrows // per_side, ncols // per_side
-    core = f"least(row div {h}, {per_side - 1}) * {per_side} + least(col div {w}, {per_side - 1})"
+    side = lambda c, n: f"least({c} div {n}, {per_side - 1})" if n else str(per_side - 1)
+    core = f"{side('row', h)} * {per_side} + {side('col', w)}"
     return tiled.where(f"box = {core}")
 
 

@@ -86,3 +86,26 @@ def activity(traces: DataFrame, peaks: int = 5, threshold: float = 0.3, before:
 def concatenate(traces: DataFrame) -> DataFrame:
     """Trials one behind the other: traces(roi, trial, frame, v) numbered anew."""
     return traces.withColumn("at", (F.row_number().over(Window.partitionBy("roi").orderBy("trial", "frame")) - 1).cast("long"))
+
+
+def overlap_traces(a: DataFrame, b: DataFrame, frames: DataFrame) -> DataFrame:
+    """(part, frame, v): mean traces of the pixels in one region only, in the other only, and in both; a and b have a column pixel."""
+    parts = {"a only": a.select("pixel").join(b, "pixel", "left_anti"), "b only": b.select("pixel").join(a, "pixel", "left_anti"), "both": a.select("pixel").join(b, "pixel", "left_semi")}
+    out = None
+    for name, pixels in parts.items():
+        t = pixels.distinct().join(frames.select("pixel", "frame", "v"), "pixel").groupBy("frame").agg(F.avg("v").alias("v")).select(F.lit(name).alias("part"), "frame", "v")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def embedding_image(blocks: DataFrame) -> DataFrame:
+    """(pixel, norm, scaled) from vectors(pixel, block, x): largest norm over the time blocks, and that between its 5th and 95th percentile."""
+    norm = blocks.groupBy("pixel").agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).alias("norm"))
+    ends = norm.agg(F.expr("percentile(norm, 0.05)").alias("a"), F.expr("percentile(norm, 0.95)").alias("b"))
+    return norm.join(F.broadcast(ends)).select("pixel", "norm", F.expr("greatest(0, least(1, (norm - a) / nullif(b - a, 0)))").alias("scaled"))
+
+
+def percentile_ladder(traces: DataFrame, shares: list[float]) -> DataFrame:
+    """(roi, share, v): exact percentiles of each trace."""
+    at = ", ".join(map(str, shares))
+    return traces.groupBy("roi").agg(F.expr(f"percentile(v, array({at}))").alias("p")).select("roi", F.posexplode("p").alias("k", "v")).select("roi", F.element_at(F.array(*map(F.lit, shares)), F.col("k") + 1).alias("share"), "v")

@@ -73,18 +73,20 @@ _on_frames("time_boxes", lambda f: stack.time_boxes(f, 4).select("box", "pixel",
 _on_frames("pixel_vectors", lambda f: stack.pixel_vectors(f).select("pixel", F.size("vec").cast("long").alias("n"), F.round(F.aggregate(F.transform("vec", lambda v, k: v * (k + 1)), F.lit(0.0), lambda s, v: s + v), 3).alias("checksum")), "SELECT pixel, count(*) AS n, round(sum(v * k), 3) AS checksum FROM (SELECT pixel, v, row_number() OVER (PARTITION BY pixel ORDER BY frame) AS k FROM frames) GROUP BY pixel")
 _on_frames("pixel_coords", lambda f: f.select("pixel", "row", "col").distinct(), "SELECT DISTINCT pixel, row, col FROM frames")
 
-_TILES = stack.tiles(10, 15, 2, 2)
-_BOXES = ",\nboxes AS (SELECT * FROM (VALUES " + ", ".join(str(b) for b in _TILES) + ") b(box, r0, r1, c0, c1)), grid AS (SELECT DISTINCT pixel, row, col FROM frames)"
+#: Four tiles with an overlap of 2, whatever the number of rows.
+_BOXES = """,
+boxes AS (SELECT i * 2 + j AS box, greatest(0, i * (nrows // 2) - 2) AS r0, CASE WHEN i = 1 THEN nrows ELSE least(nrows, nrows // 2 + 2) END AS r1, greatest(0, j * 7 - 2) AS c0, CASE WHEN j = 1 THEN 15 ELSE 9 END AS c1 FROM size, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)),
+grid AS (SELECT DISTINCT pixel, row, col FROM frames)"""
 
 
 def _tiled(f: DataFrame) -> DataFrame:
-    return stack.tile(f.select("pixel", "row", "col").distinct(), _TILES)
+    return stack.tile(f.select("pixel", "row", "col").distinct(), stack.tiles(_size(f)[0], 15, 2, 2))
 
 
 _on_frames("spatial_boxes", lambda f: _tiled(f).select("box", "pixel"), "SELECT CAST(box AS BIGINT) AS box, pixel FROM grid JOIN boxes ON row >= r0 AND row < r1 AND col >= c0 AND col < c1", _BOXES)
 _on_frames("box_remap", lambda f: stack.image_pixel(stack.box_pixel(_tiled(f)), 15).select("box", "pixel", "box_pixel", "image_pixel"), "SELECT CAST(box AS BIGINT) AS box, pixel, (row - r0) * (c1 - c0) + col - c0 AS box_pixel, pixel AS image_pixel FROM grid JOIN boxes ON row >= r0 AND row < r1 AND col >= c0 AND col < c1", _BOXES)
 _on_frames("point_in_box", lambda f: _tiled(f).groupBy("pixel").agg(F.count("*").alias("n_boxes")), "SELECT pixel, count(*) AS n_boxes FROM grid JOIN boxes ON row >= r0 AND row < r1 AND col >= c0 AND col < c1 GROUP BY pixel", _BOXES)
-_on_frames("mosaic", lambda f: stack.mosaic(_tiled(f), 10, 15, 2).select("box", "pixel"), "SELECT CAST(least(row // 5, 1) * 2 + least(col // 7, 1) AS BIGINT) AS box, pixel FROM grid WHERE row < 10", _BOXES)
+_on_frames("mosaic", lambda f: stack.mosaic(_tiled(f), _size(f)[0], 15, 2).select("box", "pixel"), "SELECT CAST(CASE WHEN nrows < 2 THEN 1 ELSE least(row // (nrows // 2), 1) END * 2 + least(col // 7, 1) AS BIGINT) AS box, pixel FROM grid, size", _BOXES)
 _MASK = ",\nmask AS (SELECT DISTINCT pixel FROM frames WHERE (row + col) % 3 <> 0)"
 
 
@@ -98,7 +100,7 @@ _on_frames("mask_index", lambda f: stack.mask_index(_mask(f)), "SELECT pixel, ro
 _on_frames("nan_impute", lambda f: stack.impute(f.withColumn("v", F.expr("case when (pixel + frame) % 4 = 0 then null else v end"))).select("pixel", "frame", R6("v")), "SELECT pixel, frame, round(coalesce(w, avg(w) OVER (PARTITION BY pixel)), 6) AS v FROM (SELECT pixel, frame, CASE WHEN (pixel + frame) % 4 = 0 THEN NULL ELSE v END AS w FROM frames)")
 _on_frames("floor_clamp", lambda f: stack.floor_clamp(f, 5.0).select("pixel", "frame", "v"), "SELECT pixel, frame, CASE WHEN v < 5.0 THEN (SELECT min(v) FROM frames WHERE v > 5.0) ELSE v END AS v FROM frames")
 _on_frames("region_shift", lambda f: stack.shift_regions(_a(f), 2, -1), "SELECT roi, row + 2 AS row, col - 1 AS col FROM ra", REGION)
-_on_frames("region_clamp", lambda f: stack.shift_regions(_a(f), 3, 3, 10, 15), "SELECT roi, greatest(0, least(row + 3, 9)) AS row, greatest(0, least(col + 3, 14)) AS col FROM ra", REGION)
+_on_frames("region_clamp", lambda f: stack.shift_regions(_a(f), 3, 3, _size(f)[0], 15), "SELECT roi, greatest(0, least(row + 3, nrows - 1)) AS row, greatest(0, least(col + 3, 14)) AS col FROM ra, size", REGION)
 _on_frames("region_explode", lambda f: _a(f).groupBy("roi").agg(F.to_json(F.array_sort(F.collect_list(F.struct("row", "col")))).alias("json")).select("roi", F.explode(F.from_json("json", "array<struct<row:long,col:long>>")).alias("c")).selectExpr("roi", "c.row * 15 + c.col as pixel"), "SELECT roi, pixel FROM ra", REGION)
 _on_frames("size_filter", lambda f: _b(f).groupBy("roi").agg(F.count("*").alias("n")).where("n < 20"), "SELECT roi, count(*) AS n FROM rb GROUP BY roi HAVING count(*) < 20", REGION)
 
@@ -261,3 +263,9 @@ def _embedding_regions(s: SparkSession, d: str) -> DataFrame:
 
 register("lssc_rois", _embedding_regions)
 register("denoised_traces", lambda s, d: (lambda f: extract.denoised_traces(_both(f), f))(src.event_frames(s, d)))
+_on_frames("unassigned", lambda f: regions.assign_unassigned(_odd(f), _size(f)[0], 15).select("roi", "pixel"), "SELECT roi, pixel FROM (SELECT f.roi, f.row * 15 + f.col AS pixel, row_number() OVER (PARTITION BY f.row, f.col ORDER BY round(pow(f.row - c.cr, 2) + pow(f.col - c.cc, 2), 9), f.roi) AS k FROM d1 f JOIN (SELECT roi, avg(row) AS cr, avg(col) AS cc FROM od GROUP BY roi) c USING (roi) WHERE f.row * 15 + f.col NOT IN (SELECT pixel FROM od)) WHERE k = 1", REGION, _DIL)
+_on_frames("overlap_traces", lambda f: traces.overlap_traces(_a(f).where("roi = 0"), _b(f).where("roi = 0"), f).select("part", "frame", R6("v")), "SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'a only' ELSE 'b only' END AS part, frame, round(avg(v), 6) AS v FROM (SELECT pixel, bool_or(s = 0) AS a, bool_or(s = 1) AS b FROM (SELECT pixel, 0 AS s FROM ra WHERE roi = 0 UNION ALL SELECT pixel, 1 FROM rb WHERE roi = 0) GROUP BY pixel) JOIN frames USING (pixel) GROUP BY ALL", REGION)
+_on_frames("embed_image", lambda f: traces.embedding_image(f.withColumn("block", F.expr("frame div 10")).groupBy("pixel", "block").agg(F.collect_list("v").alias("x"))).select("pixel", F.round("norm", 5).alias("norm"), F.round("scaled", 5).alias("scaled")), "SELECT pixel, round(norm, 5) AS norm, round(greatest(0, least(1, (norm - a) / nullif(b - a, 0))), 5) AS scaled FROM nm, (SELECT quantile_cont(norm, 0.05) AS a, quantile_cont(norm, 0.95) AS b FROM nm)", ",\nnm AS (SELECT pixel, max(n) AS norm FROM (SELECT pixel, frame // 10 AS block, sqrt(sum(v * v)) AS n FROM frames GROUP BY ALL) GROUP BY pixel)")
+_on_frames("percentile_ladder", lambda f: traces.percentile_ladder(_trace(f), [0.1, 0.5, 0.9]).select("roi", F.col("share").cast("double").alias("share"), R6("v")), "SELECT roi, CAST(share AS DOUBLE) AS share, round(v, 6) AS v FROM (SELECT roi, 0.1 AS share, quantile_cont(v, 0.1) AS v FROM tr GROUP BY roi UNION ALL SELECT roi, 0.5, quantile_cont(v, 0.5) FROM tr GROUP BY roi UNION ALL SELECT roi, 0.9, quantile_cont(v, 0.9) FROM tr GROUP BY roi)", REGION, TRACE)
+register("footprint_corr", lambda s, d: (lambda f: regions.footprint_correlation(_both(f), f, traces.activity(traces.mean_trace(_both(f), f), 3, 0.3, 2, 4)))(src.event_frames(s, d)))
+_on_frames("run_table", lambda f: evaluate.parameter_grid(f.sparkSession, {"limit": [1.0, 2.0], "side": [5]}).join(_match(f).agg(F.count("*").alias("hits"))).select("config", "limit", "side", "hits"), "SELECT CAST(c AS BIGINT) AS config, CAST(c + 1 AS DOUBLE) AS limit, 5 AS side, (SELECT count(*) FROM mt) AS hits FROM (VALUES (0), (1)) g(c)", REGION, _CEN)
