@@ -84,11 +84,11 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-ROW = "anchor long, d1 long, d2 long, rid long, first int, windows int, at int"
+ROW = "anchor long, d1 long, d2 long, rid long, firsts array<int>, windows int, lead int"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of each different text of a partition, without their bytes."""
+    """Records of each different text of a partition, without their bytes; equal records of a text are one row with all their places."""
     seen: set[int] = set()
     for batch in batches:
         out: list[tuple] = []
@@ -99,12 +99,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
             seen.add(rid)
             first, last, at, h = records(np.frombuffer(b, np.uint8))
-            d = [_halves(xxhash.xxh3_128_digest(b[x : y + LENGTH])) for x, y in zip(first.tolist(), last.tolist())]
-            out.append((h.view(np.int64), np.array(d, np.int64).reshape(-1, 2), np.full(len(first), rid), first, last - first + 1, at))
+            d = np.array([_halves(xxhash.xxh3_128_digest(b[x : y + LENGTH])) for x, y in zip(first.tolist(), last.tolist())], np.int64).reshape(-1, 2)
+            order = np.lexsort((d[:, 1], d[:, 0], h))  # stable, so that equal records stay in order of the text
+            h, d, first, last, at = h[order], d[order], first[order], last[order], at[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]).any(1)])
+            own = np.flatnonzero(new)
+            out.append((h[own].view(np.int64), d[own], np.full(len(own), rid), (last - first + 1)[own], (at - first)[own], first, np.diff(np.concatenate([own, [len(h)]]))))
         if not out:
             continue
-        anchor, d, rids, first, windows, at = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(rids), *(pa.array(x.astype(np.int32)) for x in (first, windows, at))], ["anchor", "d1", "d2", "rid", "first", "windows", "at"])
+        anchor, d, rids, windows, lead, first, times = (np.concatenate(x) for x in zip(*out))
+        firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]).astype(np.int32)), pa.array(first.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(rids), firsts, *(pa.array(x.astype(np.int32)) for x in (windows, lead))], ["anchor", "d1", "d2", "rid", "firsts", "windows", "lead"])
 
 
 SLICE = "hot boolean, anchor long, d1 long, d2 long, windows int, slice binary, core long, s1 long, off int, marks array<long>"
@@ -322,11 +327,11 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     rows = common.map_rows(docs.select("rid", "text"), _rows, ROW).repartition("anchor").distinct()
     by = "partition by anchor"
     members = scratch.put(
-        rows.selectExpr("*", f"count(*) over ({by}) as c", f"dense_rank() over ({by} order by d1, d2) as k", f"count(*) over ({by}, d1, d2) as n", f"row_number() over ({by}, d1, d2 order by rid, first) as rn")
+        rows.selectExpr("*", f"sum(size(firsts)) over ({by}) as c", f"dense_rank() over ({by} order by d1, d2) as k", f"sum(size(firsts)) over ({by}, d1, d2) as n", f"row_number() over ({by}, d1, d2 order by rid) as rn")
         .where("c >= 2").selectExpr("* except (c, k)", f"max(k) over ({by}) as m"),
         "members",
     )
-    wanted = members.where("rn = 1 and m >= 2").groupBy("rid").agg(F.collect_list(F.struct("anchor", "d1", "d2", "first", "windows", "at", "m")).alias("wanted"))
+    wanted = members.where("rn = 1 and m >= 2").groupBy("rid").agg(F.collect_list(F.struct("anchor", "d1", "d2", F.col("firsts")[0].alias("first"), "windows", (F.col("firsts")[0] + F.col("lead")).alias("at"), "m")).alias("wanted"))
     texts = docs.where(F.octet_length("text") >= LENGTH).groupBy("rid").agg(F.first("text").alias("text"))
     slices = scratch.put(common.map_rows(texts.join(wanted, "rid").select("text", "wanted"), lambda batches: _slices(batches, most), SLICE), "slices")
     cold = common.map_rows(slices.where("not hot").select("anchor", "d1", "d2", "slice").repartition("anchor").sortWithinPartitions("anchor", "d1", "d2"), _sorted_groups, "anchor long, d1 long, d2 long, lo int, hi int")
@@ -337,8 +342,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
         .selectExpr("*", "count(*) over (partition by core, mark) as same").where("same >= 2 and n = 1").selectExpr("anchor", "d1", "d2", "off + i as lo", "off + i as hi")
     )
     found = scratch.put(cold.unionByName(blocks).unionByName(single), "found")
-    shared = members.where("n = 1").join(found, ["anchor", "d1", "d2"]).selectExpr("rid", "first + lo as s", f"first + hi + {LENGTH} as e")
-    whole = members.where("n >= 2").selectExpr("rid", "first as s", f"first + windows - 1 + {LENGTH} as e")
+    shared = members.where("n = 1").join(found, ["anchor", "d1", "d2"]).selectExpr("rid", "firsts[0] + lo as s", f"firsts[0] + hi + {LENGTH} as e")
+    whole = members.where("n >= 2").selectExpr("rid", "windows", "explode(firsts) as first").selectExpr("rid", "first as s", f"first + windows - 1 + {LENGTH} as e")
     copied = docs.groupBy("rid").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("e")).where(f"n >= 2 and e >= {LENGTH}").selectExpr("rid", "0 as s", "e")
     return docs, scratch.put(shared.unionByName(whole).unionByName(copied), "spans")
 
