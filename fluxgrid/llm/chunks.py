@@ -9,7 +9,7 @@ Digest counts are pre-aggregated in every task, so that a chunk which a third of
 the join that brings counts back to the chunks is one that Spark splits where a key is hot.
 
 Edge cases: null and empty texts have no chunk. Rows with equal doc_id and text are one place: their chunks count as repeated,
-and the first occurrence stays in each. A text with its own chunk twice is repeated too. Ties in position can't occur.
+and the first occurrence stays in each; so it is where rows of one doc_id have different texts with a chunk at one place. A text with its own chunk twice is repeated too. Ties in position can't occur.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(ends))
         d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
         owner = pa.array(np.repeat(np.arange(batch.num_rows), n))
-        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), ids.take(owner), batch.column("rid").take(owner), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], ["d1", "d2", "doc_id", "rid", "at", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), ids.take(owner), batch.column("rid").take(owner), pa.array(np.array(starts, np.int64) << 9 | np.array(sizes, np.int64))], ["d1", "d2", "doc_id", "rid", "span"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Record
         out = []
         for doc, rid, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "found"))):
             run: list[tuple] = []
-            for c in [*sorted({(x["at"], x["size"], x["removed"], x["n"]) for x in found}), None]:
+            for c in [*sorted({(x["span"] >> 9, x["span"] & 511, x["removed"], x["n"]) for x in found}), None]:
                 if run and (c is None or c[0] != run[-1][0] + run[-1][1]):
                     if run[-1][0] + run[-1][1] - run[0][0] >= min_run:
                         part = [run[0]]
@@ -99,10 +99,10 @@ def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Record
 def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, rid, start, end, n_chunks, n_copies, removed) of each repeated passage of docs(doc_id, text); offsets are bytes, rid is the text's hash."""
     scratch = common.Scratch(docs.sparkSession)
-    chunks = scratch.put(common.map_rows(docs.withColumn("rid", F.xxhash64("text")), _chunks, "d1 long, d2 long, doc_id long, rid long, at int, size int"), "chunks")
-    often = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "at")).alias("first")).where("n >= 2")
-    found = chunks.join(often, ["d1", "d2"]).select("doc_id", "rid", "at", "size", "n", (~F.struct("doc_id", "rid", "at").eqNullSafe(F.col("first"))).alias("removed"))
-    per_doc = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("at", "size", "n", "removed")).alias("found"))
+    chunks = scratch.put(common.map_rows(docs.withColumn("rid", F.xxhash64("text")), _chunks, "d1 long, d2 long, doc_id long, rid long, span long"), "chunks")
+    often = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("first")).where("n >= 2")
+    found = chunks.join(often, ["d1", "d2"]).select("doc_id", "rid", "span", "n", (~F.struct("doc_id", "span").eqNullSafe(F.col("first"))).alias("removed"))
+    per_doc = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("span", "n", "removed")).alias("found"))
     return common.map_rows(per_doc, lambda batches: _runs(batches, min_run), "doc_id long, rid long, start long, end long, n_chunks long, n_copies long, removed boolean")
 
 
