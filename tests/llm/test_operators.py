@@ -249,7 +249,7 @@ def test_op8_base_and_probability(spark, small):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(train[w] > 0 for w in ws), n)
         assert abs(got[i].base_score - base) < 1e-6 * max(1, abs(base)) and got[i].score < 0
     raw = b"the cat sat on the mat"
-    keys, counts = np.unique(lm.grams([raw.split()] * 30)[0], return_counts=True)
+    keys, counts = np.unique(lm.grams([raw] * 30)[0], return_counts=True)
     by_depth = []
     for d in range(lm.DEPTH + 1):
         k = ((keys >> np.uint64(8 * (lm.DEPTH - d) + 8)) << np.uint64(8)) | (keys & np.uint64(255)) if d else keys & np.uint64(255)
