@@ -5,7 +5,7 @@ it. Chunks are compared by 128-bit digest over all texts. A run of neighbouring
 ``MIN_RUN`` bytes or more is a repeated passage; of each chunk, the first occurrence (by doc_id, then position) stays and the
 others go.
 
-Digest counts are pre-aggregated in every task, so that a chunk which a third of the texts share stays small in the shuffle;
+A chunk that a text repeats is one row with all its places, and digest counts are pre-aggregated in every task, so that a chunk which a third of the texts share stays small in the shuffle;
 the join that brings counts back to the chunks is one that Spark splits where a key is hot.
 
 Edge cases: null and empty texts have no chunk. Rows with equal doc_id and text are one place: their chunks count as repeated,
@@ -59,20 +59,23 @@ def cut_points(b: bytes) -> list[int]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each different chunk of a text, with all its places, packed as start * 512 + length."""
     for batch in batches:
-        ids, digests, starts, sizes, n = batch.column("doc_id"), [], [], [], []
+        digests: list[bytes] = []
+        places: list[list[int]] = []
+        n = []
         for b in common.as_bytes(batch.column("text")):
+            own: dict[bytes, list[int]] = {}
             at = 0
-            ends = cut_points(b)
-            for e in ends:
-                digests.append(xxhash.xxh3_128_digest(b[at:e]))
-                starts.append(at)
-                sizes.append(e - at)
+            for e in cut_points(b):
+                own.setdefault(xxhash.xxh3_128_digest(b[at:e]), []).append(at << 9 | (e - at))
                 at = e
-            n.append(len(ends))
+            digests += own
+            places += own.values()
+            n.append(len(own))
         d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
         owner = pa.array(np.repeat(np.arange(batch.num_rows), n))
-        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), ids.take(owner), batch.column("rid").take(owner), pa.array(np.array(starts, np.int64) << 9 | np.array(sizes, np.int64))], ["d1", "d2", "doc_id", "rid", "span"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), batch.column("doc_id").take(owner), batch.column("rid").take(owner), pa.array(places, pa.list_(pa.int64()))], ["d1", "d2", "doc_id", "rid", "spans"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
@@ -80,7 +83,7 @@ def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Record
         out = []
         for doc, rid, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "found"))):
             run: list[tuple] = []
-            for c in [*sorted({(x["span"] >> 9, x["span"] & 511, x["removed"], x["n"]) for x in found}), None]:
+            for c in [*sorted({(p >> 9, p & 511, p != x["keep"], x["n"]) for x in found for p in x["spans"]}), None]:
                 if run and (c is None or c[0] != run[-1][0] + run[-1][1]):
                     if run[-1][0] + run[-1][1] - run[0][0] >= min_run:
                         part = [run[0]]
@@ -99,10 +102,10 @@ def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Record
 def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, rid, start, end, n_chunks, n_copies, removed) of each repeated passage of docs(doc_id, text); offsets are bytes, rid is the text's hash."""
     scratch = common.Scratch(docs.sparkSession)
-    chunks = scratch.put(common.map_rows(docs.withColumn("rid", F.xxhash64("text")), _chunks, "d1 long, d2 long, doc_id long, rid long, span long"), "chunks")
-    often = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("first")).where("n >= 2")
-    found = chunks.join(often, ["d1", "d2"]).select("doc_id", "rid", "span", "n", (~F.struct("doc_id", "span").eqNullSafe(F.col("first"))).alias("removed"))
-    per_doc = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("span", "n", "removed")).alias("found"))
+    chunks = scratch.put(common.map_rows(docs.withColumn("rid", F.xxhash64("text")), _chunks, "d1 long, d2 long, doc_id long, rid long, spans array<long>"), "chunks")
+    often = chunks.groupBy("d1", "d2").agg(F.sum(F.size("spans")).alias("n"), F.min(F.struct("doc_id", F.col("spans")[0].alias("span"))).alias("first")).where("n >= 2")
+    found = chunks.join(often, ["d1", "d2"]).select("doc_id", "rid", "spans", "n", F.when(F.col("doc_id").eqNullSafe(F.col("first.doc_id")), F.col("first.span")).alias("keep"))
+    per_doc = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("spans", "n", "keep")).alias("found"))
     return common.map_rows(per_doc, lambda batches: _runs(batches, min_run), "doc_id long, rid long, start long, end long, n_chunks long, n_copies long, removed boolean")
 
 
