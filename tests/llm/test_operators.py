@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fluxgrid.llm import chunks, common, decontaminate, jaccard, langid, lm, mixing, quality, secrets, substrings, toxicity
 
@@ -259,6 +260,24 @@ def test_op8_base_and_probability(spark, small):
     assert abs((10 ** tree.bits(context | np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-5
 
 
+def test_op8_every_gram_counts(spark):
+    """More distinct grams than any fixed number of kept ones: scores are those of the whole tree."""
+    letters = np.random.default_rng(5).choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 900_000).tobytes().decode()
+    texts = [letters[i : i + 30_000] for i in range(0, len(letters), 30_000)]
+    rows = common.texts(docs_of(spark, texts + ["unseen" + texts[0][:300]])).withColumn("held_out", F.col("doc_id") == len(texts))
+    got = {r.doc_id: r.score for r in lm.score(rows, lm.fit(rows.where("not held_out"))).collect()}
+    keys, counts = np.unique(lm.grams([t.encode() for t in texts])[0], return_counts=True)
+    assert len(keys) > 700_000
+    by_depth = []
+    for d in range(lm.DEPTH + 1):
+        k = ((keys >> np.uint64(8 * (lm.DEPTH - d) + 8)) << np.uint64(8)) | (keys & np.uint64(255)) if d else keys & np.uint64(255)
+        by_depth.append(lm._summed(k, counts))
+    tree = lm.Tree.build(by_depth)
+    for i, t in ((0, texts[0]), (17, texts[17]), (len(texts), "unseen" + texts[0][:300])):
+        want = tree.bits(lm.grams([t.encode()])[0]).sum()
+        assert abs(got[i] - want) < 1e-5 * abs(want)
+
+
 def test_op9_base_patterns(spark):
     texts = ['password = "abcdef" x', "TOKEN: abc token=abcdefgh", "AKIA" + "A" * 16 + " AKIA12", "f" * 24 + "g" + "f" * 23, "é api_key='éabcdef' Api-key: qwerty12", 'cfg = "Zx81kPq90LmN2"\nauth_key = cfg\n', "name = \"short\"", None, ""]
     got = {r.doc_id: r for r in secrets.find_secrets(docs_of(spark, texts)).collect()}
