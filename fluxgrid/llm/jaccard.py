@@ -7,6 +7,9 @@ out the similarity are dropped; of the rest, a spanning forest is checked first,
 The check is a trie join: partners of one set are ordered as paths of a prefix tree, overlaps counted on a shared path are kept
 for the next one, and a path is left as soon as its misses exceed what the lengths allow.
 
+The number of links of a document is counted afterwards over all pairs of sets of its class, since a link never leaves a class:
+n-grams of many sets by products of 0/1 matrices, rare ones pair by pair. That work is quadratic in the different sets of a class.
+
 Equal sets are one set throughout. Any global order is right; the list of frequent n-grams (``MAX_FREQUENT`` at most) only
 keeps groups small. Groups are dealt out in blocks of ``BLOCK`` sets, and pairs of blocks are compared where more than one class
 is left, so that no task holds an unbounded group.
@@ -335,10 +338,88 @@ def _pairs(rows: DataFrame, t: float, per_pair: int) -> DataFrame:
     return common.map_rows(dealt.select("token", "part", "sid", "n", "pos", "bits", "label", "side"), run, "token long, a long, b long")
 
 
-def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text).
+def count_links(n: np.ndarray, times: np.ndarray, members: list[np.ndarray], side: np.ndarray, t: float, often: int = 64) -> np.ndarray:
+    """For each set, how often the sets that are linked with it occur; only pairs of sides 0 and 1 count, or all where side is 2."""
+    row, inside = np.repeat(np.arange(len(n)), [len(s) for s in members]), bool(side[0] == 2)
+    _, col, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    a = np.arange(len(n)) if inside else np.flatnonzero(side == 0)
+    b = a if inside else np.flatnonzero(side == 1)
+    place = np.zeros(len(n), np.int64)
+    place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+    overlap = np.zeros((len(a), len(b)), np.float32)  # exact for sets of less than 2 ** 24
+    many = np.flatnonzero(count > often)
+    to = np.full(len(count), -1)
+    to[many] = np.arange(len(many))
+    at = to[col]
+    for lo in range(0, len(many), 512):
+        own = (at >= lo) & (at < lo + 512)
+        x = np.zeros((len(n), min(512, len(many) - lo)), np.float32)
+        x[row[own], at[own] - lo] = 1
+        overlap += x[a] @ x[b].T
+    rare = np.flatnonzero((count[col] > 1) & (count[col] <= often))
+    rare = rare[np.argsort(col[rare], kind="stable")]
+    r, c = row[rare], col[rare]
+    for k in range(1, often):
+        same = np.flatnonzero(c[k:] == c[:-k])
+        if not len(same):
+            break
+        i, j = r[same], r[same + k]
+        if inside:
+            np.add.at(overlap, (i, j), 1)
+            np.add.at(overlap, (j, i), 1)
+        else:
+            i, j = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
+            cross = (side[i] == 0) & (side[j] == 1)
+            np.add.at(overlap, (place[i[cross]], place[j[cross]]), 1)
+    out = np.zeros(len(n), np.int64)
+    for lo in range(0, len(a), 256):
+        own = a[lo : lo + 256]
+        link = overlap[lo : lo + 256] >= required(n[own][:, None], n[b][None, :], t)
+        if inside:
+            link[np.arange(len(own)), np.arange(lo, lo + len(own))] = False
+        out[own] += link @ times[b]
+        if not inside:
+            out[b] += times[own] @ link
+    return out
+
+
+def _links(rows: DataFrame, t: float) -> DataFrame:
+    """(sid, n_links) from rows(component, part, sid, n, times, members, side), to be summed by sid; a part of a class is compared as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        done: list[tuple[list, list]] = []
+
+        def compare() -> None:
+            if len(held) > 1:
+                sid, n, times, raw, side = zip(*held)
+                done.append((list(sid), count_links(np.array(n), np.array(times), [np.frombuffer(x, np.uint64) for x in raw], np.array(side), t).tolist()))
+
+        def out() -> pa.RecordBatch:
+            cols = [[x for d in done for x in d[k]] for k in (0, 1)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["sid", "n_links"])
+
+        for batch in batches:
+            for class_, part, *row in zip(*(batch.column(c).to_pylist() for c in ("component", "part", "sid", "n", "times", "members", "side"))):
+                if (class_, part) != key:
+                    compare()
+                    if len(done) > 1000:
+                        yield out()
+                    key, held = (class_, part), []
+                held.append(row)
+        compare()
+        yield out()
+
+    dealt = rows.repartition("component", "part").sortWithinPartitions("component", "part")
+    return common.map_rows(dealt.select("component", "part", "sid", "n", "times", "members", "side"), run, "sid long, n_links long")
+
+
+def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of docs(doc_id, text); n_links only if count is set.
 
     component_id is the smallest doc_id that is reachable over pairs of similarity t or more; the row's own where there is none.
+    n_links is the number of other rows of similarity t or more.
     """
     scratch = common.Scratch(docs.sparkSession)
     rank = _frequent(docs, n)
@@ -382,6 +463,7 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
         needed = edges.select(F.col("a").alias("sid")).union(edges.select("b")).distinct().join(all_sets.where("bits is not null").groupBy("sid").agg(F.min("rid").alias("rid")), "sid")
         texts = docs.groupBy("rid").agg(F.first("text").alias("text")).join(needed, "rid").select("sid", "text")
         sets = scratch.put(common.map_rows(texts, remake, "sid long, members binary"), f"members-{name}")
+        held.append(sets)
         return scratch.put(_check(edges, sets, t), f"links-{name}")
 
     # Round 1: a spanning forest of what may be similar, within each block of a group.
@@ -389,6 +471,7 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
     first = placed.select("token", "sid", "n", "pos", "bits", F.col("own").alias("part"), F.col("sid").alias("label"), F.lit(2).alias("side"))
     forest = scratch.put(_pairs(first, t, 0), "forest")
     tried = scratch.put(forest.select("a", "b").distinct(), "tried-0")
+    held: list[DataFrame] = []  # members of all sets that were checked
     links = checked(tried, "0")
     vertices = tried.select(F.col("a").alias("v")).union(tried.select("b")).distinct()
     # Further rounds, for groups of which an edge failed or which have several blocks: pairs between classes that are still
@@ -412,15 +495,29 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
         vertices = tried.select(F.col("a").alias("v")).union(tried.select("b")).distinct()
     else:
         label = scratch.put(common.connected_components(vertices, links), "labels")
-    classes = all_sets.join(label, F.col("sid") == F.col("v"), "left").select("doc_id", "n", F.coalesce("component", "sid").alias("class"))
+    classes = all_sets.join(label, F.col("sid") == F.col("v"), "left").select("doc_id", "sid", "n", F.coalesce("component", "sid").alias("class"))
     lowest = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("lowest"))
     joined = classes.join(lowest, "class", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = ("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+    if not count:
+        return joined.select(*own)
+    # Links: all pairs of sets of one class, in pairs of blocks. Every set of a class of several was checked, so its members are at hand.
+    times = all_sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.count("*").alias("times"))
+    sized = label.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("component")) / (2 * block)).cast("int")).withColumn("size", F.count("*").over(Window.partitionBy("component"))).where("size > 1")
+    members = held[0]
+    for more in held[1:]:
+        members = members.unionByName(more.join(members.select("sid"), "sid", "left_anti"))
+    dealt = sized.select(F.col("v").alias("sid"), "component", "blocks").join(times, "sid").join(members, "sid")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
+    linked = scratch.put(_links(dealt, t).groupBy("sid").agg(F.sum("n_links").alias("n_links")), "linked")
+    number = times.join(linked, "sid", "left").select(F.col("sid").alias("class_sid"), (F.col("times") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return joined.join(number, F.col("sid") == F.col("class_sid"), "left").select(*own, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     """One row of docs for each class of similar texts: that with the smallest doc_id; of rows with one doc_id, one stays where its text is in a class of more than itself."""
-    classes = similar_sets(common.texts(docs), n, t).select("doc_id", "component_id").distinct()
+    classes = similar_sets(common.texts(docs), n, t, count=False).select("doc_id", "component_id").distinct()
     stay = classes.where("doc_id = component_id or doc_id is null").select("doc_id")
     numbered = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
     order = Window.partitionBy("doc_id", "__text").orderBy("__row")
@@ -429,5 +526,5 @@ def keep_one(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of all documents by similarity 0.9 of their 3-word shingles."""
+    """Classes and numbers of links of all documents by similarity 0.9 of their 3-word shingles."""
     return similar_sets(common.texts(common.table(spark, sf_dir, "documents")), 3, 0.9)

@@ -159,6 +159,31 @@ def test_op4_brute_force(spark, n, t, block):
     assert got == brute_classes(texts, n, t)
 
 
+@pytest.mark.parametrize("n,t,block", [(3, 90, 2048), (5, 80, 2048), (3, 90, 2)])
+def test_op4_number_of_links(spark, n, t, block):
+    texts = near_copies()
+    texts += texts[:3]
+    sets = []
+    for x in texts:
+        w = WORD.findall((x or "").encode().lower())
+        sets.append(set(zip(*(w[i:] for i in range(n)))) if len(w) >= n else {tuple(w)} if w else set())
+    want = {i: sum(bool(s) and i != j and 100 * len(s & o) >= t * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)}
+    got = {r.doc_id: r.n_links for r in jaccard.similar_sets(common.texts(docs_of(spark, texts)), n, t / 100, block).collect()}
+    assert got == want and max(want.values()) > 3
+
+
+def test_op4_count_links():
+    own = np.random.default_rng(3)
+    base = own.choice(1 << 40, 80, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([own.permutation(base)[: int(own.integers(60, 80))], own.integers(0, 40, 4).astype(np.uint64)])) for _ in range(150)]
+    n, times = np.array([len(s) for s in sets]), own.integers(1, 4, 150)
+    link = np.array([[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    for side in (np.full(150, 2), own.integers(0, 2, 150)):
+        ok = link & (~np.eye(150, dtype=bool) if side[0] == 2 else side[:, None] != side)
+        for often in (8, 64, 1000):
+            assert (jaccard.count_links(n, times, sets, side, 0.8, often) == ok @ times).all()
+
+
 def test_op4_trie_join():
     sets = [np.unique(rng.integers(0, 60, int(k)).astype(np.uint64)) for k in rng.integers(5, 60, 80)]
     a = sets[0]
