@@ -489,7 +489,9 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
         found = scratch.put(_pairs(rest, t, per_pair), f"found-{k}")
         more = scratch.put(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"tried-{k}")
         if more.isEmpty():
-            break
+            if per_pair < 0:
+                break
+            continue  # the few pairs of each two classes may all have been tried; others are left
         tried, forest = tried.unionByName(more), forest.unionByName(found)
         links = links.unionByName(checked(more, str(k)))
         vertices = tried.select(F.col("a").alias("v")).union(tried.select("b")).distinct()

@@ -184,6 +184,15 @@ def test_op4_count_links():
             assert (jaccard.count_links(n, times, sets, side, 0.8, often) == ok @ times).all()
 
 
+def test_op4_exact_round_is_not_skipped(spark, monkeypatch):
+    """The round with a few pairs of each two classes finds nothing that wasn't tried; the round with all pairs has to follow."""
+    whole = jaccard._pairs
+    monkeypatch.setattr(jaccard, "_pairs", lambda rows, t, per_pair: whole(rows, t, per_pair).where(str(per_pair <= 0)))
+    texts = near_copies()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_sets(common.texts(docs_of(spark, texts)), 3, 0.9, 2).collect()}
+    assert got == brute_classes(texts, 3, 90)
+
+
 def test_op4_trie_join():
     sets = [np.unique(rng.integers(0, 60, int(k)).astype(np.uint64)) for k in rng.integers(5, 60, 80)]
     a = sets[0]
