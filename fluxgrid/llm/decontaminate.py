@@ -8,7 +8,10 @@ A candidate is a leak if the longest common subsequence of words covers ``SURE``
 (what follows "answer:", else the item's last words) is there too; and if the item's informative words alone are covered by
 ``INFORMATIVE``, so that frequent words don't make a leak.
 
-Items are taken in blocks of ``MAX_ITEMS``, so that what is sent to the workers is bounded whatever the benchmark's size. Words
+An item longer than a passage is sought by parts of ``PART`` words or less; the text around a candidate that is held against the whole
+item grows with the item, by what lies before and behind the part and a margin.
+
+Items are taken in blocks of ``MAX_ITEMS`` parts, so that what is sent to the workers is bounded whatever the benchmark's size. Words
 are compared in lower case without marks at either end; only words of the block's items are kept of a document.
 
 Edge cases: null and empty texts and items have no words and leak nothing. A document shorter than a passage is one passage.
@@ -30,6 +33,8 @@ from fluxgrid.llm import common
 
 STEP, WIDTH = 24, 3
 MAX_ITEMS, RANK, SPARE, STEPS = 256, 192, 16, 1
+#: Words in a part of an item that is longer than a passage; and the margin of its text, as a share of the item.
+PART, MARGIN = 48, 0.25
 #: A word in more than this share of blocks says little; of an item that would keep too few words, the rarest ones stay.
 COMMON, LEAST_WORDS = 0.0007, 8
 MIN_COSINE, MAYBE, SURE, INFORMATIVE = 0.35, 0.5, 0.7, 0.5
@@ -57,8 +62,13 @@ def common_subsequence(item: list[int], text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
+def n_parts(n: int) -> int:
+    """Parts by which an item of n words is sought."""
+    return 1 if n <= STEP * WIDTH else -(-n // PART)
+
+
 class Items:
-    """One block of benchmark items: vocabulary, words and answers."""
+    """One block of benchmark items: vocabulary, words, answers, and the parts (item, first word, words) by which they are sought."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         words = [(i, split(raw), split(raw[m.end() :]) if (m := ANSWER.search(raw)) else None) for i, raw in rows]
@@ -68,6 +78,10 @@ class Items:
         self.ids = [i for i, _, _ in words]
         self.words = [[self.number[w] for w in ws] for _, ws, _ in words]
         self.answers = [[self.number[w] for w in a] if a else ws[-ANSWER_WORDS:] for (_, _, a), ws in zip(words, self.words)]
+        self.parts: list[tuple[int, int, list[int]]] = []
+        for i, ws in enumerate(self.words):
+            edges = [len(ws) * k // n_parts(len(ws)) for k in range(n_parts(len(ws)) + 1)]
+            self.parts += [(i, a, ws[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 def _numbered(docs: DataFrame, items: Items) -> DataFrame:
@@ -179,18 +193,18 @@ def _gram_times(numbered: DataFrame, column: np.ndarray, weight: np.ndarray, x:
 
 
 def latent_space(numbered: DataFrame, items: Items, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(column of each word or -1, rows of the projection with idf in them, unit vectors of the items)."""
+    """(column of each word or -1, rows of the projection with idf in them, unit vectors of the items' parts)."""
     size = len(items.number)
     total, df = _document_frequency(numbered, size)
     idf = np.log((total + 1) / (df + 1)) + 1
     keep = df <= COMMON * total
-    for ws in items.words:
+    for _, _, ws in items.parts:
         own = np.unique(ws)
         keep[own[np.argsort(df[own], kind="stable")[:LEAST_WORDS]]] = True
     column = np.where(keep, np.cumsum(keep) - 1, -1)
     weight = idf[keep]
-    b = np.zeros((len(items.words), len(weight)))
-    for i, ws in enumerate(items.words):
+    b = np.zeros((len(items.parts), len(weight)))
+    for i, (_, _, ws) in enumerate(items.parts):
         c = column[np.array(ws)]
         np.add.at(b[i], c[c >= 0], 1.0)
     b *= weight
@@ -215,7 +229,7 @@ def _search(numbered: DataFrame, items: Items, space: tuple[np.ndarray, np.ndarr
         words, tells = [set(ws) for ws in items.words], [set(ws) for ws in telling]
         # A common subsequence has no more words than both have, repeats counted; that is cheap to see first.
         enough = [(MAYBE * len(ws) - (len(ws) - len(w)), INFORMATIVE * len(ts) - (len(ts) - len(t))) for ws, w, ts, t in zip(items.words, words, telling, tells)]
-        least = max(2, int(np.ceil(0.8 * INFORMATIVE * min(map(len, telling)))))  # no leak has fewer informative words, four in five of them in one passage
+        least = max(2, int(np.ceil(0.8 * INFORMATIVE * min(sum(column[w] >= 0 for w in ws) for _, _, ws in items.parts))))  # no leak has fewer informative words of some part, four in five of them in one passage
         for batch in batches:
             b = Batch(batch)
             out: dict[tuple[int, int], tuple] = {}
@@ -224,13 +238,21 @@ def _search(numbered: DataFrame, items: Items, space: tuple[np.ndarray, np.ndarr
             own, y = b.passages(rows, word, block, least)
             y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
             cosine = y @ q.T
-            last = -1
-            for p, i in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE))):
-                if p != last:
-                    d = int(np.searchsorted(b.first, own[p], side="right")) - 1
-                    at = int(own[p] - b.first[d]) * STEP
-                    text = b.docs[d][max(0, at - STEP) : at + (WIDTH + 1) * STEP]
-                    held, last = set(text.tolist()), p
+            last = None
+            checked: set[tuple[int, int, int]] = set()  # texts that were held against an item of several parts
+            for p, part in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE))):
+                i, start, own_words = items.parts[part]
+                d = int(np.searchsorted(b.first, own[p], side="right")) - 1
+                at = int(own[p] - b.first[d]) * STEP
+                before, behind = start, len(items.words[i]) - start - len(own_words)
+                if before or behind:
+                    before, behind = (x + int(MARGIN * len(items.words[i])) for x in (before, behind))
+                    if (d, i, at - before) in checked:
+                        continue
+                    checked.add((d, i, at - before))
+                if (p, before, behind) != last:
+                    text = b.docs[d][max(0, at - STEP - before) : at + (WIDTH + 1) * STEP + behind]
+                    held, last = set(text.tolist()), (p, before, behind)
                 if len(tells[i] & held) < enough[i][1] or len(words[i] & held) < enough[i][0]:
                     continue
                 item = items.words[i]
@@ -239,8 +261,8 @@ def _search(numbered: DataFrame, items: Items, space: tuple[np.ndarray, np.ndarr
                 found = common_subsequence(answer, text) >= ANSWER_SHARE * len(answer)
                 if (share >= SURE or share >= MAYBE and found) and common_subsequence(telling[i], text) >= INFORMATIVE * len(telling[i]):
                     old = out.get((d, i))
-                    if old is None or (share, cosine[p, i]) > (old[1], old[0]):
-                        out[d, i] = (float(cosine[p, i]), share, found, at)
+                    if old is None or (share, cosine[p, part]) > (old[1], old[0]):
+                        out[d, i] = (float(cosine[p, part]), share, found, at)
             docs = batch.column("doc_id").to_pylist()
             cols = [[docs[d] for d, _ in out], [items.ids[i] for _, i in out], *([v[k] for v in out.values()] for k in range(4))]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64())
@@ -256,7 +278,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, covered double, answer_found boolean, at_word long")
     ranked = items.repartitionByRange(8, "item_id", F.xxhash64("text")).sortWithinPartitions("item_id", F.xxhash64("text"))
     held: list[tuple[int, bytes]] = []
-    k = 0
+    k = size = 0
 
     def block(rows: list[tuple[int, bytes]]) -> DataFrame:
         own = Items(rows)
@@ -266,9 +288,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return scratch.put(_search(numbered, own, latent_space(numbered, own)), f"leaks-{k}")
 
     for r in ranked.toLocalIterator():  # partition by partition: one block of items is held at a time
-        held.append((r.item_id, r.text.encode()))
-        if len(held) == MAX_ITEMS:
-            out, held, k = out.unionByName(block(held)), [], k + 1
+        raw = r.text.encode()
+        own = n_parts(len(split(raw)))
+        if held and size + own > MAX_ITEMS:
+            out, held, k, size = out.unionByName(block(held)), [], k + 1, 0
+        held.append((r.item_id, raw))
+        size += own
     return out.unionByName(block(held)) if held else out
 
 

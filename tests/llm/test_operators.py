@@ -221,6 +221,20 @@ def test_op3_leaks(spark):
     assert decontaminate.leaks(common.texts(docs_of(spark, texts)), bench.limit(0)).count() == 0
 
 
+def test_op3_long_items(spark):
+    """Items far longer than a passage, copied whole, with changes, and in part."""
+    own = np.random.default_rng(4)
+    words = ["".join(own.choice(list("abcdefgh"), 7)) for _ in range(3000)]
+    make = lambda n: " ".join(own.choice(words, n))
+    items = [make(300), make(1500), make(200), make(35)]
+    changed = items[2].split()
+    changed[::9] = ["changed"] * len(changed[::9])
+    texts = [make(250) for _ in range(40)] + [make(77) + " " + items[0] + " " + make(60), items[1], make(20) + " " + " ".join(changed), " ".join(items[0].split()[:100]) + " " + make(300), make(500) + " " + items[3]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered for r in decontaminate.leaks(common.texts(docs_of(spark, texts)), bench).collect()}
+    assert set(got) == {(40, 0), (41, 1), (42, 2), (44, 3)} and got[40, 0] == got[41, 1] == 1.0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=20), st.lists(st.integers(-1, 4), max_size=30))
 def test_op3_common_subsequence(a, b):
