@@ -40,6 +40,11 @@ TOKEN = re.compile(r"""(?P<str>"[^"\n]{0,4096}"|'[^'\n]{0,4096}')|(?P<name>[A-Za
 MARK = re.compile(r"[=:]")
 #: The part of a text around an assignment that the lexer has to read: a name before it and a literal after it.
 BACK, AHEAD = 128, 4200
+#: ``<name>literal</name>``, and the tags of ``<x name="name" value="literal"/>`` and ``<x name="name">literal</x>``.
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
+TAG = re.compile(r"<[A-Za-z_][^<>]*>(?:([^<>]*)</)?")
+NAMED = re.compile(r"""\s(?:name|key|id)\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)')""")
+VALUED = re.compile(r"""\svalue\s*=\s*(?:"([^"<>]*)"|'([^'<>]*)')""")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -99,6 +104,29 @@ def pairs(text: str) -> list[tuple[int, int, str, str]]:
     return found
 
 
+def tagged(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, name, literal) of each literal that is the content of an element or the value attribute of a tag with a name."""
+    found = []
+
+    def add(name: str, a: int, raw: str) -> None:
+        literal = raw.strip()
+        a += len(raw) - len(raw.lstrip())
+        if literal:
+            found.append((a, a + len(literal), name, literal))
+
+    for m in ELEMENT.finditer(text):
+        add(m[1], m.start(2), m[2])
+    for m in TAG.finditer(text):
+        end = m.start(1) if m[1] is not None else m.end()
+        if name := NAMED.search(text, m.start(), end):
+            name = name[1] or name[2] or ""
+            if value := VALUED.search(text, m.start(), end):
+                add(name, value.start(value.lastindex), value[value.lastindex])
+            elif m[1] is not None:
+                add(name, m.start(1), m[1])
+    return found
+
+
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of the three patterns; failing matches are dropped after they were consumed."""
     out = []
@@ -114,8 +142,8 @@ def scan(text: str, raw: bytes) -> tuple[list, list]:
     """Base spans and all spans, by start and then kind."""
     base = sorted(base_spans(text, raw))
     more = set()
-    if b"=" in raw or b":" in raw:
-        for a, b, name, literal in pairs(text):
+    if b"=" in raw or b":" in raw or b"</" in raw:
+        for a, b, name, literal in pairs(text) + (tagged(text) if b"<" in raw else []):
             if name_score(name) + literal_score(literal) >= MIN_SCORE and name_score(name) > 0 and not any(x <= a and b <= y for x, _, y in base):
                 more.add((a, 3, b))
     return base, sorted(base + list(more))

@@ -340,6 +340,17 @@ def test_op9_base_patterns(spark):
     assert "Zx81" not in masked[5] and masked[7] is None and masked[8] == "" and masked[6] == texts[6]
 
 
+def test_op9_elements(spark):
+    key = "Zx81kPq90LmN2"
+    texts = [f"<a><db_password>{key}</db_password></a>", f"<auth_key kind='x'>\n {key} </auth_key>", f'<add key="db_password" value="{key}"/>', f'<property name="db_password">{key}</property>', f"<title>{key}</title>"]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs_of(spark, texts)).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts[:4]):
+        a = t.index(key)
+        assert f"pair:{a}:{a + len(key)}" in got[i].split(",") and masked[i] == t.replace(key, "[SECRET]"), i
+    assert got[4] == "" and masked[4] == texts[4]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(-3, 3, allow_nan=False), max_size=25))
 def test_op10_best_segment(scores):
