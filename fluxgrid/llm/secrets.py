@@ -38,8 +38,10 @@ MIN_LITERAL = 8
 
 TOKEN = re.compile(r"""(?P<str>"[^"\n]{0,4096}"|'[^'\n]{0,4096}')|(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*)|(?P<op>:=|=>|==|!=|[=:])|(?P<num>[0-9][A-Za-z0-9+/_.=-]*)|(?P<nl>[\n;,{}()])""")
 MARK = re.compile(r"[=:]")
-#: The part of a text around an assignment that the lexer has to read: a name before it and a literal after it.
+#: Where the lexer looks for tokens around an assignment, at least; a name that begins before or a literal that ends behind is read whole.
 BACK, AHEAD = 128, 4200
+#: A quoted literal right behind an assignment, of any length.
+QUOTED = re.compile(r"""[\x20\t]*(?:"[^"\n]*"|'[^'\n]*')""")
 #: ``<name>literal</name>``, and the tags of ``<x name="name" value="literal"/>`` and ``<x name="name">literal</x>``.
 ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
 TAG = re.compile(r"<[A-Za-z_][^<>]*>(?:([^<>]*)</)?")
@@ -72,22 +74,33 @@ def pairs(text: str) -> list[tuple[int, int, str, str]]:
         a, b = max(0, m.start() - BACK), min(len(text), m.end() + AHEAD)
         eol = text.find("\n", m.end(), b)
         b = b if eol < 0 else eol + 1
+        until = spans[-1][1] if spans else 0
+        while a > until and (text[a - 1].isalnum() or text[a - 1] in "_.$-"):
+            a -= 1
         if spans and a <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
             spans.append((a, b))
-    found, known = [], {}
+    found, known, at_end = [], {}, 0
     for a, b in spans:
         name = op = None
-        for m in TOKEN.finditer(text, a, b):
+        at_end = max(a, at_end)
+        while at_end < b:
+            quoted = QUOTED.match(text, at_end) if op and name else None
+            m = quoted or TOKEN.search(text, at_end)
+            if not m or m.start() >= b:
+                break
+            at_end = m.end()
             kind, s = m.lastgroup, m.group()
+            if quoted:
+                kind, s = "str", s.lstrip(" \t")
             if kind == "op":
                 op = s if name and s in ("=", ":", ":=", "=>") else None
                 continue
             if kind == "nl":
                 name = op = None
                 continue
-            inner = (m.start() + 1, m.end() - 1, s[1:-1]) if kind == "str" else (m.start(), m.end(), s)
+            inner = (m.end() - len(s) + 1, m.end() - 1, s[1:-1]) if kind == "str" else (m.start(), m.end(), s)
             if op and name:
                 if kind == "name" and s in known:
                     at = known[s]

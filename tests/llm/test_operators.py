@@ -340,6 +340,16 @@ def test_op9_base_patterns(spark):
     assert "Zx81" not in masked[5] and masked[7] is None and masked[8] == "" and masked[6] == texts[6]
 
 
+def test_op9_long_literals(spark):
+    own = np.random.default_rng(6)
+    key = "aB3" + "".join(own.choice(list("abcdefghijkLMNOPQRSTUVWXYZ0123456789+/"), 5600)) + "=="
+    bare = "aB3" + "".join(own.choice(list("abcdefghijkLMNOPQRSTUVWXYZ0123456789"), 9000))
+    texts = [f'aws_secret_key = "{key}" # x', f"aws_secret_key = {bare}\nx", f"{'x' * 300}_auth_key = 'Zx81kPq90LmN2'", f"auth_key_{'x' * 300} = 'Zx81kPq90LmN2'"]
+    masked = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert masked[0] == 'aws_secret_key = "[SECRET]" # x' and masked[1] == "aws_secret_key = [SECRET]\nx"
+    assert "Zx81" not in masked[2] and "Zx81" not in masked[3]
+
+
 def test_op9_elements(spark):
     key = "Zx81kPq90LmN2"
     texts = [f"<a><db_password>{key}</db_password></a>", f"<auth_key kind='x'>\n {key} </auth_key>", f'<add key="db_password" value="{key}"/>', f'<property name="db_password">{key}</property>', f"<title>{key}</title>"]
