@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over the bytes of a text and cuts where five of its bits are 0, so that an insertion moves only the cuts near
-it. Chunks are compared by 128-bit digest over all texts. A run of neighbouring chunks that all occur elsewhere and hold
+it. Where no such place comes for ``MAX_CHUNK`` bytes, the cut is at the smallest hash among them, so that it depends on the
+content, too. Chunks are compared by 128-bit digest over all texts. A run of neighbouring chunks that all occur elsewhere and hold
 ``MIN_RUN`` bytes or more is a repeated passage; of each chunk, the first occurrence (by doc_id, then position) stays and the
 others go.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from fluxgrid.llm import common
 
 #: Smallest and largest chunk; cuts come every 32 bytes on average beyond the smallest.
-MIN_CHUNK, MAX_CHUNK = 12, 256
+MIN_CHUNK, MAX_CHUNK = 12, 64
 #: Bits 11 to 15 of the hash decide, which depend on the last 16 bytes.
 LOW_BIT, MASK, REACH = 11, 31, 16
 MIN_RUN = 96
@@ -35,23 +36,26 @@ PIECE = 1 << 20
 
 def cut_points(b: bytes) -> list[int]:
     """Ends of the chunks of a text, in order; the last is its length."""
-    found = []
+    found, hashes = [], []
     for at in range(0, len(b), PIECE):
         lead = min(at, REACH - 1)
         h = GEAR[np.frombuffer(b, np.uint8)[at - lead : at + PIECE]]
         for k in (1, 2, 4, 8):
             h[k:] += h[:-k] << np.uint32(k)
+        hashes.append(h[lead:])
         found.append(np.flatnonzero(((h[lead:] >> np.uint32(LOW_BIT)) & np.uint32(MASK)) == 0) + at + 1)
     out, last = [], 0
+    h = np.concatenate(hashes) if len(hashes) > 1 else hashes[0] if hashes else None
+    forced = lambda last: last + MIN_CHUNK + int(np.argmin(h[last + MIN_CHUNK - 1 : last + MAX_CHUNK]))
     for c in np.concatenate(found).tolist() if found else []:
         while c - last > MAX_CHUNK:
-            last += MAX_CHUNK
+            last = forced(last)
             out.append(last)
         if c - last >= MIN_CHUNK:
             out.append(c)
             last = c
     while len(b) - last > MAX_CHUNK:
-        last += MAX_CHUNK
+        last = forced(last)
         out.append(last)
     if len(b) > last:
         out.append(len(b))

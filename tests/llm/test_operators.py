@@ -272,6 +272,25 @@ def test_op6_chunks_cover_the_text(b):
     assert (ends[-1] if ends else 0) == len(b) and (sizes <= chunks.MAX_CHUNK).all() and (sizes[:-1] >= chunks.MIN_CHUNK).all()
 
 
+def test_op6_forced_cuts_follow_the_content(monkeypatch):
+    """Passages of two words without a hash cut; the same passage at other places still gives the same chunks."""
+    own, shared, passages = np.random.default_rng(12), [], []
+    with monkeypatch.context() as m:
+        m.setattr(chunks, "MAX_CHUNK", 1 << 20)
+        while len(passages) < 20:
+            b = " ".join(own.choice(own.choice(VOCABULARY, 2, replace=False), 400)).encode()
+            if len(chunks.cut_points(b)) == 1:
+                passages.append(b)
+    for passage in passages:
+        sets = []
+        for k in (37, 90):
+            b = prose(k).encode() + b" " + passage
+            ends = [0, *chunks.cut_points(b)]
+            sets.append({b[x:y] for x, y in zip(ends, ends[1:])})
+        shared.append(sum(map(len, sets[0] & sets[1])) > len(passage) / 4)
+    assert np.mean(shared) > 0.9
+
+
 def test_op7_mean_and_order(spark, sf_dir):
     rows = spark.range(6000).selectExpr("id as doc_id", "case when id % 6 = 0 then 'a' when id % 6 < 5 then 'b' end as source", "'t' as text")
     got = mixing.mix(rows, {"a": 0.5, "b": 0.25, "": 0.25}).toPandas()
