@@ -330,7 +330,7 @@ def test_op8_base_and_probability(spark, small):
 def test_op8_every_gram_counts(spark):
     """More distinct grams than any fixed number of kept ones: scores are those of the whole tree."""
     letters = np.random.default_rng(5).choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 900_000).tobytes().decode()
-    texts = [letters[i : i + 30_000] for i in range(0, len(letters), 30_000)]
+    texts = [letters[i : i + 30_000] for i in range(0, len(letters), 30_000)] * 2  # twice, so that long contexts tell what follows
     rows = common.texts(docs_of(spark, texts + ["unseen" + texts[0][:300]])).withColumn("held_out", F.col("doc_id") == len(texts))
     got = {r.doc_id: r.score for r in lm.score(rows, lm.fit(rows.where("not held_out"))).collect()}
     keys, counts = np.unique(lm.grams([t.encode() for t in texts])[0], return_counts=True)
