@@ -97,13 +97,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "at", "lang", "part"])
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS, dim: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model:
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS, dim: int = 16, epochs: int = 4, rate: float = 0.1, seed: int = 7) -> Model:
     """Learns from docs(doc_id, text, lang): chunks of at most `max_docs` whole texts, `max_chunks` of them, reach the driver."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null")
     chosen = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     chunks = common.map_rows(common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text"), _chunks, "doc_id long, at long, lang string, part string")
     rows = chunks.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "part").limit(max_chunks).toArrow()
-    labels, parts = rows.column("lang").to_pylist(), rows.column("part").to_pylist()
+    return train(rows.column("part").to_pylist(), rows.column("lang").to_pylist(), dim, epochs, rate, seed)
+
+
+def train(parts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.1, seed: int = 7) -> Model:
+    """Stochastic gradient descent over chunks of text with their languages.
+
+    Each parameter of the linear layer, and each embedding, divides its rate by the root of its summed squared gradients, so that
+    a step is at most `rate` whatever the scale of embeddings or the number of chunks; every eighth chunk is left out for the
+    calibration. Raises FloatingPointError if a weight isn't finite.
+    """
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
@@ -111,10 +120,10 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS,
     bags = [np.unique(np.concatenate(list(subwords(p))), return_counts=True) for p in parts]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
-    w, bias = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
+    w, bias = rng.normal(0, 0.1, (dim, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
+    sums = [np.full(x, 1e-8, np.float32) for x in (w.shape, bias.shape, BUCKETS)]
     held = np.arange(len(bags)) % 8 == 0 if len(bags) >= 64 else np.zeros(len(bags), bool)
-    train = np.flatnonzero(~held)
-    w += rng.normal(0, 0.1, w.shape).astype(np.float32)
+    used = np.flatnonzero(~held)
 
     def mean(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids = np.concatenate([bags[i][0] for i in own])
@@ -124,9 +133,9 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS,
         return ids, row, share, hidden
 
     step = 0
-    steps = max(1, epochs * -(-len(train) // 64))
+    steps = max(1, epochs * -(-len(used) // 64))
     for _ in range(epochs):
-        for own in np.array_split(rng.permutation(train), max(1, -(-len(train) // 64))):
+        for own in np.array_split(rng.permutation(used), max(1, -(-len(used) // 64))):
             if not len(own):
                 continue
             ids, row, share, hidden = mean(own)
@@ -134,20 +143,26 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS,
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(own)), y[own]] -= 1
+            p /= len(own)
             lr = rate * (1 - step / steps)
             back = p @ w.T
-            w -= lr * hidden.T @ p / len(own) * 16
-            bias -= lr * p.mean(0)
-            grad = back[row] * share[:, None]
+            for value, slope, total in ((w, hidden.T @ p, sums[0]), (bias, p.sum(0), sums[1])):
+                total += slope**2
+                value -= lr * slope / np.sqrt(total)
             order = np.argsort(ids, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) > 0]))
-            emb[ids[order][first]] -= lr * 8 * np.add.reduceat(grad[order], first, axis=0)
+            slope = np.add.reduceat((back[row] * share[:, None])[order], first, axis=0)
+            at = ids[order][first]
+            sums[2][at] += (slope**2).mean(1)
+            emb[at] -= lr * slope / np.sqrt(sums[2][at])[:, None]
             step += 1
+    if not all(np.isfinite(x).all() for x in (emb, w, bias)):
+        raise FloatingPointError("the descent left the finite numbers")
     model = Model(langs, (emb @ w).astype(np.float32), bias.astype(float))
-    check = np.flatnonzero(held) if held.any() else train
+    check = np.flatnonzero(held) if held.any() else used
     z = mean(check)[3] @ w + bias
     losses = []
-    grid = np.geomspace(0.05, 5, 25)
+    grid = np.geomspace(0.5, 8, 25)  # no sharper: chunks that are all right would ask for any sharpness
     for t in grid:
         a = z / t
         a = a - a.max(1, keepdims=True)
@@ -158,7 +173,10 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS,
     best, right = p.max(1), p.argmax(1) == y[check]
     order = np.argsort(-best, kind="stable")
     precise = np.flatnonzero(np.cumsum(right[order]) >= PRECISION * np.arange(1, len(order) + 1))
-    model.reject_below = float(best[order][precise[-1]]) if len(precise) else float(best.max())
+    if len(precise) == len(order):  # no chunk calls for a rejection
+        model.reject_below = min(0.5, float(best.min()))
+    else:
+        model.reject_below = float(best[order][precise[-1]]) if len(precise) else float(best.max())
     return model
 
 

@@ -252,6 +252,44 @@ def test_op5_held_out(spark, sf_dir):
     assert all((zlib.crc32(str(d).encode()) % 4 == 2) == h for d, h in zip(got.doc_id, got.held_out))
 
 
+def lang_chunks(n, seed):
+    """Chunks in three made-up languages of different letters, more than the operator's bound if n says so."""
+    r = np.random.default_rng(seed)
+    words = {lang: ["".join(r.choice(list(letters), int(k))) for k in r.integers(1, 9, 300)] for lang, letters in (("aa", "abcdeo"), ("bb", "abcdei"), ("cc", "rstuvé"))}
+    labels = r.choice(list(words), n).tolist()
+    return [" ".join(r.choice(words[x], 12)) for x in labels], labels
+
+
+@pytest.mark.filterwarnings("error")
+@pytest.mark.parametrize(("n", "seed"), [(1, 1), (70, 2), (2_000, 3), (20_000, 4), (2_000, 5)])
+def test_op5_descent_is_stable(n, seed):
+    parts, labels = lang_chunks(n, seed)
+    model = langid.train(parts, labels, seed=seed)
+    assert np.isfinite(model.logits).all() and np.isfinite(model.bias).all() and 0 <= model.reject_below <= 1
+    new, truth = lang_chunks(300, seed)
+    found = [model.predict(t) for t in new]
+    assert all(0 <= s <= 1 for _, s in found)
+    if n >= 2_000:
+        assert np.mean([a == b for (a, _), b in zip(found, truth)]) > 0.95
+    assert model.predict("12 34") == model.predict("") == model.predict(None) == ("und", 0.0)
+
+
+def test_op5_prediction_is_the_mean_of_embeddings():
+    """A text's logits are the mean over its subwords, taken one by one; ties go to the language that sorts first."""
+    model = langid.train(*lang_chunks(200, 6))
+    text = "Abode 7 rest-é"
+    raw = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode())
+    raw = b" " + b" ".join(raw.split()) + b" "
+    grams = [raw[i : i + n] for n in (1, 2, 3, 4) for i in range(len(raw) - n + 1) if n < 3 or b" " not in raw[i + 1 : i + n - 1]]
+    ids = np.concatenate(list(langid.subwords(text)))
+    assert len(ids) == len(grams)
+    z = (sum(model.logits[i].astype(float) for i in ids) / len(ids) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    assert model.predict(text) == (model.langs[int(p.argmax())], pytest.approx(p.max(), abs=1e-6))
+    tied = langid.Model(["x", "y"], np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2))
+    assert tied.predict("abc") == ("x", 0.5)
+
+
 def test_op6_passages(spark):
     passage = prose(60)
     texts = [prose(80) + " " + passage + " " + prose(80), prose(33) + " " + passage, *(prose(150) for _ in range(8)), None, ""]
