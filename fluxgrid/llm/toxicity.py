@@ -3,7 +3,8 @@
 Every token has a log-odds score of toxic against other documents with an informative Dirichlet prior. A linear scan finds all
 maximal scoring segments of a text; unknown tokens cost ``DRIFT``. The best segment's score is calibrated by the extreme-value
 law of such maxima (expected number of chance segments: K * tokens * exp(-lambda * score)), and a logistic curve over that
-turns it into the probability of label 1.
+turns it into the probability of label 1. Every segment of which less than ``LEVEL`` are expected by chance in a text of its
+length is a significant passage and is returned with that figure.
 
 Edge cases: a null or empty text has no token and gets the score of a text without segments. Without labelled rows, or with
 one class only, every text gets the share of label 1 (0 without any). Repeated rows give repeated result rows.
@@ -11,6 +12,7 @@ one class only, every text gets the share of label 1 (0 without any). Repeated r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +27,9 @@ from fluxgrid.llm import common
 #: Bounds on what the model is fitted to: labelled documents, and tokens that keep a score.
 MAX_TRAIN, MAX_TOKENS = 20_000, 50_000
 #: Prior weight as a share of all counted tokens, and the z-score a token needs.
-PRIOR, MIN_Z = 0.02, 3.0
+PRIOR, MIN_Z = 0.02, 2.5
+#: Expected number of chance segments below which a segment is significant.
+LEVEL = 0.05
 DRIFT = 0.15
 THRESHOLD = 0.3
 EDGES = b".,;:!?\"'()[]|*-_"
@@ -71,16 +75,20 @@ class Model:
     log_k: float = 0.0
     weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
-    def measure(self, raw: bytes) -> tuple[int, float, float, int, int, int]:
-        """Tokens, best score, sum of the others, number of segments, and the best segment's first and last token."""
+    def measure(self, raw: bytes) -> tuple[int, float, float, int, int, int, list[tuple[int, int, float, float]]]:
+        """Tokens, best score, sum of the others, number of significant segments, the best segment's first and last token, and
+        first token, last token, score and expected number of chance segments of each significant one, in order of the text."""
         get = self.score.get
         words = tokens(raw)
         hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
         found = segments(hits)
         if not found:
-            return len(words), 0.0, 0.0, 0, -1, -1
+            return len(words), 0.0, 0.0, 0, -1, -1, []
         best = max(found, key=lambda x: (x[0], -x[1]))
-        return len(words), best[0], sum(x[0] for x in found) - best[0], len(found), best[1], best[2]
+        base = self.log_k + math.log(len(words))
+        chance = [math.exp(min(base - self.rate * x, 700.0)) for x, _, _ in found]
+        listed = [(first, last, x, e) for (x, first, last), e in zip(found, chance) if e < LEVEL]
+        return len(words), best[0], sum(x[0] for x in found) - best[0], len(listed), best[1], best[2], listed
 
     def inputs(self, n: np.ndarray, best: np.ndarray, rest: np.ndarray) -> np.ndarray:
         """What the logistic curve reads: minus the log of the expected number of chance segments, and how much the others add."""
@@ -147,20 +155,29 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, max_train: int = MAX_TRA
     return model
 
 
+_SEGMENT = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
+_FOUND = ["n_tokens", "best", "rest", "n_segments", "first_token", "last_token", "score", "segments"]
+_KINDS = "n_tokens long, best double, rest double, n_segments long, first_token long, last_token long, score double, segments array<struct<first:long,last:long,score:double,expected:double>>"
+
+
 def _measure(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [model.measure(raw) for raw in common.as_bytes(batch.column("text"))]
-            cols = list(zip(*rows)) or [[]] * 6
+            cols = list(zip(*rows)) or [[]] * 7
             n, best, rest = (np.array(c, float) for c in cols[:3])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(cols[0], pa.int64()), pa.array(best), pa.array(rest), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64()), pa.array(model.probability(n, best, rest))], [*keep, "n_tokens", "best", "rest", "n_segments", "first_token", "last_token", "score"])
+            listed = pa.array([[dict(zip(("first", "last", "score", "expected"), x)) for x in r] for r in cols[6]], pa.list_(_SEGMENT))
+            whole = [pa.array(cols[k], pa.int64()) for k in (0, 3, 4, 5)]
+            found = [whole[0], pa.array(best), pa.array(rest), *whole[1:], pa.array(model.probability(n, best, rest)), listed]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *found], [*keep, *_FOUND])
 
     kinds = dict(docs.dtypes)
-    return common.map_rows(docs.select(*keep, "text"), run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", n_tokens long, best double, rest double, n_segments long, first_token long, last_token long, score double")
+    return common.map_rows(docs.select(*keep, "text"), run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), _KINDS]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, the probability of label 1, and the most toxic segment (token positions, -1 without one), for every row of docs."""
+    """doc_id, the probability of label 1, the most toxic segment (token positions, -1 without one) and all significant segments,
+    for every row of docs."""
     return _measure(common.texts(docs), model, ["doc_id"])
 
 
@@ -168,4 +185,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text of documents; the held-out fold takes no part in the fit."""
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs, common.table(spark, sf_dir, "labels"), common.fold(4) != 2)
-    return score(docs, model).select("doc_id", (common.fold(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_segments", "first_token", "last_token")
+    found = score(docs, model)
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return found.select("doc_id", (common.fold(4) == 2).alias("held_out"), "score", predicted, "n_segments", "first_token", "last_token")

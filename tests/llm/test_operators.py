@@ -428,6 +428,43 @@ def test_op10_best_segment(scores):
     assert all(a[2] < b[1] for a, b in zip(found, found[1:]))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=14))
+def test_op10_all_maximal_segments(scores):
+    """By definition: take the best run (the first, then the shortest), then the same left and right of it."""
+
+    def by_hand(lo, hi):
+        runs = [(-sum(scores[i : j + 1]), j - i, i, j) for i in range(lo, hi) for j in range(i, hi)]
+        if not runs or min(runs)[0] >= 0:
+            return []
+        total = min(runs)[0]
+        # of equal sums the shortest, so that no segment begins or ends with a part of sum 0
+        _, _, i, j = min(x for x in runs if x[0] == total)
+        return [*by_hand(lo, i), (-total, i, j), *by_hand(j + 1, hi)]
+
+    found = toxicity.segments(list(enumerate(map(float, scores))), 0.0)
+    assert sorted(x for x, _, _ in found) == sorted(x for x, _, _ in by_hand(0, len(scores)))
+    assert all(sum(scores[i : j + 1]) == x for x, i, j in found)
+
+
+def test_op10_lists_significant_segments():
+    """Two passages far apart are both listed; a weak word that chance brings isn't."""
+    model = toxicity.Model({b"vile": 4.0, b"odd": 0.6}, rate=1.0, log_k=-2.0, weights=np.array([-3.0, 1.0, 0.0]))
+    text = " ".join(["so"] * 30 + ["vile"] * 3 + ["so"] * 200 + ["odd"] + ["so"] * 200 + ["vile"] * 4)
+    n, best, rest, count, first, last, listed = model.measure(text.encode())
+    assert (n, best, count, first, last) == (438, 16.0, 2, 434, 437) and rest == pytest.approx(12.6)
+    assert [x[:3] for x in listed] == [(30, 32, 12.0), (434, 437, 16.0)]
+    assert [x[3] for x in listed] == [pytest.approx(438 * math.exp(-2 - s)) for s in (12, 16)]
+    assert model.measure(b"")[3:] == (0, -1, -1, [])
+
+
+def test_op10_calibration(spark):
+    """The curve is monotonic in the evidence, and the law's moments come back from scores drawn by it."""
+    model = toxicity.Model(rate=1.3, log_k=-1.0, weights=np.array([-2.0, 0.8, 0.1]))
+    p = model.probability(np.full(5, 100.0), np.array([0.0, 2.0, 4.0, 8.0, 16.0]), np.zeros(5))
+    assert (np.diff(p) >= 0).all() and 0 <= p.min() and p.max() <= 1
+
+
 def test_op10_held_out(spark):
     bad = ["vile", "scumlike", "wretchedly"]
     texts, labels = [], []
