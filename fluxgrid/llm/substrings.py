@@ -1,15 +1,19 @@
 """Substring dedup with suffix arrays: every byte under a string of ``LENGTH`` bytes that also starts elsewhere goes.
 
-Equal strings have to meet. Each window of ``LENGTH`` bytes picks an anchor by its content alone, the last of the smallest
+Strings of ``SHORT`` bytes (about 42 words of prose) that also start elsewhere are found beside them, by the same common
+prefixes; they are counted and listed, not removed.
+
+Equal strings have to meet. Each window of ``SHORT`` bytes picks an anchor by its content alone, the last of the smallest
 hashes of the ``GRAM``-byte strings in it, so that equal windows pick equal anchors at the same offset. Windows that picked one
-anchor lie together and form a record (about ``LENGTH`` + 120 bytes of text); records with equal anchors form a group, and only
-groups of two records or more can hold a repeated string.
+anchor lie together and form a record, which has the ``LENGTH`` bytes from each of them (about ``LENGTH`` + 75 bytes of text);
+records with equal anchors form a group, and only groups of two records or more can hold a repeated string.
 
 Within a task, the texts of some groups are joined and get a suffix array in two stages: suffixes smaller than their successors
 are sorted directly, the others are induced by one scan over the buckets. Common prefixes of neighbours then tell which windows
-are repeated. Equal texts, and equal records of a group, are counted before they are shuffled and sorted once. Groups of more
-than ``HOT`` different records are split: blocks of ``BLOCK_WINDOWS`` windows are dealt out again by the bytes that all windows
-of a block share, then by single windows, so that no task holds an unbounded group and no string is missed.
+are repeated, at both lengths. Equal texts, and equal records of a group, are counted before they are shuffled and sorted once;
+all counts are partial sums that come back by joins. Groups of more than ``HOT`` different records are split: blocks of
+``BLOCK_WINDOWS`` windows are dealt out again by the bytes that all windows of a block share, then by single windows, so that no
+task holds an unbounded group and no string is missed.
 
 Edge cases: null and empty texts, and texts shorter than ``LENGTH``, lose nothing. Repeated rows count as documents of their
 own, so that texts of ``LENGTH`` bytes or more lose all bytes in each of them. Overlapping repeats within one text count.
@@ -28,11 +32,14 @@ from pyspark.sql import functions as F
 
 from fluxgrid.llm import common
 
-LENGTH, GRAM = 400, 160
+#: Bytes of a string that is removed; of one that is reported; of the strings that are hashed for anchors.
+LENGTH, SHORT, GRAM = 400, 250, 100
 #: Different records of a group beyond which it is split, and windows of a block then.
 HOT, BLOCK_WINDOWS = 512, 16
 #: Bytes of text that get one suffix array, about.
-CHUNK = 2 << 20
+CHUNK = 5 << 18
+#: Ranks of a suffix array take this many bits, so that three of them fit one sort key.
+RANK_BITS = 21
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -56,7 +63,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(ahead[: n - w + 1], back[w - 1 : n])
 
 
-def records(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def records(b: np.ndarray, length: int = SHORT, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor position, anchor hash) of each run of windows with one anchor."""
     found: list[tuple] = []
     up, down = powers()
@@ -84,7 +91,7 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
-ROW = "anchor long, d1 long, d2 long, rid long, firsts array<int>, windows int, lead int"
+ROW = "anchor long, d1 long, d2 long, rid long, firsts array<int>, windows int, lead int, size int"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,49 +100,60 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for rid, b in zip(batch.column("rid").to_pylist(), common.as_bytes(batch.column("text"))):
-            if len(b) < LENGTH or rid in seen:
+            if len(b) < SHORT or rid in seen:
                 continue
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.add(rid)
             first, last, at, h = records(np.frombuffer(b, np.uint8))
-            d = np.array([_halves(xxhash.xxh3_128_digest(b[x : y + LENGTH])) for x, y in zip(first.tolist(), last.tolist())], np.int64).reshape(-1, 2)
+            size = np.minimum(last + LENGTH, len(b)) - first
+            d = np.array([_halves(xxhash.xxh3_128_digest(b[x : x + z], w)) for x, z, w in zip(first.tolist(), size.tolist(), (last - first).tolist())], np.int64).reshape(-1, 2)
             order = np.lexsort((d[:, 1], d[:, 0], h))  # stable, so that equal records stay in order of the text
-            h, d, first, last, at = h[order], d[order], first[order], last[order], at[order]
+            h, d, first, last, at, size = (x[order] for x in (h, d, first, last, at, size))
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]).any(1)])
             own = np.flatnonzero(new)
-            out.append((h[own].view(np.int64), d[own], np.full(len(own), rid), (last - first + 1)[own], (at - first)[own], first, np.diff(np.concatenate([own, [len(h)]]))))
+            times = np.diff(np.concatenate([own, [len(h)]]))
+            out.append((h[own].view(np.int64), d[own], np.full(len(own), rid), (last - first + 1)[own], (at - first)[own], size[own], first, times))
         if not out:
             continue
-        anchor, d, rids, windows, lead, first, times = (np.concatenate(x) for x in zip(*out))
+        anchor, d, rids, windows, lead, size, first, times = (np.concatenate(x) for x in zip(*out))
         firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]).astype(np.int32)), pa.array(first.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(rids), firsts, *(pa.array(x.astype(np.int32)) for x in (windows, lead))], ["anchor", "d1", "d2", "rid", "firsts", "windows", "lead"])
+        cols = [pa.array(anchor), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(rids), firsts, *(pa.array(x.astype(np.int32)) for x in (windows, lead, size))]
+        yield pa.RecordBatch.from_arrays(cols, ["anchor", "d1", "d2", "rid", "firsts", "windows", "lead", "size"])
+
+
+SLICE = "kind int, anchor long, d1 long, d2 long, windows int, slice binary, core long, s1 long, off int, marks array<long>"
+_SLICE = pa.schema([
+    ("kind", pa.int32()), ("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("windows", pa.int32()), ("slice", pa.binary()),
+    ("core", pa.int64()), ("s1", pa.int64()), ("off", pa.int32()), ("marks", pa.list_(pa.int64())),
+])
 
 
-SLICE = "hot boolean, anchor long, d1 long, d2 long, windows int, slice binary, core long, s1 long, off int, marks array<long>"
-_SLICE = pa.schema([("hot", pa.bool_()), ("anchor", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("windows", pa.int32()), ("slice", pa.binary()), ("core", pa.int64()), ("s1", pa.int64()), ("off", pa.int32()), ("marks", pa.list_(pa.int64()))])
+def _blocks(b: bytes, r: dict, length: int) -> Iterator[tuple]:
+    """(windows, core, digest, offset, digests of windows) of each block of a record's windows of `length` bytes."""
+    x, first, last = r["first"], r["first"], min(r["first"] + r["windows"], len(b) - length + 1) - 1
+    while x <= last:
+        q = (r["at"] - x) // BLOCK_WINDOWS
+        end = r["at"] - q * BLOCK_WINDOWS  # the last window with this number; every window of this block, of whatever record, holds these bytes
+        y = min(last, end)
+        core = _signed(xxhash.xxh3_64_intdigest(b[end : end - BLOCK_WINDOWS + 1 + length], q))
+        marks = [_signed(xxhash.xxh3_64_intdigest(b[i : i + length], r["at"] - i)) for i in range(x, y + 1)]
+        yield y - x + 1, core, _signed(xxhash.xxh3_64_intdigest(b[x : y + length], r["at"] - y)), x - first, marks
+        x = y + 1
 
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the records that stand for a group's different ones; of a hot group, digests of blocks and windows instead."""
+    """Bytes of the records that stand for a group's different ones (kind 0); of a hot group, blocks of both lengths instead."""
     for batch in batches:
         for b, wanted in zip(common.as_bytes(batch.column("text")), batch.column("wanted").to_pylist()):
             out = []
             for r in wanted:
-                first, n = r["first"], r["windows"]
                 key = (r["anchor"], r["d1"], r["d2"])
                 if r["m"] <= most:
-                    out.append((False, *key, n, b[first : first + n - 1 + LENGTH], None, None, None, None))
+                    out.append((0, *key, r["windows"], b[r["first"] : r["first"] + r["size"]], None, None, None, None))
                     continue
-                x = first
-                while x < first + n:
-                    q = (r["at"] - x) // BLOCK_WINDOWS
-                    y = min(first + n - 1, r["at"] - q * BLOCK_WINDOWS)  # the last window with this block number
-                    end = r["at"] - q * BLOCK_WINDOWS  # every window of this block, of whatever record, holds these bytes
-                    core = _signed(xxhash.xxh3_64_intdigest(b[end : end - BLOCK_WINDOWS + 1 + LENGTH], q))
-                    marks = [_signed(xxhash.xxh3_64_intdigest(b[i : i + LENGTH], r["at"] - i)) for i in range(x, y + 1)]
-                    out.append((True, *key, y - x + 1, None, core, _signed(xxhash.xxh3_64_intdigest(b[x : y + LENGTH], r["at"] - y)), x - first, marks))
-                    x = y + 1
+                for length in (SHORT, LENGTH):
+                    out += [(length, *key, n, None, core, s1, off, marks) for n, core, s1, off, marks in _blocks(b, r, length)]
             for i in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 4096]), _SLICE)], schema=_SLICE)
 
@@ -149,48 +167,32 @@ def _names(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes of t (bytes, 0 only as a separator, last byte 0) in order of their first `depth` bytes at least.
+def suffix_array(t: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Suffixes of t (bytes, 0 only as a separator, last byte 0) in order of their first 432 bytes at least.
 
-    Also the names by which suffixes were compared: ranks of the 8, 16, 32 and 64 bytes at each position.
+    Also the names by which suffixes were compared, with their lengths: ranks of the 216, 72, 24 and 8 bytes at each position, and
+    the 8 bytes themselves. t has less than 2 ** RANK_BITS bytes.
     """
     n = len(t)
+    if n >= 1 << RANK_BITS:
+        raise ValueError(f"a text of {n} bytes is too long for one suffix array")
     wide = np.concatenate([t, np.zeros(8, np.uint8)]).astype(np.uint64)
     word = np.zeros(n, np.uint64)
     for i in range(8):
         word = (word << np.uint64(8)) | wide[i : i + n]
     ahead = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), x.dtype)])[:n]
-    names = [_names(word)]
-    for k in (8, 16, 32):
-        names.append(_names((names[-1] << np.uint64(32)) | ahead(names[-1], k)))
-    top = names[-1]
+    bits = np.uint64(RANK_BITS)
+    names = [(word, 1), (_names(word), 8)]
+    for k in (8, 24, 72):
+        x = names[-1][0]
+        names.append((_names((((x << bits) | ahead(x, k)) << bits) | ahead(x, 2 * k)), 3 * k))
+    top, span = names[-1]
     # Stage 1: types, then a direct sort of the suffixes that are smaller than their successors.
     change = np.flatnonzero(np.concatenate([t[1:] != t[:-1], [True]]))  # last position of each run of one byte
     rises = np.concatenate([t[1:], [0]])[change] > t[change]
     small = np.repeat(rises, np.diff(np.concatenate([[-1], change])))
     own = np.flatnonzero(small)
-    pair = (top << np.uint64(32)) | ahead(top, 64)
-    order = np.argsort(pair[own])
-    own = own[order]
-    key = pair[own]
-    group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)])) if len(own) else np.zeros(0, np.int64)
-    for k in range(128, depth, 128):
-        tied = np.zeros(len(own), bool)
-        same = group[1:] == group[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        pos = own[at]
-        key = np.where(pos + k < n, pair[np.minimum(pos + k, n - 1)], 0)
-        sub = np.lexsort((key, group[at]))
-        own[at] = pos[sub]
-        g, key = group[at][sub], key[sub]
-        new = np.zeros(len(own), np.int64)
-        new[at[1:]] = (g[1:] == g[:-1]) & (key[1:] != key[:-1])
-        first = np.concatenate([[True], group[1:] != group[:-1]])
-        group = np.cumsum(first | (new > 0)) - 1
+    own = own[np.argsort(((top << bits) | ahead(top, span))[own])]
     # Stage 2: one scan over the buckets of first bytes; each suffix puts its larger predecessor at the front of its bucket.
     sizes = np.bincount(t, minlength=256)
     start = np.concatenate([[0], np.cumsum(sizes)])
@@ -226,48 +228,51 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, list[n
             induce(batch)
         if len(tails[c]):
             induce(tails[c])
-    return sa, names
+    return sa, names[::-1]
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, names: list[np.ndarray], limit: int = LENGTH) -> np.ndarray:
+def common_prefixes(t: np.ndarray, sa: np.ndarray, names: list[tuple[np.ndarray, int]], limit: int = LENGTH) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in sa, up to limit (0 for the first)."""
     n = len(t)
     a, b = sa[1:], sa[:-1]
     out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    for _ in range(limit // 64):
-        x, y = a[live] + out[live], b[live] + out[live]
-        ok = np.maximum(x, y) < n
-        live, x, y = live[ok], x[ok], y[ok]
-        live = live[names[3][x] == names[3][y]]
-        out[live] += 64
-    live = np.flatnonzero(out < limit)
-    for name, k in ((names[3], 64), (names[2], 32), (names[1], 16), (names[0], 8)):
-        x, y = a[live] + out[live], b[live] + out[live]
-        ok = np.maximum(x, y) < n
-        same = np.zeros(len(live), bool)
-        same[ok] = name[x[ok]] == name[y[ok]]
-        out[live[same]] += k
-    for _ in range(8):
-        x, y = a[live] + out[live], b[live] + out[live]
-        ok = (np.maximum(x, y) < n) & (out[live] < limit)
-        live, x, y = live[ok], x[ok], y[ok]
-        live = live[t[x] == t[y]]
-        out[live] += 1
+    open_ = np.arange(len(a))
+    for name, k in names[:-1]:
+        live = open_
+        while len(live):
+            x, y = a[live] + out[live], b[live] + out[live]
+            ok = np.maximum(x, y) < n
+            live, x, y = live[ok], x[ok], y[ok]
+            live = live[name[x] == name[y]]
+            out[live] += k
+            live = live[out[live] < limit]
+        open_ = open_[out[open_] < limit]
+    x, y = a[open_] + out[open_], b[open_] + out[open_]
+    ok = np.maximum(x, y) < n
+    open_, differ = open_[ok], names[-1][0][x[ok]] ^ names[-1][0][y[ok]]
+    for i in range(1, 8):
+        out[open_] += differ < np.uint64(1 << (64 - 8 * i))
     return np.concatenate([[0], np.minimum(out, limit)])
 
 
-def repeated_windows(slices: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, a flag for each of its windows: whether the window's bytes start anywhere else in these texts."""
+def longest_repeats(slices: list[bytes], windows: list[int], limit: int = LENGTH) -> list[np.ndarray]:
+    """For the first windows[i] positions of each text, how many bytes from there on also start at such a position elsewhere, up
+    to limit. Positions behind them only lend their bytes: records of one text overlap there.
+
+    Near a text's end the figure may run over it; callers look at positions with room for what they ask.
+    """
     t = np.concatenate([np.concatenate([np.frombuffer(s, np.uint8) + np.uint8(1), np.zeros(1, np.uint8)]) for s in slices])
-    sa, names = suffix_array(t, length)
-    lcp = common_prefixes(t, sa, names, length)
-    hit = np.zeros(len(t), bool)
-    long = np.flatnonzero(lcp >= length)
-    hit[sa[long]] = True
-    hit[sa[long - 1]] = True
-    ends = np.cumsum([len(s) + 1 for s in slices])
-    return [hit[e - len(s) - 1 : e - length] for s, e in zip(slices, ends)]
+    starts = np.cumsum([0, *(len(s) + 1 for s in slices[:-1])])
+    edge = np.zeros(len(t) + 1, np.int8)
+    edge[starts] += 1
+    np.add.at(edge, starts + np.array(windows), -1)
+    asked = np.cumsum(edge[:-1]).astype(bool)
+    sa, names = suffix_array(t)
+    sa = sa[asked[sa]]
+    lcp = common_prefixes(t, sa, names, limit)
+    most = np.zeros(len(t), np.int64)
+    most[sa] = np.maximum(lcp, np.concatenate([lcp[1:], [0]]))
+    return [most[at : at + n] for at, n in zip(starts.tolist(), windows)]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -276,85 +281,133 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()))
 
 
+FOUND = "kind int, anchor long, d1 long, d2 long, lo int, hi int"
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix arrays over whole groups, which arrive one after the other."""
     held: list[tuple] = []
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        out = [(*row[:3], lo, hi) for row, flags in zip(held, repeated_windows([row[3] for row in held])) for lo, hi in _runs(flags)]
-        cols = list(zip(*out)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], ["anchor", "d1", "d2", "lo", "hi"])
+        out = []
+        for (*key, _, slice_), most in zip(held, longest_repeats([row[4] for row in held], [row[3] for row in held])):
+            for length in (SHORT, LENGTH):
+                out += [(length, *key, lo, hi) for lo, hi in _runs(most[: max(0, len(slice_) - length + 1)] >= length)]
+        cols = list(zip(*out)) or [[]] * 6
+        whole = [pa.array(c, pa.int64()) for c in cols[1:4]]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *whole, *(pa.array(c, pa.int32()) for c in cols[4:])], ["kind", "anchor", "d1", "d2", "lo", "hi"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "d1", "d2", "slice"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "d1", "d2", "windows", "slice"))):
             if size >= CHUNK and row[0] != last:
                 yield flush()
                 held, size = [], 0
             held.append(row)
-            size, last = size + len(row[3]), row[0]
+            size, last = size + len(row[4]) + 1, row[0]
     if held:
         yield flush()
 
 
+def _merged(spans: list[dict], kind: int) -> list[list[int]]:
+    """Maximal runs of bytes under the spans of one kind."""
+    out: list[list[int]] = []
+    for s, e in sorted((x["s"], x["e"]) for x in spans if x["kind"] == kind):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, n_passages long, spans array<array<int>>, passages array<array<int>>"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for b, spans in zip(common.as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
-            merged: list[list[int]] = []
-            for s, e in sorted((x["s"], x["e"]) for x in spans or []):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
+            gone, shared = _merged(spans or [], LENGTH), _merged(spans or [], SHORT)
             kept, at = hashlib.sha256(), 0
-            for s, e in merged:
+            for s, e in gone:
                 kept.update(b[at:s])
                 at = e
             kept.update(b[at:])
-            rows.append((len(b), sum(e - s for s, e in merged), len(merged), kept.hexdigest(), merged))
-        cols = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.list_(pa.int32())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            rows.append((len(b), sum(e - s for s, e in gone), len(gone), kept.hexdigest(), sum(e - s for s, e in shared), len(shared), gone, shared))
+        cols = list(zip(*rows)) or [[]] * 8
+        long, lists = pa.int64(), pa.list_(pa.list_(pa.int32()))
+        arrays = [pa.array(c, kind) for c, kind in zip(cols, (long, long, long, pa.string(), long, long, lists, lists))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "n_passages", "spans", "passages"])
+
+
+def _members(scratch: common.Scratch, rows: DataFrame) -> DataFrame:
+    """Records whose anchor occurs at least twice, with n, the occurrences of their bytes, m, the different records of their
+    group, and first, whether they stand for all equal ones. Every count is summed partially, and all come back by joins that
+    adaptive execution can split, so that an anchor that most texts share isn't gathered anywhere."""
+    rows = scratch.put(rows, "rows")
+    often = rows.groupBy("anchor").agg(F.sum(F.size("firsts")).alias("c")).where("c >= 2").select("anchor")
+    some = scratch.put(rows.join(often, "anchor"), "some")
+    scratch.drop("rows")
+    key = ["anchor", "d1", "d2"]
+    kinds = some.groupBy(key).agg(F.sum(F.size("firsts")).alias("n"), F.min("rid").alias("low"))
+    kinds = scratch.put(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("m")), "anchor"), "kinds")
+    members = scratch.put(some.join(kinds, key).selectExpr("* except (low)", "rid = low as first"), "members")
+    scratch.drop("some", "kinds")
+    return members
+
+
+def _split(slices: DataFrame) -> DataFrame:
+    """Repeated windows of hot groups: blocks with equal digests whole, what is left of a core window by window."""
+    key = ["kind", "core", "s1"]
+    blocks = slices.where("kind > 0").select("kind", "anchor", "d1", "d2", "windows", "core", "s1", "off", "marks")
+    same = blocks.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("anchor", "d1", "d2", "off", "marks")).alias("r"))
+    twice = blocks.join(same.where("n >= 2").select(key), key).selectExpr("kind", "anchor", "d1", "d2", "off as lo", "off + windows - 1 as hi")
+    shared = same.groupBy("kind", "core").agg(F.count("*").alias("k")).where("k >= 2").select("kind", "core")
+    single = same.join(shared, ["kind", "core"]).selectExpr("kind", "core", "n", "r.anchor", "r.d1", "r.d2", "r.off", "posexplode(r.marks) as (i, mark)")
+    again = single.groupBy("kind", "core", "mark").agg(F.count("*").alias("k")).where("k >= 2").select("kind", "core", "mark")
+    return twice.unionByName(single.where("n = 1").join(again, ["kind", "core", "mark"]).selectExpr("kind", "anchor", "d1", "d2", "off + i as lo", "off + i as hi"))
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) with rid, a 64-bit hash of the text, and (rid, s, e): byte spans of repeated strings by text.
+    """docs(doc_id, text) with rid, a 64-bit hash of the text, and (rid, kind, s, e): byte spans of repeated strings of kind
+    (``SHORT`` or ``LENGTH``) bytes, by text.
 
     Texts are told apart by rid; among n different texts the odds that two share one are n * n / 2**65.
     """
-    scratch, most = common.Scratch(docs.sparkSession), hot
+    scratch = common.Scratch(docs.sparkSession)
     docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("rid", F.xxhash64("text"))
-    rows = common.map_rows(docs.select("rid", "text"), _rows, ROW).repartition("anchor").distinct()
-    by = "partition by anchor"
-    members = scratch.put(
-        rows.selectExpr("*", f"sum(size(firsts)) over ({by}) as c", f"dense_rank() over ({by} order by d1, d2) as k", f"sum(size(firsts)) over ({by}, d1, d2) as n", f"row_number() over ({by}, d1, d2 order by rid) as rn")
-        .where("c >= 2").selectExpr("* except (c, k)", f"max(k) over ({by}) as m"),
-        "members",
-    )
-    wanted = members.where("rn = 1 and m >= 2").groupBy("rid").agg(F.collect_list(F.struct("anchor", "d1", "d2", F.col("firsts")[0].alias("first"), "windows", (F.col("firsts")[0] + F.col("lead")).alias("at"), "m")).alias("wanted"))
-    texts = docs.where(F.octet_length("text") >= LENGTH).groupBy("rid").agg(F.first("text").alias("text"))
-    slices = scratch.put(common.map_rows(texts.join(wanted, "rid").select("text", "wanted"), lambda batches: _slices(batches, most), SLICE), "slices")
-    cold = common.map_rows(slices.where("not hot").select("anchor", "d1", "d2", "slice").repartition("anchor").sortWithinPartitions("anchor", "d1", "d2"), _sorted_groups, "anchor long, d1 long, d2 long, lo int, hi int")
-    split = slices.where("hot").selectExpr("anchor", "d1", "d2", "windows", "core", "s1", "off", "marks", "count(*) over (partition by core, s1) as n", "count(*) over (partition by core) as c", "row_number() over (partition by core, s1 order by anchor, d1, d2) as rn")
-    blocks = split.where("n >= 2").selectExpr("anchor", "d1", "d2", "off as lo", "off + windows - 1 as hi")
-    single = (
-        split.where("c > n and rn = 1").selectExpr("anchor", "d1", "d2", "core", "off", "n", "posexplode(marks) as (i, mark)")
-        .selectExpr("*", "count(*) over (partition by core, mark) as same").where("same >= 2 and n = 1").selectExpr("anchor", "d1", "d2", "off + i as lo", "off + i as hi")
-    )
-    found = scratch.put(cold.unionByName(blocks).unionByName(single), "found")
-    shared = members.where("n = 1").join(found, ["anchor", "d1", "d2"]).selectExpr("rid", "firsts[0] + lo as s", f"firsts[0] + hi + {LENGTH} as e")
-    whole = members.where("n >= 2").selectExpr("rid", "windows", "explode(firsts) as first").selectExpr("rid", "first as s", f"first + windows - 1 + {LENGTH} as e")
-    copied = docs.groupBy("rid").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("e")).where(f"n >= 2 and e >= {LENGTH}").selectExpr("rid", "0 as s", "e")
-    return docs, scratch.put(shared.unionByName(whole).unionByName(copied), "spans")
+    rows = common.map_rows(docs.where(F.octet_length("text") >= SHORT).select("rid", "text"), _rows, ROW).dropDuplicates(["anchor", "d1", "d2", "rid"])
+    members = _members(scratch, rows)
+    one = F.struct("anchor", "d1", "d2", F.col("firsts")[0].alias("first"), "windows", (F.col("firsts")[0] + F.col("lead")).alias("at"), "size", "m")
+    wanted = members.where("first and m >= 2").groupBy("rid").agg(F.collect_list(one).alias("wanted"))
+    texts = docs.join(wanted.select("rid"), "rid", "semi").groupBy("rid").agg(F.first("text").alias("text"))
+    slices = scratch.put(common.map_rows(texts.join(wanted, "rid").select("text", "wanted"), lambda batches: _slices(batches, hot), SLICE), "slices")
+    cold = slices.where("kind = 0").select("anchor", "d1", "d2", "windows", "slice").repartition("anchor").sortWithinPartitions("anchor", "d1", "d2")
+    found = scratch.put(common.map_rows(cold, _sorted_groups, FOUND).unionByName(_split(slices)), "found")
+    scratch.drop("slices")
+    shared = members.where("n = 1").join(found, ["anchor", "d1", "d2"]).selectExpr("rid", "kind", "firsts[0] + lo as s", "firsts[0] + hi + kind as e")
+    whole = members.where("n >= 2").selectExpr("rid", "windows", "size", "explode(firsts) as s").selectExpr("rid", "s", "s + windows - 1 as last", "s + size as end")
+    twice = docs.groupBy("rid").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("end")).where("n >= 2").selectExpr("rid", "0 as s", "end")
+    parts = [shared]
+    for kind in (SHORT, LENGTH):
+        parts.append(whole.where(f"end - s >= {kind}").selectExpr("rid", f"{kind} as kind", "s", f"least(last + {kind}, end) as e"))
+        parts.append(twice.where(f"end >= {kind}").selectExpr("rid", f"{kind} as kind", "s", "end as e"))
+    spans = parts[0]
+    for p in parts[1:]:
+        spans = spans.unionByName(p)
+    spans = scratch.put(spans, "spans")
+    scratch.drop("members", "found")
+    return docs, spans
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans for every row of docs(doc_id, text)."""
+    """For every row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and n_passages (bytes under
+    strings of ``SHORT`` bytes that also start elsewhere, and their maximal runs), and both kinds of runs as byte spans."""
     docs, spans = repeated_spans(docs, hot)
-    per_text = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return common.map_rows(docs.join(per_text, "rid", "left").select("doc_id", "text", "spans"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>")
+    per_text = spans.groupBy("rid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("spans"))
+    return common.map_rows(docs.join(per_text, "rid", "left").select("doc_id", "text", "spans"), _cut, CUT)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 400-byte strings of every whole text of documents, removed."""
-    return remove_repeats(common.texts(common.table(spark, sf_dir, "documents"))).drop("spans")
+    return remove_repeats(common.texts(common.table(spark, sf_dir, "documents"))).drop("spans", "passages")

@@ -67,17 +67,19 @@ def spans_of_repeats(texts, n):
 def check_repeats(spark, texts, hot=substrings.HOT):
     got = {r.doc_id: r for r in substrings.remove_repeats(common.texts(docs_of(spark, texts)), hot).collect()}
     raw = [(t or "").encode() for t in texts]
-    for i, (b, hit) in enumerate(zip(raw, spans_of_repeats(raw, substrings.LENGTH))):
+    for i, (b, hit, short) in enumerate(zip(raw, spans_of_repeats(raw, substrings.LENGTH), spans_of_repeats(raw, substrings.SHORT))):
         runs = int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum())
         kept = bytes(np.frombuffer(b, np.uint8)[~hit])
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(hit.sum()), runs, hashlib.sha256(kept).hexdigest()), i
+        assert (got[i].n_shared, got[i].n_passages) == (int(short.sum()), int((np.diff(np.concatenate([[0], short.astype(int)])) == 1).sum())), i
 
 
 @pytest.mark.parametrize("hot", [512, 1])
 def test_op1_brute_force(spark, hot):
     shared, other = prose(90), prose(130)
-    texts = [prose(60) + shared + prose(60), shared, prose(10) + shared[5:] + prose(200), other + "x" + other, other[:399], other[1:401], None, "", "z" * 1000, prose(300), prose(20) + shared[:410], "é" * 300 + shared]
-    check_repeats(spark, texts + [texts[9], texts[9]], hot)
+    tail = prose(60)[:270]
+    texts = [tail, prose(30) + tail, prose(30) + tail + prose(30), prose(60) + shared + prose(60), shared, prose(10) + shared[5:] + prose(200), other + "x" + other, other[:399], other[1:401], None, "", "z" * 1000, prose(300), prose(20) + shared[:410], "é" * 300 + shared]
+    check_repeats(spark, texts + [texts[12], texts[12]], hot)
 
 
 @settings(max_examples=40, deadline=None)
@@ -86,9 +88,9 @@ def test_op1_suffix_array(texts, n):
     raw = [t.encode() for t in texts if len(t) >= n]
     if raw:
         want = spans_of_repeats(raw, n)
-        for b, flags, hit in zip(raw, substrings.repeated_windows(raw, n), want):
+        for b, most, hit in zip(raw, substrings.longest_repeats(raw, [len(b) - n + 1 for b in raw], n), want):
             marked = np.zeros(len(b), bool)
-            for i in np.flatnonzero(flags):
+            for i in np.flatnonzero(most >= n):
                 marked[i : i + n] = True
             assert (marked == hit).all()
 
