@@ -1,11 +1,11 @@
 """Substring dedup with suffix arrays: every byte under a string of ``LENGTH`` bytes that also starts elsewhere goes.
 
-Strings of ``SHORT`` bytes (about 42 words of prose) that also start elsewhere are found beside them, by the same common
+Strings of ``SHORT`` bytes (about 50 words of prose) that also start elsewhere are found beside them, by the same common
 prefixes; they are counted and listed, not removed.
 
 Equal strings have to meet. Each window of ``SHORT`` bytes picks an anchor by its content alone, the last of the smallest
 hashes of the ``GRAM``-byte strings in it, so that equal windows pick equal anchors at the same offset. Windows that picked one
-anchor lie together and form a record, which has the ``LENGTH`` bytes from each of them (about ``LENGTH`` + 75 bytes of text);
+anchor lie together and form a record, which has the ``LENGTH`` bytes from each of them (about ``LENGTH`` + 110 bytes of text);
 records with equal anchors form a group, and only groups of two records or more can hold a repeated string.
 
 Within a task, the texts of some groups are joined and get a suffix array in two stages: suffixes smaller than their successors
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from fluxgrid.llm import common
 
 #: Bytes of a string that is removed; of one that is reported; of the strings that are hashed for anchors.
-LENGTH, SHORT, GRAM = 400, 250, 100
+LENGTH, SHORT, GRAM = 400, 300, 80
 #: Different records of a group beyond which it is split, and windows of a block then.
 HOT, BLOCK_WINDOWS = 512, 16
 #: Bytes of text that get one suffix array, about.
-CHUNK = 5 << 18
+CHUNK = 1 << 20
 #: Ranks of a suffix array take this many bits, so that three of them fit one sort key.
 RANK_BITS = 21
 PIECE = 1 << 18
@@ -341,12 +341,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(scratch: common.Scratch, rows: DataFrame) -> DataFrame:
-    """Records whose anchor occurs at least twice, with n, the occurrences of their bytes, m, the different records of their
+    """Records whose anchor occurs at least twice (a text that is there in several partitions may give its records several
+    times, which adds equal spans of that text and no others), with n, the occurrences of their bytes, m, the different records of their
     group, and first, whether they stand for all equal ones. Every count is summed partially, and all come back by joins that
     adaptive execution can split, so that an anchor that most texts share isn't gathered anywhere."""
     rows = scratch.put(rows, "rows")
     often = rows.groupBy("anchor").agg(F.sum(F.size("firsts")).alias("c")).where("c >= 2").select("anchor")
-    some = scratch.put(rows.join(often, "anchor"), "some")
+    some = scratch.put(rows.join(often.hint("shuffle_hash"), "anchor"), "some")
     scratch.drop("rows")
     key = ["anchor", "d1", "d2"]
     kinds = some.groupBy(key).agg(F.sum(F.size("firsts")).alias("n"), F.min("rid").alias("low"))
@@ -376,10 +377,10 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     """
     scratch = common.Scratch(docs.sparkSession)
     docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("rid", F.xxhash64("text"))
-    rows = common.map_rows(docs.where(F.octet_length("text") >= SHORT).select("rid", "text"), _rows, ROW).dropDuplicates(["anchor", "d1", "d2", "rid"])
+    rows = common.map_rows(docs.where(F.octet_length("text") >= SHORT).select("rid", "text"), _rows, ROW)
     members = _members(scratch, rows)
     one = F.struct("anchor", "d1", "d2", F.col("firsts")[0].alias("first"), "windows", (F.col("firsts")[0] + F.col("lead")).alias("at"), "size", "m")
-    wanted = members.where("first and m >= 2").groupBy("rid").agg(F.collect_list(one).alias("wanted"))
+    wanted = members.where("first and m >= 2").groupBy("rid").agg(F.collect_set(one).alias("wanted"))
     texts = docs.join(wanted.select("rid"), "rid", "semi").groupBy("rid").agg(F.first("text").alias("text"))
     slices = scratch.put(common.map_rows(texts.join(wanted, "rid").select("text", "wanted"), lambda batches: _slices(batches, hot), SLICE), "slices")
     cold = slices.where("kind = 0").select("anchor", "d1", "d2", "windows", "slice").repartition("anchor").sortWithinPartitions("anchor", "d1", "d2")

@@ -77,7 +77,7 @@ def check_repeats(spark, texts, hot=substrings.HOT):
 @pytest.mark.parametrize("hot", [512, 1])
 def test_op1_brute_force(spark, hot):
     shared, other = prose(90), prose(130)
-    tail = prose(60)[:270]
+    tail = prose(70)[:320]
     texts = [tail, prose(30) + tail, prose(30) + tail + prose(30), prose(60) + shared + prose(60), shared, prose(10) + shared[5:] + prose(200), other + "x" + other, other[:399], other[1:401], None, "", "z" * 1000, prose(300), prose(20) + shared[:410], "é" * 300 + shared]
     check_repeats(spark, texts + [texts[12], texts[12]], hot)
 
