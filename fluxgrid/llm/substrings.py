@@ -309,15 +309,20 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def _merged(spans: list[dict], kind: int) -> list[list[int]]:
-    """Maximal runs of bytes under the spans of one kind."""
-    out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans if x["kind"] == kind):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+def _merged(row: np.ndarray, s: np.ndarray, e: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes under spans (s, e) of n rows: index of each row's first run and of the last row's end, starts, ends."""
+    base = row.astype(np.int64) << 32
+    order = np.argsort(base | s)
+    row, first, reach = row[order], (base | s)[order], np.maximum.accumulate((base | e)[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]])) if len(order) else order
+    low = np.int64((1 << 32) - 1)
+    ends = reach[np.concatenate([new[1:] - 1, [len(order) - 1]])] & low if len(order) else order
+    return np.searchsorted(row[new], np.arange(n + 1)), first[new] & low, ends
+
+
+def _pairs(at: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
+    both = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(s) + 1, 2, dtype=np.int32)), pa.array(np.stack([s, e], 1).ravel().astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), both)
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, n_passages long, spans array<array<int>>, passages array<array<int>>"
@@ -325,19 +330,23 @@ CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for b, spans in zip(common.as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
-            gone, shared = _merged(spans or [], LENGTH), _merged(spans or [], SHORT)
-            kept, at = hashlib.sha256(), 0
-            for s, e in gone:
-                kept.update(b[at:s])
-                at = e
-            kept.update(b[at:])
-            rows.append((len(b), sum(e - s for s, e in gone), len(gone), kept.hexdigest(), sum(e - s for s, e in shared), len(shared), gone, shared))
-        cols = list(zip(*rows)) or [[]] * 8
-        long, lists = pa.int64(), pa.list_(pa.list_(pa.int32()))
-        arrays = [pa.array(c, kind) for c, kind in zip(cols, (long, long, long, pa.string(), long, long, lists, lists))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "n_passages", "spans", "passages"])
+        raw, spans = common.as_bytes(batch.column("text")), batch.column("spans")
+        row, flat = spans.value_parent_indices().to_numpy(zero_copy_only=False), spans.flatten()
+        kind, s, e = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat.flatten())
+        (at, first, last), shared = (_merged(row[own], s[own], e[own], len(raw)) for own in (kind == LENGTH, kind == SHORT))
+        digests = []
+        for b, i, j in zip(raw, at[:-1].tolist(), at[1:].tolist()):
+            kept, done = hashlib.sha256(), 0
+            for x, y in zip(first[i:j].tolist(), last[i:j].tolist()):
+                kept.update(b[done:x])
+                done = y
+            kept.update(b[done:])
+            digests.append(kept.hexdigest())
+        covered = [np.diff(np.concatenate([[0], np.cumsum(y - x)])[k]) for k, x, y in ((at, first, last), shared)]
+        counts = [pa.array(x.astype(np.int64)) for x in (np.array([len(b) for b in raw]), covered[0], np.diff(at), covered[1], np.diff(shared[0]))]
+        arrays = [*counts[:3], pa.array(digests, pa.string()), *counts[3:], _pairs(at, first, last), _pairs(*shared)]
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "n_passages", "spans", "passages"]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
 
 
 def _members(scratch: common.Scratch, rows: DataFrame) -> DataFrame:
