@@ -352,29 +352,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(scratch: common.Scratch, rows: DataFrame) -> DataFrame:
     """Records whose anchor occurs at least twice (a text that is there in several partitions may give its records several
     times, which adds equal spans of that text and no others), with n, the occurrences of their bytes, m, the different records of their
-    group, and first, whether they stand for all equal ones. Every count is summed partially, and all come back by joins that
-    adaptive execution can split, so that an anchor that most texts share isn't gathered anywhere."""
+    group, and first, whether they stand for all equal ones. Every count is summed partially and written, and comes back by a
+    join that adaptive execution can split, so that an anchor that most texts share isn't gathered anywhere."""
     rows = scratch.put(rows, "rows")
-    often = rows.groupBy("anchor").agg(F.sum(F.size("firsts")).alias("c")).where("c >= 2").select("anchor")
+    often = scratch.put(rows.groupBy("anchor").agg(F.sum(F.size("firsts")).alias("c")).where("c >= 2").select("anchor"), "often")
     some = scratch.put(rows.join(often.hint("shuffle_hash"), "anchor"), "some")
     scratch.drop("rows")
     key = ["anchor", "d1", "d2"]
-    kinds = some.groupBy(key).agg(F.sum(F.size("firsts")).alias("n"), F.min("rid").alias("low"))
-    kinds = scratch.put(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("m")), "anchor"), "kinds")
-    members = scratch.put(some.join(kinds, key).selectExpr("* except (low)", "rid = low as first"), "members")
-    scratch.drop("some", "kinds")
+    kinds = scratch.put(some.groupBy(key).agg(F.sum(F.size("firsts")).alias("n"), F.min("rid").alias("low")), "kinds")
+    sizes = scratch.put(kinds.groupBy("anchor").agg(F.count("*").alias("m")), "sizes")
+    members = scratch.put(some.join(kinds.join(sizes, "anchor"), key).selectExpr("* except (low)", "rid = low as first"), "members")
+    scratch.drop("often", "some", "kinds", "sizes")
     return members
 
 
-def _split(slices: DataFrame) -> DataFrame:
+def _split(scratch: common.Scratch, slices: DataFrame) -> DataFrame:
     """Repeated windows of hot groups: blocks with equal digests whole, what is left of a core window by window."""
     key = ["kind", "core", "s1"]
     blocks = slices.where("kind > 0").select("kind", "anchor", "d1", "d2", "windows", "core", "s1", "off", "marks")
-    same = blocks.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("anchor", "d1", "d2", "off", "marks")).alias("r"))
+    same = scratch.put(blocks.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("anchor", "d1", "d2", "off", "marks")).alias("r")), "same")
     twice = blocks.join(same.where("n >= 2").select(key), key).selectExpr("kind", "anchor", "d1", "d2", "off as lo", "off + windows - 1 as hi")
-    shared = same.groupBy("kind", "core").agg(F.count("*").alias("k")).where("k >= 2").select("kind", "core")
+    shared = scratch.put(same.groupBy("kind", "core").agg(F.count("*").alias("k")).where("k >= 2").select("kind", "core"), "shared")
     single = same.join(shared, ["kind", "core"]).selectExpr("kind", "core", "n", "r.anchor", "r.d1", "r.d2", "r.off", "posexplode(r.marks) as (i, mark)")
-    again = single.groupBy("kind", "core", "mark").agg(F.count("*").alias("k")).where("k >= 2").select("kind", "core", "mark")
+    again = scratch.put(single.groupBy("kind", "core", "mark").agg(F.count("*").alias("k")).where("k >= 2").select("kind", "core", "mark"), "again")
     return twice.unionByName(single.where("n = 1").join(again, ["kind", "core", "mark"]).selectExpr("kind", "anchor", "d1", "d2", "off + i as lo", "off + i as hi"))
 
 
@@ -393,8 +393,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     texts = docs.join(wanted.select("rid"), "rid", "semi").groupBy("rid").agg(F.first("text").alias("text"))
     slices = scratch.put(common.map_rows(texts.join(wanted, "rid").select("text", "wanted"), lambda batches: _slices(batches, hot), SLICE), "slices")
     cold = slices.where("kind = 0").select("anchor", "d1", "d2", "windows", "slice").repartition("anchor").sortWithinPartitions("anchor", "d1", "d2")
-    found = scratch.put(common.map_rows(cold, _sorted_groups, FOUND).unionByName(_split(slices)), "found")
-    scratch.drop("slices")
+    found = scratch.put(common.map_rows(cold, _sorted_groups, FOUND).unionByName(_split(scratch, slices)), "found")
+    scratch.drop("slices", "same", "shared", "again")
     shared = members.where("n = 1").join(found, ["anchor", "d1", "d2"]).selectExpr("rid", "kind", "firsts[0] + lo as s", "firsts[0] + hi + kind as e")
     whole = members.where("n >= 2").selectExpr("rid", "windows", "size", "explode(firsts) as s").selectExpr("rid", "s", "s + windows - 1 as last", "s + size as end")
     twice = docs.groupBy("rid").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("end")).where("n >= 2").selectExpr("rid", "0 as s", "end")
