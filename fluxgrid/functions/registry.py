@@ -1,4 +1,4 @@
-"""Named functions that a caller can extend: trace kinds and image statistics."""
+"""The kinds of traces by name, which a caller can extend; `traces.all_kinds` computes all that are here."""
 
 from __future__ import annotations
 
@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame
 
 from fluxgrid.operators import traces
 
-TraceKind = Callable[[DataFrame, DataFrame], DataFrame]
-#: (regions, frames) to (roi, frame, v) by kind.
+TraceKind = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+#: (mean trace, surround's trace, denoised trace) to (roi, frame, v) by kind.
 TRACES: dict[str, TraceKind] = {
-    "mean": traces.mean_trace,
-    "relative": lambda regions, frames: traces.relative_change(traces.mean_trace(regions, frames)).selectExpr("roi", "frame", "dff as v"),
+    "mean": lambda mean, around, denoised: mean,
+    "mean denoised": lambda mean, around, denoised: denoised,
+    "mean corrected": lambda mean, around, denoised: traces.corrected(mean, around),
+    "mean denoised corrected": lambda mean, around, denoised: traces.corrected(denoised, around),
+    "relative": lambda mean, around, denoised: traces.relative(mean),
+    "relative denoised": lambda mean, around, denoised: traces.relative(denoised),
+    "relative corrected": lambda mean, around, denoised: traces.relative(traces.corrected(mean, around)),
+    "relative denoised corrected": lambda mean, around, denoised: traces.relative(traces.corrected(denoised, around)),
+    "surround": lambda mean, around, denoised: around,
 }
 
 

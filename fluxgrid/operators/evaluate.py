@@ -46,3 +46,56 @@ def parameter_grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
         rest //= len(v)
         grid = grid.withColumn(name, F.element_at(F.array(*map(F.lit, v)), (F.expr(f"config div {rest} % {len(v)}") + 1).cast("int")))
     return grid
+
+
+def run_table(configs: DataFrame, results: DataFrame) -> DataFrame:
+    """Configurations with the results of their runs; a configuration that hasn't run keeps null results."""
+    return configs.join(results, "config", "left")
+
+
+def detection_frequency(truth: DataFrame, hits: DataFrame, scores: DataFrame, least: float = 1.43) -> DataFrame:
+    """(roi, freq): share of the good runs that found a true region; hits is (run, roi), scores (run, recall, precision), and a run is
+    good if the sum of both is above `least`. null without a good run."""
+    good = scores.where(F.col("recall") + F.col("precision") > least).select("run")
+    found = hits.join(good, "run").select("run", "roi").distinct().groupBy("roi").agg(F.count("*").alias("n"))
+    runs = good.agg(F.countDistinct("run").alias("runs"))
+    both = truth.select("roi").distinct().join(found, "roi", "left").join(F.broadcast(runs))
+    return both.select("roi", (F.coalesce("n", F.lit(0)) / F.expr("nullif(runs, 0)")).alias("freq"))
+
+
+def score_runs(truth: DataFrame, found: DataFrame, limit: float) -> DataFrame:
+    """(run, n_true, n_found, hits, recall, precision) of region sets found(run, roi, pixel, row, col): centres within a limit, run by run."""
+    centre = lambda df, *keys: df.groupBy(*keys, "roi").agg(F.avg("row").alias("cr"), F.avg("col").alias("cc"))
+    return _scores(centre(truth), centre(found, "run"), run_hits(truth, found, limit))
+
+
+def run_hits(truth: DataFrame, found: DataFrame, limit: float) -> DataFrame:
+    """(run, roi): true regions with a centre of a found one within the limit, run by run."""
+    a = truth.groupBy("roi").agg(F.avg("row").alias("ar"), F.avg("col").alias("ac"))
+    b = found.groupBy("run", F.col("roi").alias("b")).agg(F.avg("row").alias("br"), F.avg("col").alias("bc"))
+    cell = lambda c: F.floor(F.col(c) / limit).cast("long")
+    around = F.sequence(F.lit(-1).cast("long"), F.lit(1).cast("long"))
+    a = a.withColumn("dr", F.explode(around)).withColumn("dc", F.explode(around)).withColumns({"gr": cell("ar") + F.col("dr"), "gc": cell("ac") + F.col("dc")})
+    b = b.withColumns({"gr": cell("br"), "gc": cell("bc")})
+    near = a.join(b, ["gr", "gc"]).where(f"sqrt((ar - br) * (ar - br) + (ac - bc) * (ac - bc)) < {limit}")
+    return near.select("run", "roi").distinct()
+
+
+def _scores(truth: DataFrame, found: DataFrame, hits: DataFrame) -> DataFrame:
+    n = truth.agg(F.count("*").alias("n_true"))
+    per = found.groupBy("run").agg(F.count("*").alias("n_found")).join(hits.groupBy("run").agg(F.count("*").alias("hits")), "run", "left")
+    per = per.withColumn("hits", F.coalesce("hits", F.lit(0).cast("long"))).join(F.broadcast(n))
+    return per.selectExpr("run", "n_true", "n_found", "hits", "hits / nullif(n_true, 0) as recall", "hits / n_found as precision")
+
+
+def auto_class(truth: DataFrame, found: DataFrame, limit: float = 5.0, least: float = 0.7) -> DataFrame:
+    """(source, roi, class): a found region whose nearest true centre is within the limit is of class 1 if both share at least `least`
+    of either, else of class 5; one without a match is of class 3. The true regions are appended without a class."""
+    from fluxgrid.operators.regions import shape
+
+    near = match(shape(found), shape(truth), limit)
+    shared = overlaps(found, truth)
+    both = near.join(shared, ["a", "b"], "left").selectExpr("a", f"coalesce(shared / size_a >= {least} and shared / size_b >= {least}, false) as same")
+    own = found.select(F.col("roi").alias("a")).distinct().join(both, "a", "left")
+    labelled = own.selectExpr("'found' as source", "a as roi", "case when same then 1 when same is null then 3 else 5 end as class")
+    return labelled.unionByName(truth.select("roi").distinct().selectExpr("'true' as source", "roi", "cast(null as int) as class"))

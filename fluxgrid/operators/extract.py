@@ -26,6 +26,8 @@ class Settings:
     eccentricity: float = 0.9
     fill: bool = True
     refine: bool = True
+    area_stop: float = 0.95
+    local_max: bool = False
 
 
 def label_component(rows: np.ndarray, cols: np.ndarray, start: int) -> np.ndarray:
@@ -104,15 +106,57 @@ def grow_region(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, seed: int, s:
     return near[label_component(rows[near], cols[near], int(np.searchsorted(near, seed)))]
 
 
+def smoothed(image: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian filter cut off at 4 sigma, the edge sample repeated."""
+    radius = int(4 * sigma + 0.5)
+    taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / max(sigma, 1e-9)) ** 2)
+    for axis in (0, 1):
+        wide = np.pad(image, [(radius, radius) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
+        image = sum(t * np.take(wide, np.arange(i, i + image.shape[axis]), axis) for i, t in enumerate(taps / taps.sum()))
+    return image
+
+
+def peaks(norm: np.ndarray, rows: np.ndarray, cols: np.ndarray, distance: int) -> list[int]:
+    """Cells that are the highest within `distance` cells in the norm image smoothed by its own deviation, away from its edges, best first."""
+    r, c = rows - rows.min(), cols - cols.min()
+    image = np.zeros((r.max() + 1, c.max() + 1))
+    image[r, c] = norm
+    image = smoothed(image, float(image.std()))
+    side = 2 * distance + 1
+    if min(image.shape) < side:
+        return []
+    most = np.lib.stride_tricks.sliding_window_view(image, (side, side)).max((2, 3))
+    inner = image[distance : image.shape[0] - distance, distance : image.shape[1] - distance]
+    top = np.zeros(image.shape, bool)
+    top[distance : image.shape[0] - distance, distance : image.shape[1] - distance] = (inner == most) & (inner > image.min())
+    at = np.flatnonzero(top[r, c])
+    return at[np.argsort(-norm[at], kind="stable")].tolist()
+
+
+def filled(rows: np.ndarray, cols: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Cells of a region and of its holes, as far as they are cells of the tile."""
+    if not len(own):
+        return own
+    r, c = fill(rows[own], cols[own])
+    wide = cols.max() + 2
+    return np.flatnonzero(np.isin(rows * wide + cols, r * wide + c))
+
+
 def extract(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, s: Settings) -> list[np.ndarray]:
-    """Regions of one tile, as indices of cells: seeds by descending norm; a failed seed goes to the back of the queue."""
-    queue = np.argsort(-(x * x).sum(1), kind="stable").tolist()
+    """Regions of one tile, as indices of cells. Seeds go by descending norm, or are peaks of the norm image; a failed seed goes to the
+    back of the queue. Holes are filled before size and shape are judged. Ends when enough regions are found, max_iter seeds in a row
+    failed, or more than a share of the cells is taken."""
+    norm = (x * x).sum(1)
+    quarter = s.roi_size_min * 0.25
+    queue = peaks(np.sqrt(norm), rows, cols, max(1, int(quarter) if quarter < 2 else 2)) if s.local_max else np.argsort(-norm, kind="stable").tolist()
     taken, found, failed = np.zeros(len(x), bool), [], 0
-    while queue and len(found) < s.num_rois and failed < s.max_iter:
+    while queue and len(found) < s.num_rois and failed < s.max_iter and taken.mean() <= s.area_stop:
         seed = queue.pop(0)
         if taken[seed]:
             continue
         own = grow_region(x, rows, cols, seed, s)
+        if s.fill:
+            own = filled(rows, cols, own)
         if s.roi_size_min < len(own) < s.roi_size_max and eccentricity(rows[own], cols[own]) <= s.eccentricity:
             found.append(own)
             taken[own] = True
@@ -132,8 +176,7 @@ def spectral_regions(evec: DataFrame, s: Settings = Settings()) -> DataFrame:
         rows, cols = pdf.row.to_numpy(), pdf.col.to_numpy()
         out = []
         for k, own in enumerate(extract(np.stack(pdf.x.to_numpy()), rows, cols, s)):
-            r, c = fill(rows[own], cols[own]) if s.fill else (rows[own], cols[own])
-            out.append(pd.DataFrame({"box": pdf.box.iloc[0], "roi": k + 1, "row": r, "col": c}))
+            out.append(pd.DataFrame({"box": pdf.box.iloc[0], "roi": k + 1, "row": rows[own], "col": cols[own]}))
         return pd.concat(out) if out else pd.DataFrame({"box": [], "roi": [], "row": [], "col": []})
 
     return evec.select("box", "row", "col", "x").groupBy("box").applyInPandas(run, "box long, roi long, row long, col long")
@@ -165,32 +208,54 @@ def rank_one(v: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     return w, h
 
 
-def demix(data: np.ndarray, masks: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Non-negative traces C with data ~ masks' C, by multiplicative updates; data is (pixel, time), masks (region, pixel)."""
+def demix(data: np.ndarray, weights: np.ndarray, rounds: int = 100, background: np.ndarray | None = None) -> np.ndarray:
+    """Non-negative traces C with data ~ weights' C + b background, by multiplicative updates of C and of the background's weights b in
+    turn; data is (pixel, time), weights (region, pixel), background (time), none at all if it isn't given."""
     data = np.maximum(data, 0)
-    a = masks.astype(float)
+    a = weights.astype(float)
     c = np.maximum(a @ data / np.maximum(a.sum(1, keepdims=True), 1), 1e-11)
+    f = np.maximum(background, 1e-11) if background is not None else np.zeros(data.shape[1])
+    b = np.maximum(data.mean(1) / f.mean() / 2, 1e-11) if background is not None else np.zeros(len(data))
     top, square = a @ data, a @ a.T
     for _ in range(rounds):
-        c = c * top / np.maximum(square @ c, 1e-11)
+        c = np.maximum(c * top / np.maximum(square @ c + np.outer(a @ b, f), 1e-11), 1e-11)
+        if background is None:
+            continue
+        b = np.maximum(b * (data @ f) / np.maximum(a.T @ (c @ f) + b * (f @ f), 1e-11), 1e-11)
     return c
 
 
-def denoised_traces(regions: DataFrame, frames: DataFrame, rounds: int = 100) -> DataFrame:
-    """(roi, frame, v) of overlapping regions taken apart after their background. Regions that overlap go to one task together."""
+def denoised_traces(regions: DataFrame, frames: DataFrame, rounds: int = 100, weights: DataFrame | None = None, margin: int = 6) -> DataFrame:
+    """(roi, frame, v) of overlapping regions taken apart, with a background of their own. Regions that overlap go to one task together.
+
+    The background's course is the time factor of a rank-one fit to the pixels around the regions (those within `margin` cells that are
+    in no region; to the regions' own where there are none); its weight in each pixel is solved together with the traces. weights is
+    (roi, pixel, weight), 1 for each pixel where it isn't given.
+    """
     from fluxgrid.operators.regions import components, overlaps
 
     group = components(regions.select(F.col("roi").alias("v")), overlaps(regions).select("a", "b")).withColumnRenamed("component", "grp")
-    rows = regions.join(group, F.col("roi") == F.col("v")).select("grp", "roi", "pixel").join(frames.select("pixel", "frame", "v"), "pixel")
+    own = regions.join(group, F.col("roi") == F.col("v")).select("grp", "roi", "pixel", "row", "col")
+    own = own.join(weights.select("roi", "pixel", "weight"), ["roi", "pixel"], "left") if weights is not None else own.withColumn("weight", F.lit(1.0))
+    wide = own.groupBy("grp").agg(*(f(c).alias(n) for f, c, n in ((F.min, "row", "a"), (F.max, "row", "b"), (F.min, "col", "c"), (F.max, "col", "d"))))
+    span = lambda lo, hi: F.explode(F.sequence(F.col(lo) - margin, F.col(hi) + margin))
+    cells = wide.withColumn("row", span("a", "b")).withColumn("col", span("c", "d")).select("grp", "row", "col")
+    free = frames.select("pixel", "row", "col").distinct().join(regions.select("pixel").distinct(), "pixel", "left_anti")
+    around = cells.join(free, ["row", "col"]).selectExpr("grp", "cast(null as long) as roi", "pixel", "0.0D as weight")
+    both = own.select("grp", "roi", "pixel", F.coalesce("weight", F.lit(0.0)).alias("weight")).unionByName(around)
+    rows = both.join(frames.select("pixel", "frame", "v"), "pixel")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cells = pdf.drop_duplicates(["pixel", "frame"]).pivot(index="pixel", columns="frame", values="v").fillna(0.0)
+        inside = pdf[pdf.roi.notna()].drop_duplicates(["roi", "pixel"])
+        within = cells.index.isin(inside.pixel)
         data = cells.to_numpy()
-        w, h = rank_one(data)
-        rois = np.sort(pdf.roi.unique())
-        masks = np.stack([cells.index.isin(pdf.pixel[pdf.roi == r]) for r in rois])
-        c = demix(np.maximum(data - np.outer(w, h * 0.5), 0), masks, rounds)
-        return pd.DataFrame({"roi": np.repeat(rois, c.shape[1]), "frame": np.tile(cells.columns.to_numpy(), len(rois)), "v": c.ravel()})
+        _, course = rank_one(data[~within] if (~within).any() else data)
+        rois, pixels = np.sort(inside.roi.unique()), cells.index[within]
+        a = np.zeros((len(rois), len(pixels)))
+        a[np.searchsorted(rois, inside.roi), np.searchsorted(pixels, inside.pixel)] = inside.weight
+        c = demix(data[within], a, rounds, course)
+        return pd.DataFrame({"roi": np.repeat(rois, c.shape[1]).astype(np.int64), "frame": np.tile(cells.columns.to_numpy(), len(rois)), "v": c.ravel()})
 
     return rows.groupBy("grp").applyInPandas(run, "roi long, frame long, v double")
 

@@ -70,23 +70,92 @@ def laplacian(edges: DataFrame) -> DataFrame:
     return p.unionByName(edges.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("l"))).groupBy("i", "j").agg(F.sum("l").alias("l"))
 
 
+#: Vertices of a graph up to which its whole spectrum is solved; larger ones get the leading vectors alone, from sparse rows.
+DENSE_VERTICES = 800
+
+
+class Sparse:
+    """A symmetric matrix as rows of (column, weight); products go block by block, so that memory follows the entries."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int):
+        order = np.lexsort((j, i))
+        self.j, self.w, self.n = j[order], w[order], n
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=n))])
+
+    def sums(self) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(self.n), np.diff(self.at)), self.w, self.n)
+
+    def scaled(self, r: np.ndarray) -> Sparse:
+        out = object.__new__(Sparse)
+        out.j, out.at, out.n = self.j, self.at, self.n
+        out.w = self.w * np.repeat(r, np.diff(self.at)) * r[self.j]
+        return out
+
+    def dot(self, x: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        out = np.zeros((self.n, x.shape[1]))
+        a = 0
+        while a < self.n:
+            z = min(self.n, max(a + 1, int(np.searchsorted(self.at, self.at[a] + most // x.shape[1], "right")) - 1))
+            lo, hi = self.at[a], self.at[z]
+            if hi > lo:
+                full = np.flatnonzero(np.diff(self.at[a : z + 1]))
+                out[a + full] = np.add.reduceat(self.w[lo:hi, None] * x[self.j[lo:hi]], self.at[a + full] - lo, axis=0)
+            a = z
+        return out
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.n, self.n))
+        np.add.at(out, (np.repeat(np.arange(self.n), np.diff(self.at)), self.j), self.w)
+        return out
+
+
+def leading(a: Sparse, k: int, tolerance: float = 1e-5, rounds: int = 60, depth: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of a symmetric matrix and their vectors, by a restarted block Krylov space: a block and its products
+    with the matrix span a space, whose best vectors begin the next one. Stops when no residual is above the tolerance."""
+    if a.n <= max(DENSE_VERTICES, 4 * k):
+        values, v = np.linalg.eigh(a.dense())
+        order = np.argsort(-values, kind="stable")[:k]
+        return values[order], v[:, order]
+    width = k + 8
+    x = np.linalg.qr(np.random.default_rng(3).normal(size=(a.n, width)))[0]
+    for _ in range(rounds):
+        blocks = [x]
+        for _ in range(depth):
+            y = a.dot(blocks[-1])
+            for _ in range(2):
+                for b in blocks:
+                    y -= b @ (b.T @ y)
+            blocks.append(np.linalg.qr(y)[0])
+        q = np.linalg.qr(np.concatenate(blocks, axis=1))[0]
+        aq = a.dot(q)
+        values, s = np.linalg.eigh(q.T @ aq)
+        order = np.argsort(-values)[:width]
+        x, ax = q @ s[:, order], aq @ s[:, order]
+        if np.linalg.norm(ax[:, :k] - x[:, :k] * values[order][:k], axis=0).max() < tolerance:
+            break
+    return values[order][:k], x[:, :k]
+
+
+def walk_vectors(edges: Sparse, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading values of the normalised walk, and the k - 1 vectors behind the trivial one."""
+    r = 1 / np.sqrt(edges.sums() + 1e-9)
+    values, v = leading(edges.scaled(r), min(k, edges.n))
+    return values, (v * r[:, None])[:, 1:]
+
+
 def eigenvectors(edges: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, x, values): the k - 1 leading non-trivial vectors of the normalised walk of each group's graph; one group a task.
 
-    A group is a tile of a time block, so that its graph has a bounded number of cells.
+    A group is a tile of a time block, so that its graph has a bounded number of cells. The graph stays sparse.
     """
     rows = edges.withColumn("__g", F.lit(0)) if not keys else edges
     by = list(keys) or ["__g"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf.i, pdf.j]))
-        a = np.zeros((len(ids), len(ids)))
-        np.add.at(a, (np.searchsorted(ids, pdf.i), np.searchsorted(ids, pdf.j)), pdf.w.to_numpy())
-        r = 1 / np.sqrt(a.sum(1) + 1e-9)
-        values, v = np.linalg.eigh(r[:, None] * a * r)
-        order = np.argsort(-values)[:k]
-        x = (v[:, order] * r[:, None])[:, 1:]
-        out = pd.DataFrame({"i": ids, "x": list(x), "values": [values[order].tolist()] * len(ids)})
+        graph = Sparse(np.searchsorted(ids, pdf.i), np.searchsorted(ids, pdf.j), pdf.w.to_numpy(), len(ids))
+        values, x = walk_vectors(graph, k)
+        out = pd.DataFrame({"i": ids, "x": list(x), "values": [values.tolist()] * len(ids)})
         for c in by:
             out[c] = pdf[c].iloc[0]
         return out
@@ -96,17 +165,100 @@ def eigenvectors(edges: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFr
     return out if keys else out.drop("__g")
 
 
+def near_rows(x: np.ndarray, k: int, metric: str = "l2", block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and distances of the k nearest rows for each row, itself included, by blocks of rows; ties by index."""
+    if metric not in ("l2", "ip", "cosine"):
+        raise ValueError(f"metric {metric} isn't known")
+    if metric == "cosine":
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    n, k, sq = len(x), min(k, len(x)), (x * x).sum(1)
+    at, near = np.empty((n, k), np.int64), np.empty((n, k))
+    for a in range(0, n, block):
+        dot = x[a : a + block] @ x.T
+        d = np.maximum(sq[a : a + block, None] + sq - 2 * dot, 0) if metric == "l2" else 1 - dot
+        own = np.arange(len(d))
+        if metric != "ip":
+            d[own, a + own] = 0
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        if k < n:
+            d = np.where(d <= limit, d, np.inf)
+        best = np.argpartition(d, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(d), 1))
+        order = np.lexsort((best, np.take_along_axis(d, best, 1)), axis=1)
+        at[a : a + block] = np.take_along_axis(best, order, 1)
+        near[a : a + block] = np.take_along_axis(d, at[a : a + block], 1)
+    return at, near
+
+
+def affinities(x: np.ndarray, knn: int, scale_column: int, metric: str = "l2") -> Sparse:
+    """Symmetric self-tuning affinities of rows: the scale of a row is its distance in a column of its sorted neighbours, of which
+    column 0 is the row itself."""
+    at, near = near_rows(x, knn, metric)
+    n, k = at.shape
+    scale = near[:, min(scale_column, k - 1)] + 1e-9
+    w = np.exp(-near / np.sqrt(scale[:, None] * scale[at])) / 2
+    w[at == np.arange(n)[:, None]] = 0
+    i, j = np.repeat(np.arange(n), k), at.ravel()
+    key = np.concatenate([i * n + j, j * n + i])
+    pairs, where = np.unique(key, return_inverse=True)
+    return Sparse(pairs // n, pairs % n, np.bincount(where, np.concatenate([w.ravel(), w.ravel()])), n)
+
+
+def tile_spectra(vectors: DataFrame, keys: tuple[str, ...], k: int, knn: int, scale_column: int, metric: str = "l2") -> DataFrame:
+    """(keys, pixel, x): affinities and leading walk vectors of vectors(keys, pixel, x); a group is a task from vectors to spectrum, so
+    that no edge is shuffled."""
+    kinds = dict(vectors.dtypes)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pixel")
+        _, x = walk_vectors(affinities(np.stack(pdf.x.to_numpy()).astype(float), knn, scale_column, metric), k)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "pixel": pdf.pixel.to_numpy(), "x": list(x)})
+
+    return vectors.select(*keys, "pixel", "x").groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", pixel long, x array<double>")
+
+
+def stack_blocks(spectra: DataFrame, block: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, pixel, x): the vectors of all time blocks of a pixel, one behind the other in order of the block."""
+    rows = spectra.groupBy(*keys, "pixel").agg(F.array_sort(F.collect_list(F.struct(block, "x"))).alias("b"))
+    return rows.select(*keys, "pixel", F.flatten(F.transform("b", lambda s: s["x"])).alias("x"))
+
+
+def norms(spectra: DataFrame, key: str = "i", first: int = 0) -> DataFrame:
+    """(key, norm): length of each vector from its column `first` on; saved vectors may still have the trivial one in column 0."""
+    part = F.slice("x", first + 1, 1 << 30)
+    return spectra.select(key, F.sqrt(F.aggregate(part, F.lit(0.0), lambda s, v: s + v * v)).alias("norm"))
+
+
+def box_scale(image: DataFrame, column: str = "norm", box: str = "box") -> DataFrame:
+    """A column times 10 over its mean in each box, so that boxes can be shown side by side."""
+    mean = image.groupBy(box).agg(F.avg(column).alias("__m"))
+    return image.join(F.broadcast(mean), box).withColumn("scaled", F.col(column) * 10 / F.col("__m")).drop("__m")
+
+
+def one_vector(spectra: DataFrame, k: int) -> DataFrame:
+    """(i or pixel, v): the k-th vector, from 0."""
+    return spectra.select(spectra.columns[0], F.element_at("x", k + 1).alias("v"))
+
+
 def squared_norm(vectors: DataFrame) -> DataFrame:
     return vectors.select("i", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("norm2"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the session's checkpoint folder; a temporary one is set where there is none."""
-    spark = df.sparkSession
+def checkpoint_folder(spark) -> str:
+    """The session's checkpoint folder: spark.checkpoint.dir, or a temporary one on a single machine. A cluster without one is refused,
+    since its executors don't share a local folder."""
     if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the session's checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -162,3 +314,24 @@ def principal_values(matrix: DataFrame, most: int = 100) -> DataFrame:
     s = np.sqrt(np.maximum(np.linalg.eigvalsh(gram(matrix))[::-1], 0))
     limit = elbow_value(s[:most])
     return matrix.sparkSession.createDataFrame([(k, float(round(v, 6)), bool(v > limit)) for k, v in enumerate(s)], "k long, value double, kept boolean")
+
+
+def principal_vectors(matrix: DataFrame, most: int = 100) -> DataFrame:
+    """(keys of matrix, x): vec projected on the principal directions whose singular value is above the elbow of the first `most`.
+
+    The T x T Gram matrix goes to the driver (T is a stack's number of frames); at most `most` directions go to all workers.
+    """
+    values, v = np.linalg.eigh(gram(matrix))
+    s = np.sqrt(np.maximum(values[::-1], 0))
+    kept = np.flatnonzero(s[:most] > elbow_value(s[:most]))
+    v = np.ascontiguousarray(v[:, ::-1][:, kept if len(kept) else [0]])
+    rest = [c for c in matrix.columns if c != "vec"]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column("vec").to_pylist(), float).reshape(-1, len(v))
+            x = (x - x.mean(1, keepdims=True)) @ v
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(list(x), pa.list_(pa.float64()))], [*rest, "x"])
+
+    kinds = dict(matrix.dtypes)
+    return matrix.select(*rest, "vec").mapInArrow(project, ", ".join([*(f"{c} {kinds[c]}" for c in rest), "x array<double>"]))

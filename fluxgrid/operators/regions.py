@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.operators.filters import EIGHT, FOUR, offsets
-from fluxgrid.operators.graph import components  # noqa: F401
+from fluxgrid.operators.graph import components, cut_lineage  # noqa: F401
 
 
 def seeds(norms: DataFrame) -> DataFrame:
@@ -74,11 +74,15 @@ def overlaps(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
     return pairs.join(a.groupBy(F.col("roi").alias("a")).agg(F.count("*").alias("size_a")), "a").join(b.groupBy(F.col("roi").alias("b")).agg(F.count("*").alias("size_b")), "b").select("a", "b", "shared", "size_a", "size_b")
 
 
-def merge_pairs(regions: DataFrame, traces: DataFrame, share: float, coefficient: float) -> DataFrame:
-    """Pairs whose overlap is above a share of both and whose traces (roi, frame, v) correlate; only overlapping pairs are correlated."""
-    near = overlaps(regions).where((F.col("shared") > share * F.col("size_a")) & (F.col("shared") > share * F.col("size_b")))
+def merge_pairs(regions: DataFrame, traces: DataFrame, share: float | None, coefficient: float) -> DataFrame:
+    """Pairs whose overlap is above a share of both (None: any common pixel) and whose traces (roi, frame, v) correlate; only
+    overlapping pairs are correlated."""
+    near = overlaps(regions)
+    if share is not None:
+        near = near.where((F.col("shared") > share * F.col("size_a")) & (F.col("shared") > share * F.col("size_b")))
     x, y = traces.select(F.col("roi").alias("a"), "frame", F.col("v").alias("x")), traces.select(F.col("roi").alias("b"), "frame", F.col("v").alias("y"))
-    return near.join(x, "a").join(y, ["b", "frame"]).groupBy("a", "b", "shared").agg(F.corr("x", "y").alias("corr")).where(F.col("corr") >= coefficient)
+    both = near.join(x, "a").join(y, ["b", "frame"]).groupBy("a", "b", "shared").agg(F.corr("x", "y").alias("corr"))
+    return both.where(F.col("corr") >= coefficient)
 
 
 def merge(regions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -117,6 +121,37 @@ def ring(regions: DataFrame, nrows: int, ncols: int, steps: int, guard: int = 2)
     return wide.join(inner.select("pixel").distinct(), "pixel", "left_anti").select("roi", "pixel", "row", "col")
 
 
+def sized_ring(regions: DataFrame, nrows: int, ncols: int, least: int, guard: int = 2, reach: int = 6) -> DataFrame:
+    """Surround of each region, as wide as it takes: dilated until `least` pixels and its own size are free of every region and of its
+    own guard band. k dilations with the 4-neighbour cross reach all pixels within k steps, so the width is a rank of distances.
+
+    Distances up to `reach` are tried first; regions that need more get twice as many, up to the whole image.
+    """
+    taken, size = regions.select("pixel").distinct(), regions.groupBy("roi").agg(F.count("*").alias("size"))
+    edge = outline(regions).select("roi", "row", "col")
+    out, open_ = None, size
+    while True:
+        steps = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if guard < abs(i) + abs(j) <= reach]
+        inner = [(i, j) for i in range(-guard, guard + 1) for j in range(-guard, guard + 1) if abs(i) + abs(j) <= guard]
+        cells = offsets(edge.join(open_.select("roi"), "roi", "left_semi"), [*inner, *steps])
+        cells = cells.where(f"nrow between 0 and {nrows - 1} and ncol between 0 and {ncols - 1}").selectExpr(
+            "roi", f"cast(nrow * {ncols} + ncol as long) as pixel", "cast(nrow as long) as r", "cast(ncol as long) as c", "abs(nrow - row) + abs(ncol - col) as d"
+        )
+        free = cells.groupBy("roi", "pixel", "r", "c").agg(F.min("d").alias("d")).where(f"d > {guard}").join(taken, "pixel", "left_anti")
+        count = free.groupBy("roi", "d").agg(F.count("*").alias("n"))
+        upto = count.withColumn("n", F.sum("n").over(Window.partitionBy("roi").orderBy("d"))).join(size, "roi").where(f"n >= {least} + size")
+        width = upto.groupBy("roi").agg(F.min("d").alias("width"))
+        whole = reach >= nrows + ncols
+        if whole:
+            width = open_.select("roi").join(width, "roi", "left").select("roi", F.coalesce("width", F.lit(reach)).alias("width"))
+        part = cut_lineage(free.join(width, "roi").where("d <= width").select("roi", "pixel", F.col("r").alias("row"), F.col("c").alias("col")))
+        out = part if out is None else out.unionByName(part)
+        open_ = cut_lineage(open_.join(width, "roi", "left_anti"))
+        if whole or open_.isEmpty():
+            return out
+        reach *= 2
+
+
 def outline(regions: DataFrame) -> DataFrame:
     """Pixels with a 4-neighbour outside the region."""
     near = offsets(regions, FOUR)
@@ -189,3 +224,55 @@ def footprint_correlation(regions: DataFrame, frames: DataFrame, active: DataFra
     mask = image.join(regions.select("roi", "row", "col", F.lit(1.0).alias("one")), ["roi", "row", "col"], "left")
     out = mask.groupBy("roi", "area").agg(F.max("n").alias("n_frames"), F.corr("m", F.coalesce("one", F.lit(0.0))).alias("corr"))
     return out.select("roi", "n_frames", F.expr("case when area < 3 then 0.0 else corr end").alias("corr"))
+
+
+def component_count(pixels: DataFrame, steps: list[tuple[int, int]] = EIGHT) -> DataFrame:
+    """n: connected components of a set of pixels, and one for the background."""
+    return connected(pixels, steps).agg((F.countDistinct("component") + 1).alias("n"))
+
+
+def at_pixel(regions: DataFrame, row: int, col: int) -> DataFrame:
+    """(turn, roi): regions under a cell, in the order in which repeated picks go through them."""
+    own = regions.where(f"row = {row} and col = {col}").select("roi").distinct()
+    return own.select(F.row_number().over(Window.orderBy("roi")).alias("turn"), "roi")  # as many rows as regions overlap in one cell
+
+
+def eigen_centres(regions: DataFrame, spectra: DataFrame) -> DataFrame:
+    """(roi, x): mean vector of each region's pixels; spectra is (pixel, x)."""
+    values = regions.select("roi", "pixel").join(spectra.select("pixel", F.posexplode("x").alias("k", "v")), "pixel")
+    means = values.groupBy("roi", "k").agg(F.avg("v").alias("v"))
+    return means.groupBy("roi").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("x"))
+
+
+def resolve_in_spectrum(regions: DataFrame, spectra: DataFrame) -> DataFrame:
+    """Each shared pixel goes to the region whose mean vector is nearer to its own; a tie to the smaller number."""
+    centre = eigen_centres(regions, spectra).select("roi", F.col("x").alias("m"))
+    d = F.aggregate(F.zip_with("x", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    near = regions.join(spectra.select("pixel", "x"), "pixel").join(centre, "roi").withColumn("d", F.round(d, 9))
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("pixel").orderBy("d", "roi"))).where("k = 1").select("roi", "pixel", "row", "col")
+
+
+def blob(regions: DataFrame, colours: list[tuple[int, int, int]]) -> DataFrame:
+    """(pixel, red, green, blue, alpha): regions in turn of their numbers in the colours given; a later one covers an earlier one."""
+    rank = regions.select("roi").distinct().select("roi", (F.row_number().over(Window.orderBy("roi")) - 1).alias("k"))  # one row a region
+    table = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(c, ("red", "green", "blue")))) for c in colours))
+    top = regions.join(rank, "roi").groupBy("pixel").agg(F.max("k").alias("k"))
+    return top.select("pixel", F.element_at(table, (F.col("k") % len(colours) + 1).cast("int")).alias("c")).select("pixel", "c.*", F.lit(255).alias("alpha"))
+
+
+def zoom(regions: DataFrame, nrows: int, ncols: int, margin: int = 50) -> DataFrame:
+    """(roi, r0, r1, c0, c1): bounding box with a margin, within the image, half open."""
+    limits = [F.min("row"), F.max("row"), F.min("col"), F.max("col")]
+    box = regions.groupBy("roi").agg(*(x.alias(n) for x, n in zip(limits, ("a", "b", "c", "d"))))
+    return box.selectExpr("roi", f"greatest(0, a - {margin}) as r0", f"least({nrows}, b + {margin} + 1) as r1", f"greatest(0, c - {margin}) as c0", f"least({ncols}, d + {margin} + 1) as c1")
+
+
+def contour(regions: DataFrame) -> DataFrame:
+    """(roi, r0, c0, r1, c1): unit edges between a region's pixels and the outside, as grid points; chained, they are its contour lines."""
+    near = offsets(regions.select("roi", "row", "col"), FOUR)
+    inside = regions.select("roi", F.col("row").alias("nrow"), F.col("col").alias("ncol"))
+    rim = near.join(inside, ["roi", "nrow", "ncol"], "left_anti")
+    r0, c0 = F.greatest("row", "nrow"), F.greatest("col", "ncol")
+    flat = F.col("row") != F.col("nrow")  # an edge between two rows runs along the columns
+    ends = [r0, c0, F.when(flat, r0).otherwise(r0 + 1), F.when(flat, c0 + 1).otherwise(c0)]
+    return rim.select("roi", *(x.cast("long").alias(n) for x, n in zip(ends, ("r0", "c0", "r1", "c1"))))

@@ -28,6 +28,38 @@ def crop(frames: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> Dat
     return frames.where((F.col("row") >= rows[0]) & (F.col("row") < rows[1]) & (F.col("col") >= cols[0]) & (F.col("col") < cols[1]))
 
 
+def cropped(frames: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """A crop as a stack of its own: rows, columns and pixels are numbered from its corner."""
+    inner = crop(frames, rows, cols).withColumns({"row": F.col("row") - rows[0], "col": F.col("col") - cols[0]})
+    return inner.withColumn("pixel", (F.col("row") * (cols[1] - cols[0]) + F.col("col")).cast("long"))
+
+
+def auto_crop_range(frames: DataFrame, axis: str, n: int) -> tuple[int, int]:
+    """Half-open range of an axis inside the borders of every trial, each held against its own minimum; all of it if no line is inside."""
+    keys = ["trial"] if "trial" in frames.columns else []
+    if not keys:
+        frames, keys = frames.withColumn("trial", F.lit(0)), ["trial"]
+    low = frames.groupBy(*keys).agg(F.min("v").alias("low"))
+    line = frames.join(F.broadcast(low), keys).groupBy(*keys, "frame", axis).agg(F.expr("bool_and(v <= low)").alias("flat"))
+    border = line.groupBy(axis).agg(F.expr("bool_or(flat)").alias("border"))
+    inner = border.where("not border").agg(F.min(axis), F.max(axis)).first()
+    return (0, n) if inner[0] is None else (int(inner[0]), int(inner[1]) + 1)
+
+
+def join_trials(frames: DataFrame) -> DataFrame:
+    """Trials one behind the other in time, in order of their names: each frame gains the lengths of the trials before."""
+    length = frames.groupBy("trial").agg((F.max("frame") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("trial").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = length.select("trial", before.alias("start"))  # one row a trial
+    return frames.join(F.broadcast(start), "trial").withColumn("frame", (F.col("frame") + F.col("start")).cast("long")).drop("start", "trial")
+
+
+def even_frames(frames: DataFrame, n: int, total: int) -> DataFrame:
+    """n slices at equal distances: frames 0, s, 2 s and so on with s = total div n."""
+    step = max(1, total // n)
+    return frames.where(f"frame % {step} = 0 and frame div {step} < {n}")
+
+
 def auto_crop(frames: DataFrame, axis: str) -> DataFrame:
     """First and last line of an axis that isn't border. A line is border if all of its pixels are at the stack's minimum in some frame."""
     low = frames.agg(F.min("v").alias("low"))
@@ -47,9 +79,9 @@ def time_boxes(frames: DataFrame, n: int) -> DataFrame:
     return frames.join(F.broadcast(total)).withColumn("box", F.expr(f"frame div (total div {n})")).where(f"box < {n}").drop("total")
 
 
-def pixel_vectors(frames: DataFrame) -> DataFrame:
+def pixel_vectors(frames: DataFrame, keys: tuple[str, ...] = ("pixel",)) -> DataFrame:
     """Samples of each pixel in order of time."""
-    return frames.groupBy("pixel").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda s: s["v"]).alias("vec"))
+    return frames.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda s: s["v"]).alias("vec"))
 
 
 def tiles(nrows: int, ncols: int, per_side: int, overlap: int) -> list[tuple[int, int, int, int, int]]:

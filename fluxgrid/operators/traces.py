@@ -16,26 +16,63 @@ def corrected(traces: DataFrame, surround: DataFrame) -> DataFrame:
     return traces.join(surround.select("roi", "frame", F.col("v").alias("s")), ["roi", "frame"]).select("roi", "frame", (F.col("v") - F.col("s")).alias("v"))
 
 
-def relative_change(traces: DataFrame, key: str = "roi", share: float = 0.1) -> DataFrame:
+def relative_change(traces: DataFrame, key: str | list[str] = "roi", share: float = 0.1) -> DataFrame:
     """(v - b) / b, b being the mean of the samples strictly below a percentile; the trace itself if b is 0, null if no sample is below."""
     low = traces.groupBy(key).agg(F.expr(f"percentile(v, {share})").alias("p"))
     base = traces.join(low, key).groupBy(key).agg(F.avg(F.expr("case when v < p then v end")).alias("b"))
     return traces.join(base, key).withColumn("dff", F.expr("case when b = 0 then v else (v - b) / b end"))
 
 
-def all_kinds(regions: DataFrame, surround: DataFrame, frames: DataFrame) -> DataFrame:
-    """Mean, surround, corrected and relative traces, tagged by kind; the denoised kinds equal their plain ones and aren't repeated."""
+def relative(traces: DataFrame) -> DataFrame:
+    return relative_change(traces).select("roi", "frame", F.col("dff").alias("v"))
+
+
+def all_kinds(regions: DataFrame, surround: DataFrame, frames: DataFrame, denoised: DataFrame | None = None) -> DataFrame:
+    """(roi, frame, kind, v) of all kinds in the table of kinds (functions.registry). denoised is (roi, frame, v); without it the
+    denoised kinds equal their plain ones."""
+    from fluxgrid.functions.registry import TRACES
+
     mean, around = mean_trace(regions, frames), mean_trace(surround, frames)
-    both = corrected(mean, around)
-    relative = lambda t: relative_change(t).select("roi", "frame", F.col("dff").alias("v"))
-    kinds = {"mean": mean, "surround": around, "corrected": both, "relative": relative(mean), "relative corrected": relative(both)}
     out = None
-    for kind, t in kinds.items():
-        t = t.select("roi", "frame", F.lit(kind).alias("kind"), "v")
+    for kind, build in TRACES.items():
+        t = build(mean, around, mean if denoised is None else denoised).select("roi", "frame", F.lit(kind).alias("kind"), "v")
         out = t if out is None else out.unionByName(t)
     return out
 
 
+def pad_to_median(traces: DataFrame) -> DataFrame:
+    """(roi, trial, frame, v): trials brought to the median length (whole part) of all, with 0 behind the shorter; longer ones are cut."""
+    length = traces.groupBy("trial").agg((F.max("frame") + 1).alias("n")).agg(F.expr("cast(percentile(n, 0.5) as long)").alias("n"))
+    slots = traces.select("roi", "trial").distinct().join(F.broadcast(length)).select("roi", "trial", F.explode(F.expr("sequence(0L, n - 1)")).alias("frame"))
+    return slots.join(traces.select("roi", "trial", "frame", "v"), ["roi", "trial", "frame"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+
+def scale_by_first(traces: DataFrame, first: str, factor: float = 6.0) -> DataFrame:
+    """traces(roi, kind, frame, v) of all kinds over factor times the deviation of one kind of the same region."""
+    spread = traces.where(F.col("kind") == first).groupBy("roi").agg((factor * F.stddev_pop("v")).alias("s"))
+    return traces.join(spread, "roi").withColumn("y", F.col("v") / F.col("s")).drop("s")
+
+
+def lookup(stored: DataFrame, roi: int, kind: str, trials: list[str] | None = None) -> DataFrame:
+    """(at, trial, frame, v): one region's trace of a kind, the chosen trials (all, if None) one behind the other."""
+    own = stored.where((F.col("roi") == roi) & (F.col("kind") == kind))
+    if trials is not None:
+        own = own.where(F.col("trial").isin(trials))
+    return concatenate(own).select("at", "trial", "frame", "v")
+
+
+def stale(stored: DataFrame, regions: DataFrame) -> DataFrame:
+    """roi of regions whose stored traces (roi, version, ...) belong to other pixels, or that have none; version is pixel_version()."""
+    now = pixel_version(regions)
+    have = stored.select("roi", "version").distinct()
+    return now.join(have, ["roi", "version"], "left_anti").select("roi")
+
+
+def pixel_version(regions: DataFrame) -> DataFrame:
+    """(roi, version): a number that changes with a region's pixels, whatever their order."""
+    return regions.groupBy("roi").agg(F.sum(F.xxhash64("pixel").cast("decimal(38,0)")).cast("string").alias("version"))
+
+
 def statistics(traces: DataFrame) -> DataFrame:
     return traces.groupBy("roi").agg(F.stddev_pop("v").alias("std"), F.avg("v").alias("mean"), F.max("v").alias("max"))
 

@@ -174,7 +174,6 @@ def _merge_pairs(f: DataFrame) -> DataFrame:
 
 
 _on_frames("merge_pairs", lambda f: _merge_pairs(f).select("a", "b", "shared", F.round("corr", 5).alias("corr")), "SELECT o.a, o.b, shared, round(corr(x.v, y.v), 5) AS corr FROM (SELECT p.roi AS a, q.roi AS b, count(*) AS shared FROM rr p JOIN rr q ON p.pixel = q.pixel AND p.roi < q.roi GROUP BY ALL) o JOIN (SELECT roi, count(*) AS n FROM rr GROUP BY roi) na ON na.roi = a JOIN (SELECT roi, count(*) AS n FROM rr GROUP BY roi) nb ON nb.roi = b JOIN tt x ON x.roi = a JOIN tt y ON y.roi = b AND y.frame = x.frame WHERE shared > 0.1 * na.n AND shared > 0.1 * nb.n GROUP BY o.a, o.b, shared HAVING corr(x.v, y.v) >= 0.5", REGION, _BOTH)
-register("merge_rois", lambda s, d: (lambda f: regions.merge(_both(f), _merge_pairs(f)))(src.event_frames(s, d)))
 _on_frames("roi_frames", lambda f: _a(f).select("roi", "pixel").join(f.select("pixel", "frame", "v"), "pixel"), "SELECT pixel, roi, frame, v FROM ra JOIN frames USING (pixel)", REGION)
 _on_frames("roi_semi", lambda f: f.join(_a(f).where("roi % 2 = 0"), "pixel", "left_semi").select("pixel", "frame", "v"), "SELECT pixel, frame, v FROM frames SEMI JOIN (SELECT pixel FROM ra WHERE roi % 2 = 0) USING (pixel)", REGION)
 _on_frames("roi_anti", lambda f: f.join(_a(f).where("roi % 2 = 0"), "pixel", "left_anti").select("pixel", "frame", "v"), "SELECT pixel, frame, v FROM frames ANTI JOIN (SELECT pixel FROM ra WHERE roi % 2 = 0) USING (pixel)", REGION)
@@ -205,8 +204,6 @@ _on_frames("outline", lambda f: regions.outline(_a(f)).select("roi", "pixel"), f
 _on_frames("brush", lambda f: regions.brush(f.where("pixel % 37 = 0").select("row", "col").distinct(), 1, _size(f)[0], 15).select("pixel"), "SELECT DISTINCT (row + dr) * 15 + col + dc AS pixel FROM frames, size, (VALUES (-1),(0),(1)) a(dr), (VALUES (-1),(0),(1)) b(dc) WHERE pixel % 37 = 0 AND row + dr BETWEEN 0 AND nrows - 1 AND col + dc BETWEEN 0 AND 14")
 _on_frames("roi_patch", lambda f: _b(f).join(regions.shape(_b(f)).select("roi", "r0", "c0"), "roi").selectExpr("roi", "pixel", "row - r0 as r", "col - c0 as c"), "SELECT roi, pixel, row - min(row) OVER (PARTITION BY roi) AS r, col - min(col) OVER (PARTITION BY roi) AS c FROM rb", REGION)
 register("component", lambda s, d: (lambda f: regions.connected(f.where("v > 30").select("pixel", "row", "col").distinct()))(src.event_frames(s, d)), FRAMES.replace("WITH ", "WITH RECURSIVE ", 1) + f", ps AS (SELECT DISTINCT pixel, row, col FROM frames WHERE v > 30), ed AS (SELECT a.pixel AS a, b.pixel AS b FROM ps a, {EIGHT} s JOIN ps b ON b.row = a.row + s.di AND b.col = a.col + s.dj), reach(root, pixel) AS (SELECT pixel, pixel FROM ps UNION SELECT root, b FROM reach JOIN ed ON a = pixel) SELECT pixel, min(root) AS component FROM reach GROUP BY pixel")
-register("fill_holes", lambda s, d: (lambda f: regions.fill_holes(_a(f).where("(row % 5, col % 5) <> (2, 2)")))(src.event_frames(s, d)), FRAMES + REGION + " SELECT DISTINCT roi, row, col FROM (SELECT roi, row, col FROM ra) WHERE roi IN (SELECT roi FROM ra GROUP BY roi HAVING count(*) = 25) OR row % 5 <> 2 OR col % 5 <> 2")
-register("circularity", lambda s, d: regions.circularity(_b(src.event_frames(s, d))))
 _on_frames("roi_weights", lambda f: _a(f).join(stack.project(f, "max"), "pixel").selectExpr("roi", "pixel", "round((max - min(max) over (partition by roi)) / (max(max) over (partition by roi) - min(max) over (partition by roi)), 6) as w"), "SELECT roi, pixel, round((m - min(m) OVER w) / nullif(max(m) OVER w - min(m) OVER w, 0), 6) AS w FROM ra JOIN (SELECT pixel, max(v) AS m FROM frames GROUP BY pixel) USING (pixel) WINDOW w AS (PARTITION BY roi)", REGION)
 
 # Traces
@@ -217,7 +214,6 @@ _DFF = lambda t, k: f",\np AS (SELECT {k}, quantile_cont(v, 0.1) AS p FROM {t} G
 _on_frames("dff", lambda f: traces.relative_change(f, "pixel").select("pixel", "frame", R6("dff")), "SELECT pixel, frame, round(CASE WHEN b = 0 THEN v ELSE (v - b) / b END, 6) AS dff FROM frames JOIN bs USING (pixel)", _DFF("frames", "pixel"))
 _COR = ",\nco AS (SELECT roi, frame, tr.v - s.v AS v FROM tr JOIN (SELECT roi, frame, avg(v) AS v FROM ng JOIN frames USING (pixel) GROUP BY ALL) s USING (roi, frame))"
 _on_frames("dff_corrected", lambda f: traces.relative_change(traces.corrected(_trace(f), traces.mean_trace(regions.ring(_odd(f), _size(f)[0], 15, 2), f))).select("roi", "frame", F.round("dff", 5).alias("dff")), "SELECT roi, frame, round(CASE WHEN b = 0 THEN v ELSE (v - b) / b END, 5) AS dff FROM co JOIN bs USING (roi)", REGION, TRACE, _DIL, _RING, _COR, _DFF("co", "roi"))
-_on_frames("traces_all", lambda f: traces.all_kinds(_a(f), regions.ring(_odd(f), _size(f)[0], 15, 2), f).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("roi").alias("n_rois")), "SELECT kind, count(*) AS n, count(DISTINCT roi) AS n_rois FROM (SELECT 'mean' AS kind, roi FROM tr UNION ALL SELECT 'relative', roi FROM tr UNION ALL SELECT 'surround', roi FROM (SELECT DISTINCT roi, frame FROM ng JOIN frames USING (pixel)) UNION ALL SELECT 'corrected', roi FROM co UNION ALL SELECT 'relative corrected', roi FROM co) GROUP BY kind", REGION, TRACE, _DIL, _RING, _COR)
 _on_frames("trace_corr", lambda f: traces.correlation(_trace(f)).select("a", "b", R6("corr")), "SELECT x.roi AS a, y.roi AS b, round(corr(x.v, y.v), 6) AS corr FROM tr x JOIN tr y ON x.frame = y.frame AND x.roi < y.roi GROUP BY ALL", REGION, TRACE)
 _on_frames("trace_stats", lambda f: traces.statistics(_trace(f)).select("roi", R6("std"), R6("mean"), R6("max")), "SELECT roi, round(stddev_pop(v), 6) AS std, round(avg(v), 6) AS mean, round(max(v), 6) AS max FROM tr GROUP BY roi", REGION, TRACE)
 _on_frames("trace_norm", lambda f: traces.standardise(_trace(f)).select("roi", "frame", R6("y")), "SELECT roi, frame, round((v - avg(v) OVER w) / (5.0 * stddev_pop(v) OVER w) + roi, 6) AS y FROM tr WINDOW w AS (PARTITION BY roi)", REGION, TRACE)
@@ -248,7 +244,6 @@ _on_frames("eval_centers", lambda f: evaluate.centre_scores(regions.shape(_a(f))
 _on_frames("eval_f1", lambda f: evaluate.centre_scores(regions.shape(_a(f)), regions.shape(_b(f)), 2.0).select("f1"), f"SELECT CASE WHEN r + p = 0 THEN 0.0 ELSE round(2 * r * p / (r + p), 4) END AS f1 FROM ({_SC})", REGION, _CEN)
 _on_frames("eval_shapes", lambda f: evaluate.shape_scores(_match(f), _a(f), _b(f)).select(R6("inclusion"), R6("exclusion")), "SELECT round(avg(coalesce(shared, 0) / sa.n), 6) AS inclusion, round(avg(coalesce(shared, 0) / sb.n), 6) AS exclusion FROM mt LEFT JOIN ov USING (a, b) JOIN sa ON sa.roi = mt.a JOIN sb ON sb.roi = mt.b", REGION, _CEN, _OV)
 register("param_grid", lambda s, d: evaluate.parameter_grid(s, {"median": [False, True], "size": [3, 5, 7], "metric": ["l2", "cosine"]}), "SELECT row_number() OVER (ORDER BY m, s, k) - 1 AS config, m = 1 AS median, s AS size, CASE k WHEN 0 THEN 'l2' ELSE 'cosine' END AS metric FROM (VALUES (0),(1)) a(m), (VALUES (3),(5),(7)) b(s), (VALUES (0),(1)) c(k)")
-_on_frames("detect_freq", lambda f: _match(f).groupBy("a").agg(F.count("*").alias("n")).join(regions.shape(_a(f)).select(F.col("roi").alias("a")), "a", "right").select("a", F.coalesce("n", F.lit(0)).cast("double").alias("freq")), "SELECT ca.roi AS a, CAST(count(mt.a) AS DOUBLE) AS freq FROM ca LEFT JOIN mt ON mt.a = ca.roi GROUP BY ca.roi", REGION, _CEN)
 register("frames_months", lambda s, d: stack.project(src.part_frames(s, d), "mean").select("pixel", R6("mean")), "SELECT pixel, round(avg(v), 6) AS mean FROM (SELECT CAST(l_partkey % 400 AS BIGINT) AS pixel, (year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS frame, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL) GROUP BY pixel")
 
 # Kernels that SQL can't express
@@ -268,4 +263,3 @@ _on_frames("overlap_traces", lambda f: traces.overlap_traces(_a(f).where("roi =
 _on_frames("embed_image", lambda f: traces.embedding_image(f.withColumn("block", F.expr("frame div 10")).groupBy("pixel", "block").agg(F.collect_list("v").alias("x"))).select("pixel", F.round("norm", 5).alias("norm"), F.round("scaled", 5).alias("scaled")), "SELECT pixel, round(norm, 5) AS norm, round(greatest(0, least(1, (norm - a) / nullif(b - a, 0))), 5) AS scaled FROM nm, (SELECT quantile_cont(norm, 0.05) AS a, quantile_cont(norm, 0.95) AS b FROM nm)", ",\nnm AS (SELECT pixel, max(n) AS norm FROM (SELECT pixel, frame // 10 AS block, sqrt(sum(v * v)) AS n FROM frames GROUP BY ALL) GROUP BY pixel)")
 _on_frames("percentile_ladder", lambda f: traces.percentile_ladder(_trace(f), [0.1, 0.5, 0.9]).select("roi", F.col("share").cast("double").alias("share"), R6("v")), "SELECT roi, CAST(share AS DOUBLE) AS share, round(v, 6) AS v FROM (SELECT roi, 0.1 AS share, quantile_cont(v, 0.1) AS v FROM tr GROUP BY roi UNION ALL SELECT roi, 0.5, quantile_cont(v, 0.5) FROM tr GROUP BY roi UNION ALL SELECT roi, 0.9, quantile_cont(v, 0.9) FROM tr GROUP BY roi)", REGION, TRACE)
 register("footprint_corr", lambda s, d: (lambda f: regions.footprint_correlation(_both(f), f, traces.activity(traces.mean_trace(_both(f), f), 3, 0.3, 2, 4)))(src.event_frames(s, d)))
-_on_frames("run_table", lambda f: evaluate.parameter_grid(f.sparkSession, {"limit": [1.0, 2.0], "side": [5]}).join(_match(f).agg(F.count("*").alias("hits"))).select("config", "limit", "side", "hits"), "SELECT CAST(c AS BIGINT) AS config, CAST(c + 1 AS DOUBLE) AS limit, 5 AS side, (SELECT count(*) FROM mt) AS hits FROM (VALUES (0), (1)) g(c)", REGION, _CEN)

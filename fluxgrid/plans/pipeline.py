@@ -5,107 +5,261 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field, replace
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.operators import extract, filters, graph, regions, stack, traces
 
+# Sections, parameters and defaults of the published parameter document.
+GLOBAL = {"save_intermediate_steps": True, "load_into_mem": True} | {
+    f"need_recalc_{s}_params": True for s in ("dataset", "filter", "box", "eigen", "roi_extraction")
+}
+DATASET = {
+    "dataset_folder_path": "", "trials_loaded": [], "trials_all": [], "mask_path": "", "single_file_mode": False, "original_folder_trial_split": "",
+    "slice_stack": False, "slice_every": 3, "slice_start": 0, "crop_stack": False, "crop_x": [0, 0], "crop_y": [0, 0], "trial_split": False,
+    "trial_length": 400, "auto_crop": False,
+}
+FILTER = {
+    "median_filter": False, "median_filter_size": 3, "z_score": False, "hist_eq": False, "localSpatialDenoising": True, "pca": False, "pca_threshold": 0.97,
+}
+BOX = {"total_num_time_steps": 1, "total_num_spatial_boxes": 1, "spatial_overlap": 40}
+EIGEN = {
+    "eigen_vectors_already_generated": False, "num_eig": 50, "normalize_w_k": 32, "metric": "l2", "knn": 50, "accuracy": 75, "eigen_accuracy": 8,
+    "connections": 40,
+}
+ROI_EXTRACTION = {
+    "elbow_threshold_method": True, "elbow_threshold_value": 0.95, "eigen_threshold_method": True, "eigen_threshold_value": 0.9,
+    "num_eigen_vector_select": 1, "merge_temporal_coef": 0.99, "roi_size_min": 30, "roi_size_max": 2000, "merge": True, "num_rois": 60,
+    "fill_holes": True, "refinement": True, "max_iter": 100, "roi_circ_threshold": 0, "roi_eccentricity_limit": 0.9, "local_max_method": False,
+    "area_stop_threshold": 0.95,
+}
+TIME_TRACE = {"min_neuropil_pixels": 25}
+#: Parameters of older documents that have no effect any more.
+OLD = {"global": {"num_threads"}, "time_trace": {"time_trace_type", "denoise"}}
+#: Least and largest value of a parameter.
+RANGES = {
+    "median_filter_size": (1, 50), "slice_every": (1, 100), "crop_x": (0, 10_000), "crop_y": (0, 100_000), "trial_length": (25, 10_000),
+    "elbow_threshold_value": (0, 1.5), "eigen_threshold_value": (0, 1), "normalize_w_k": (0, 500),
+}
+#: Stages whose stored results a changed section makes stale.
+STALE = {
+    "dataset": ("dataset", "box", "eigen"), "filter": ("filter", "box", "eigen"), "box": ("box", "eigen", "roi_extraction"), "eigen": ("eigen",),
+    "roi_extraction": ("roi_extraction",),
+}
+SECTIONS = ("dataset", "filter", "box", "eigen", "roi_extraction", "time_trace")
+
+
+def as_bool(text: str | bool) -> bool:
+    """yes, true, t, y, 1 and no, false, f, n, 0 in either case."""
+    if isinstance(text, bool):
+        return text
+    word = text.strip().lower()
+    if word in ("yes", "true", "t", "y", "1"):
+        return True
+    if word in ("no", "false", "f", "n", "0"):
+        return False
+    raise ValueError(f"{text!r} is neither true nor false")
+
 
 @dataclass(frozen=True)
 class Config:
-    """Sections of a run; unknown keys are refused."""
+    """Sections of a run. Parameters of the published document that only steer another implementation (accuracy, connections, loading
+    into memory) are kept and change nothing here; unknown ones are refused."""
 
-    dataset: dict = field(default_factory=lambda: {"slice_stack": False, "slice_every": 3, "slice_start": 0, "crop_stack": False, "crop_x": [0, 0], "crop_y": [0, 0], "trial_split": False, "trial_length": 400})
-    filter: dict = field(default_factory=lambda: {"median_filter": False, "median_filter_size": 3, "z_score": False, "hist_eq": False, "localSpatialDenoising": True})
-    box: dict = field(default_factory=lambda: {"total_num_time_steps": 1, "total_num_spatial_boxes": 1, "spatial_overlap": 40})
-    eigen: dict = field(default_factory=lambda: {"num_eig": 50, "normalize_w_k": 25, "metric": "l2", "knn": 50})
-    roi_extraction: dict = field(default_factory=lambda: {"num_rois": 60, "max_iter": 100, "roi_size_min": 30, "roi_size_max": 2000, "merge": True, "merge_temporal_coef": 0.99, "fill_holes": True, "refinement": True, "eigen_threshold_value": 0.9, "elbow_threshold_value": 0.95, "num_eigen_vector_select": 1, "roi_eccentricity_limit": 0.9})
-    time_trace: dict = field(default_factory=lambda: {"min_neuropil_pixels": 25})
+    global_: dict = field(default_factory=lambda: dict(GLOBAL))
+    dataset: dict = field(default_factory=lambda: dict(DATASET))
+    filter: dict = field(default_factory=lambda: dict(FILTER))
+    box: dict = field(default_factory=lambda: dict(BOX))
+    eigen: dict = field(default_factory=lambda: dict(EIGEN))
+    roi_extraction: dict = field(default_factory=lambda: dict(ROI_EXTRACTION))
+    time_trace: dict = field(default_factory=lambda: dict(TIME_TRACE))
+    widefield: bool = False
 
     @classmethod
     def load(cls, text: str) -> Config:
-        """From a JSON document; a section or key that isn't known raises KeyError."""
+        """From a JSON document whose sections may end in _params; what it leaves out has its default. A section or parameter that isn't
+        known raises KeyError, a value out of range ValueError."""
         out = cls()
-        for section, values in json.loads(text).items():
-            have = getattr(out, section, None)
-            if have is None or set(values) - set(have):
-                raise KeyError(f"{section}: {sorted(set(values) - set(have or {}))}")
-            out = replace(out, **{section: have | values})
+        for name, values in json.loads(text).items():
+            section = name.removesuffix("_params")
+            for key, value in values.items():
+                if key not in OLD.get(section, ()):
+                    out = out.with_(section, key, value)
         return out
 
+    @classmethod
+    def for_widefield(cls) -> Config:
+        """The fixed run over one box of masked pixels, merging on any common pixel."""
+        return replace(cls(), box=BOX | {"spatial_overlap": 5}, roi_extraction=ROI_EXTRACTION | {"roi_size_max": 600}, widefield=True)
+
+    def with_(self, section: str, key: str, value) -> Config:
+        """This configuration with one value changed."""
+        name = "global_" if section == "global" else section
+        if section not in (*SECTIONS, "global") or key not in getattr(self, name):
+            raise KeyError(f"{section}: {key}")
+        if key in RANGES:
+            low, high = RANGES[key]
+            if any(not low <= v <= high for v in (value if isinstance(value, list) else [value])):
+                raise ValueError(f"{key} has to be between {low} and {high}, not {value}")
+        return replace(self, **{name: getattr(self, name) | {key: value}})
+
     def dump(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True)
+        """The document that load() reads."""
+        return json.dumps({f"{k.rstrip('_')}_params": v for k, v in asdict(self).items() if k != "widefield"}, sort_keys=True)
 
     def key(self, *sections: str) -> str:
         """Digest of some sections, for stored results that depend on them alone."""
         return hashlib.sha256(json.dumps({s: getattr(self, s) for s in sections}, sort_keys=True).encode()).hexdigest()[:16]
 
+    def stage_keys(self) -> dict[str, str]:
+        """For each stage the digest of what its stored result depends on."""
+        needs = {"filtered": ("dataset", "filter"), "spectra": ("dataset", "filter", "box", "eigen"), "regions": SECTIONS[:5], "traces": SECTIONS}
+        return {stage: self.key(*s) for stage, s in needs.items()}
+
+    def stale(self, other: Config) -> set[str]:
+        """Sections to compute again when this configuration becomes the other one."""
+        return {x for s in STALE if getattr(self, s) != getattr(other, s) for x in STALE[s]}
+
+
+def task_list(base: Config, values: dict[tuple[str, str], list]) -> list[tuple[int, Config]]:
+    """A numbered configuration for each combination of the values given by (section, parameter); the last one changes fastest."""
+    out = []
+    for k, combination in enumerate(product(*values.values())):
+        config = base
+        for (section, key), v in zip(values, combination):
+            config = config.with_(section, key, v)
+        out.append((k, config))
+    return out
+
+
+@dataclass(frozen=True)
+class Shape:
+    nrows: int
+    ncols: int
+    nframes: int
 
-def preprocess(dense: DataFrame, config: Config, nrows: int, ncols: int, nframes: int) -> DataFrame:
-    """Slice, crop and filter in the fixed order: denoise, z-score or equalisation, median."""
-    d, f = config.dataset, config.filter
+
+def load_stack(dense: DataFrame, config: Config, shape: Shape, mask: DataFrame | None = None) -> tuple[DataFrame, Shape]:
+    """Slices, crops, masks and splits; a crop is numbered anew from its corner, and mask(row, col) refers to the uncropped image."""
+    d = config.dataset
+    nrows, ncols, nframes = shape.nrows, shape.ncols, shape.nframes
+    if mask is not None:
+        dense = dense.join(F.broadcast(mask.select("row", "col").distinct()), ["row", "col"], "left_semi")  # an image of booleans
     if d["slice_stack"]:
         dense = stack.slice_frames(dense, d["slice_start"], d["slice_every"])
         nframes = -(-(nframes - d["slice_start"]) // d["slice_every"])
+    rows, cols = (0, nrows), (0, ncols)
     if d["crop_stack"]:
-        dense = stack.crop(dense, tuple(d["crop_x"]), tuple(d["crop_y"]))
-    place = dense.select("pixel", "row", "col").distinct()
+        rows, cols = (d["crop_x"][0], min(nrows, d["crop_x"][1])), (d["crop_y"][0], min(ncols, d["crop_y"][1]))
+    elif d["auto_crop"]:
+        rows, cols = stack.auto_crop_range(dense, "row", nrows), stack.auto_crop_range(dense, "col", ncols)
+    if rows[0] >= rows[1] or cols[0] >= cols[1]:
+        raise ValueError(f"the crop {rows}, {cols} is empty")
+    if (rows, cols) != ((0, nrows), (0, ncols)):
+        dense, nrows, ncols = stack.cropped(dense, rows, cols), rows[1] - rows[0], cols[1] - cols[0]
+    if d["trial_split"]:
+        if "trial" in dense.columns:
+            raise ValueError("a stack of trials isn't split once more")
+        dense = stack.split_trials(dense, d["trial_length"]).withColumnRenamed("block", "trial")
+    return dense, Shape(nrows, ncols, nframes)
+
+
+def preprocess(dense: DataFrame, config: Config, nrows: int, ncols: int, nframes: int, mask: DataFrame | None = None) -> tuple[DataFrame, Shape]:
+    """Slice, crop and filter each trial in the fixed order: denoise, z-score or equalisation, median. Also the shape of what is left."""
+    dense, shape = load_stack(dense, config, Shape(nrows, ncols, nframes), mask)
+    f = config.filter
+    keys = [*filters.trial_key(dense), "pixel", "row", "col", "frame"]
+    length = config.dataset["trial_length"] if config.dataset["trial_split"] else shape.nframes
+    dense = dense.select(*keys, "v")
     if f["localSpatialDenoising"]:
-        dense = filters.local_denoise(dense).withColumnRenamed("smooth", "v").join(place, "pixel")
+        dense = filters.local_denoise(dense, length).select(*keys, F.col("smooth").alias("v"))
     if f["hist_eq"]:
-        dense = filters.equalise(dense, 2.0, nrows, ncols).select("pixel", "row", "col", "frame", F.col("eq").alias("v"))
+        dense = filters.equalise(dense, 2.0, shape.nrows, shape.ncols).select(*keys, F.col("eq").alias("v"))
     elif f["z_score"]:
-        dense = filters.zscore(dense).select("pixel", "row", "col", "frame", F.col("z").alias("v"))
+        dense = filters.zscore(dense).select(*keys, F.col("z").alias("v"))
     if f["median_filter"]:
-        dense = filters.median3d(dense, nrows, ncols, nframes, f["median_filter_size"]).withColumnRenamed("med", "v").join(place, "pixel")
-    return dense
+        dense = filters.median3d(dense, shape.nrows, shape.ncols, length, f["median_filter_size"]).select(*keys, F.col("med").alias("v"))
+    return dense, shape
 
 
-def find_regions(dense: DataFrame, config: Config, nrows: int, ncols: int, nframes: int) -> DataFrame:
-    """(roi, pixel, row, col): graph, spectrum and clustering per tile, then merging across tiles by overlap and correlation."""
-    filtered = graph.cut_lineage(preprocess(dense, config, nrows, ncols, nframes))
+def spectra(filtered: DataFrame, config: Config, shape: Shape) -> DataFrame:
+    """(box, pixel, x): leading walk vectors of every tile and time block, blocks one behind the other."""
     per_side = int(config.box["total_num_spatial_boxes"] ** 0.5)
     if per_side**2 != config.box["total_num_spatial_boxes"]:
         raise ValueError("the number of spatial boxes has to be a square")
-    boxes = stack.tiles(nrows, ncols, per_side, config.box["spatial_overlap"] // 2 if per_side > 1 else 0)
-    tiled = stack.tile(filtered, boxes).select("box", "pixel", "frame", "v")
-    vectors = tiled.groupBy("box", "pixel").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda s: s["v"]).alias("x"))
+    overlap = config.box["spatial_overlap"] // 2 if per_side > 1 else 0
+    steps = config.box["total_num_time_steps"]
+    blocks = stack.time_boxes(filtered, steps).withColumnRenamed("box", "step") if steps > 1 else filtered.withColumn("step", F.lit(0).cast("long"))
+    vectors = stack.pixel_vectors(blocks, ("step", "pixel"))
+    if config.filter["pca"]:
+        if steps > 1:
+            raise ValueError("principal components are taken over one time block")
+        vectors = graph.principal_vectors(vectors)
+    else:
+        vectors = vectors.withColumnRenamed("vec", "x")
+    place = vectors.withColumns({"row": F.expr(f"pixel div {shape.ncols}"), "col": F.expr(f"pixel % {shape.ncols}")})
+    tiled = stack.tile(place, stack.tiles(shape.nrows, shape.ncols, per_side, overlap)).select("box", "step", "pixel", "x")
     e = config.eigen
+    found = graph.tile_spectra(tiled, ("box", "step"), e["num_eig"], e["knn"], e["normalize_w_k"], e["metric"])
+    return graph.stack_blocks(found, "step", ("box",)) if steps > 1 else found.select("box", "pixel", "x")
 
-    def local_graph(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("pixel")
-        x = np.stack(pdf.x.to_numpy())
-        n, k = len(x), min(e["knn"], len(x))
-        sq = (x * x).sum(1)
-        d = np.maximum(sq[:, None] + sq - 2 * x @ x.T, 0)
-        np.fill_diagonal(d, 0)
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, at, 1)
-        scale = near[:, min(e["normalize_w_k"], k) - 1] + 1e-9
-        w = np.exp(-near / np.sqrt(scale[:, None] * scale[at]))
-        w[at == np.arange(n)[:, None]] = 0
-        ids = pdf.pixel.to_numpy()
-        return pd.DataFrame({"box": pdf.box.iloc[0], "i": np.repeat(ids, k), "j": ids[at].ravel(), "w": w.ravel()})
-
-    edges = vectors.groupBy("box").applyInPandas(local_graph, "box long, i long, j long, w double")
-    both = edges.unionByName(edges.select("box", F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("box", "i", "j").agg((F.sum("w") / 2).alias("w"))
-    evec = graph.eigenvectors(both, e["num_eig"], ("box",)).selectExpr("box", f"i div {ncols} as row", f"i % {ncols} as col", "x")
+
+def settings(config: Config) -> extract.Settings:
     r = config.roi_extraction
-    s = extract.Settings(r["num_rois"], r["max_iter"], r["roi_size_min"], r["roi_size_max"], r["num_eigen_vector_select"], r["eigen_threshold_value"], r["elbow_threshold_value"], r["roi_eccentricity_limit"], r["fill_holes"], r["refinement"])
-    found = extract.spectral_regions(evec, s).selectExpr("box * 1000000 + roi as roi", f"row * {ncols} + col as pixel", "row", "col")
+    return extract.Settings(
+        r["num_rois"], r["max_iter"], r["roi_size_min"], r["roi_size_max"], r["num_eigen_vector_select"],
+        r["eigen_threshold_value"] if r["eigen_threshold_method"] else None, r["elbow_threshold_value"] if r["elbow_threshold_method"] else None,
+        r["roi_eccentricity_limit"], r["fill_holes"], r["refinement"], r["area_stop_threshold"], r["local_max_method"] or config.widefield,
+    )
+
+
+def find_regions(dense: DataFrame, config: Config, nrows: int, ncols: int, nframes: int, mask: DataFrame | None = None) -> DataFrame:
+    """(roi, pixel, row, col) in the loaded (cropped) image: spectrum and clustering per tile, merging across tiles by overlap and
+    correlation, filling, and the limit of circularity. Trials follow each other in time."""
+    filtered, shape = preprocess(dense, config, nrows, ncols, nframes, mask)
+    if "trial" in filtered.columns:
+        filtered = stack.join_trials(filtered)
+    filtered = graph.cut_lineage(filtered)
+    vectors = spectra(filtered, config, shape)
+    if config.widefield:
+        vectors = graph.cut_lineage(vectors)
+    evec = vectors.selectExpr("box", f"pixel div {shape.ncols} as row", f"pixel % {shape.ncols} as col", "x")
+    found = extract.spectral_regions(evec, settings(config)).selectExpr("box * 1000000 + roi as roi", f"row * {shape.ncols} + col as pixel", "row", "col")
     found = graph.cut_lineage(found)
-    if not r["merge"]:
-        return found
-    pairs = regions.merge_pairs(found, traces.mean_trace(found, dense), 0.1, r["merge_temporal_coef"])
-    return regions.merge(found, pairs)
+    r = config.roi_extraction
+    if r["merge"]:
+        loaded, _ = load_stack(dense, config, Shape(nrows, ncols, nframes), mask)
+        loaded = stack.join_trials(loaded) if "trial" in loaded.columns else loaded
+        pairs = regions.merge_pairs(found, traces.mean_trace(found, loaded), None if config.widefield else 0.1, r["merge_temporal_coef"])
+        found = regions.merge(found, pairs)
+        if r["fill_holes"]:
+            inside = filtered.select("pixel").distinct()
+            found = regions.fill_holes(found).selectExpr("roi", f"row * {shape.ncols} + col as pixel", "row", "col").join(inside, "pixel", "left_semi")
+    if config.widefield:
+        found = regions.resolve_in_spectrum(found, vectors.where("box = 0"))
+    if r["roi_circ_threshold"] > 0:
+        found = found.join(regions.circularity(found).where(F.col("circularity") >= r["roi_circ_threshold"]).select("roi"), "roi", "left_semi")
+    return found.select("roi", "pixel", "row", "col")
+
+
+def region_traces(found: DataFrame, frames: DataFrame, config: Config, shape: Shape) -> DataFrame:
+    """(roi, kind, frame, v): all kinds of traces, with surrounds of the size that the configuration asks for."""
+    around = regions.sized_ring(found, shape.nrows, shape.ncols, config.time_trace["min_neuropil_pixels"])
+    return traces.all_kinds(found, around, frames)
+
+
+def add_region(all_: DataFrame, pixels: DataFrame) -> DataFrame:
+    """One more region, numbered one above the largest (1 in an empty set)."""
+    number = all_.agg((F.coalesce(F.max("roi"), F.lit(0)) + 1).cast("long").alias("roi"))
+    return all_.unionByName(pixels.select("pixel", "row", "col").distinct().join(F.broadcast(number)).select("roi", "pixel", "row", "col"))
 
 
-def delete_region(all_: DataFrame, roi: int) -> DataFrame:
-    return all_.where(F.col("roi") != roi)
+def delete_region(all_: DataFrame, roi: int, *dependent: DataFrame) -> DataFrame | tuple[DataFrame, ...]:
+    """Without a region; traces and class links given behind it lose theirs as well."""
+    kept = tuple(df.where(F.col("roi") != roi) for df in (all_, *dependent))
+    return kept if dependent else kept[0]
 
 
 def add_pixels(all_: DataFrame, roi: int, pixels: DataFrame) -> DataFrame:
@@ -119,5 +273,7 @@ def subtract_pixels(all_: DataFrame, roi: int, pixels: DataFrame) -> DataFrame:
 
 
 def combine(all_: DataFrame, rois: list[int]) -> DataFrame:
-    """Chosen regions as one, under the smallest of their numbers."""
-    return all_.withColumn("roi", F.when(F.col("roi").isin(rois), F.lit(min(rois)).cast("long")).otherwise(F.col("roi"))).distinct()
+    """Chosen regions as one, under a new number, one above the largest."""
+    number = all_.agg((F.max("roi") + 1).cast("long").alias("number"))
+    one = F.when(F.col("roi").isin(rois), F.col("number")).otherwise(F.col("roi"))
+    return all_.join(F.broadcast(number)).withColumn("roi", one).select("roi", "pixel", "row", "col").distinct()

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxgrid.operators.filters import trial_key
+from fluxgrid.operators.stack import join_trials
+
 
 def read_pages(data: bytes) -> Iterator[np.ndarray]:
     """Pages of an uncompressed strip TIFF of 8, 16 or 32 bits."""
@@ -46,8 +49,12 @@ def write_pages(pages: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def tiff_frames(spark: SparkSession, path: str) -> DataFrame:
-    """frames(trial, frame, row, col, pixel, v) of a TIFF or a folder of them; a file is a trial and a task."""
+def tiff_frames(spark: SparkSession, path: str, one_stack: bool = False, offset: float | None = None, tolerance: float = 4000.0) -> DataFrame:
+    """frames(trial, frame, row, col, pixel, v) of a TIFF or a folder of them, a file being a task.
+
+    A file is a trial; with one_stack the files of a folder, in order of their names, are one stack in time, without a trial. If an
+    offset is given (2 ** 15, say) and the first frame's mean is within the tolerance of it, the offset is taken off, not below 0.
+    """
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -57,7 +64,21 @@ def tiff_frames(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"trial": name.rsplit("/", 1)[-1], "frame": k, "row": r, "col": c, "pixel": np.arange(page.size), "v": page.ravel().astype(float)})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(pages, "trial string, frame long, row long, col long, pixel long, v double")
+    frames = files.select("path", "content").mapInPandas(pages, "trial string, frame long, row long, col long, pixel long, v double")
+    if one_stack:
+        frames = join_trials(frames)
+    if offset is not None:
+        keys = trial_key(frames)
+        first = frames.where("frame = 0").groupBy(*keys).agg(F.avg("v").alias("m"))
+        near = F.expr(f"case when abs(m - {offset}) <= {tolerance} then greatest(v - {offset}, 0) else v end")
+        frames = (frames.join(F.broadcast(first), keys) if keys else frames.join(F.broadcast(first))).withColumn("v", near).drop("m")
+    return frames
+
+
+def sparse_regions(cells: DataFrame, ncols: int) -> DataFrame:
+    """Regions from the entries of a sparse pixel x region matrix, cells(row, col, v) numbered from 1; zeros are no entries."""
+    own = cells.where("v <> 0").selectExpr("cast(col - 1 as long) as roi", "cast(row - 1 as long) as pixel").distinct()
+    return own.selectExpr("roi", "pixel", f"pixel div {ncols} as row", f"pixel % {ncols} as col")
 
 
 def region_document(regions: DataFrame, row0: int = 0, col0: int = 0) -> DataFrame:
@@ -75,3 +96,21 @@ def read_regions(lines: DataFrame, ncols: int, row0: int = 0, col0: int = 0) ->
 def write_stack(frames: DataFrame, path: str) -> None:
     """A stack by trial, so that a read of some trials reads no others."""
     frames.repartition("trial").sortWithinPartitions("row", "col", "frame").write.partitionBy("trial").mode("overwrite").parquet(path)
+
+
+def export_regions(regions: DataFrame, roi_class: DataFrame, row0: int = 0, col0: int = 0) -> DataFrame:
+    """(class, roi, value): a JSON line for each region with its class, in order of class and number; those without a class come first."""
+    at = F.array((F.col("row") + row0).cast("long"), (F.col("col") + col0).cast("long"))
+    own = regions.groupBy("roi").agg(F.array_sort(F.collect_list(at)).alias("coordinates")).join(roi_class.select("roi", "class"), "roi", "left")
+    line = F.to_json(F.struct(F.col("roi").alias("id"), "coordinates", "class"))
+    return own.select("class", "roi", line.alias("value")).orderBy("class", "roi")
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder in order: of folders all, of files those with .tif in their name; of a file its own name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(at).isFile():
+        return [at.getName()]
+    found = [(f.getPath().getName(), f.isDirectory()) for f in files.listStatus(at)]
+    return sorted(name for name, folder in found if folder or ".tif" in name)
