@@ -222,7 +222,9 @@ def footprint_correlation(regions: DataFrame, frames: DataFrame, active: DataFra
     cells = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).select("roi", "area", "row", "col")
     image = own.join(cells, "roi").join(frames.select("row", "col", "frame", "v"), ["row", "col", "frame"]).groupBy("roi", "area", "row", "col").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
     mask = image.join(regions.select("roi", "row", "col", F.lit(1.0).alias("one")), ["roi", "row", "col"], "left")
-    out = mask.groupBy("roi", "area").agg(F.max("n").alias("n_frames"), F.corr("m", F.coalesce("one", F.lit(0.0))).alias("corr"))
+    one = F.coalesce("one", F.lit(0.0))
+    flat = (F.stddev_pop("m") == 0) | (F.stddev_pop(one) == 0)  # an image of one value correlates with nothing
+    out = mask.groupBy("roi", "area").agg(F.max("n").alias("n_frames"), F.when(~flat, F.try_divide(F.covar_pop("m", one), F.stddev_pop("m") * F.stddev_pop(one))).alias("corr"))
     return out.select("roi", "n_frames", F.expr("case when area < 3 then 0.0 else corr end").alias("corr"))
 
 

@@ -287,16 +287,16 @@ def _classes(f: DataFrame) -> DataFrame:
 _on_frames("class_assign", lambda f: _classes(f).where("roi <= 2 or class <> 4"), "SELECT roi, class FROM (SELECT * FROM rk WHERE roi NOT IN (1, 2) UNION ALL SELECT unnest([1, 2]), 4)", REGION, _CLASS)
 _on_frames("without_class", lambda f: session.without_class(_a(f), _classes(f)).select("roi", "pixel"), "SELECT roi, pixel FROM ra WHERE roi % 3 = 2 AND roi <> 2", REGION)
 _on_frames(
-    "export_regions", lambda f: formats.export_regions(_a(f), _classes(f), 5, 6).select("roi", "class", F.get_json_object("value", "$.coordinates[0][0]").cast("long").alias("first_row"), F.expr("json_array_length(get_json_object(value, '$.coordinates'))").alias("n")),
-    "SELECT ra.roi, CASE WHEN ra.roi IN (1, 2) THEN 4 WHEN ra.roi % 3 <> 2 THEN CAST(ra.roi % 3 AS INTEGER) END AS class, min(row) + 5 AS first_row, CAST(count(*) AS INTEGER) AS n FROM ra GROUP BY ra.roi", REGION,
+    "export_regions", lambda f: formats.export_regions(_a(f), _classes(f), 5, 6).select("roi", F.coalesce("class", F.lit(-1)).alias("class"), F.get_json_object("value", "$.coordinates[0][0]").cast("long").alias("first_row"), F.expr("json_array_length(get_json_object(value, '$.coordinates'))").alias("n")),
+    "SELECT ra.roi, CASE WHEN ra.roi IN (1, 2) THEN 4 WHEN ra.roi % 3 <> 2 THEN CAST(ra.roi % 3 AS INTEGER) ELSE -1 END AS class, min(row) + 5 AS first_row, CAST(count(*) AS INTEGER) AS n FROM ra GROUP BY ra.roi", REGION,
 )
 _on_frames(
-    "auto_class", lambda f: evaluate.auto_class(_a(f), _b(f).where("col < 12"), 2.0, 0.4),
+    "auto_class", lambda f: evaluate.auto_class(_a(f), _b(f).where("col < 12"), 2.0, 0.4).fillna(0, ["class"]),
     """SELECT 'found' AS source, f.roi, CASE WHEN m.b IS NULL THEN 3 WHEN shared / nf >= 0.4 AND shared / nt >= 0.4 THEN 1 ELSE 5 END AS class
 FROM (SELECT roi, count(*) AS nf, avg(row) AS r, avg(col) AS c FROM fo GROUP BY roi) f
 LEFT JOIN (SELECT a, b FROM (SELECT x.roi AS a, y.roi AS b, sqrt(pow(x.r - y.r, 2) + pow(x.c - y.c, 2)) AS d FROM (SELECT roi, avg(row) AS r, avg(col) AS c FROM fo GROUP BY roi) x, (SELECT roi, avg(row) AS r, avg(col) AS c FROM ra GROUP BY roi) y)
 WHERE d < 2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) = 1) m ON m.a = f.roi LEFT JOIN (SELECT roi, count(*) AS nt FROM ra GROUP BY roi) t ON t.roi = m.b
-LEFT JOIN (SELECT fo.roi AS a, ra.roi AS b, count(*) AS shared FROM fo JOIN ra USING (pixel) GROUP BY ALL) s ON s.a = m.a AND s.b = m.b UNION ALL SELECT DISTINCT 'true', roi, NULL FROM ra""",
+LEFT JOIN (SELECT fo.roi AS a, ra.roi AS b, count(*) AS shared FROM fo JOIN ra USING (pixel) GROUP BY ALL) s ON s.a = m.a AND s.b = m.b UNION ALL SELECT DISTINCT 'true', roi, 0 FROM ra""",
     REGION, ",\nfo AS (SELECT * FROM rb WHERE col < 12)",
 )
 _on_frames(
@@ -327,8 +327,8 @@ _on_frames("score_runs", lambda f: evaluate.score_runs(_a(f), _runs(f), 2.0).sel
 _on_frames(
     "run_table", lambda f: evaluate.run_table(
         evaluate.parameter_grid(f.sparkSession, {"limit": [1.0, 2.0], "side": [5, 7]}), evaluate.score_runs(_a(f), _runs(f), 2.0).select(F.col("run").cast("long").alias("config"), "hits", R6("recall"))
-    ),
-    "SELECT CAST(c AS BIGINT) AS config, CAST(c // 2 + 1 AS DOUBLE) AS limit, CAST(5 + 2 * (c % 2) AS INTEGER) AS side, hits, round(recall, 6) AS recall FROM (VALUES (0), (1), (2), (3)) g(c) LEFT JOIN sc ON sc.run = c",
+    ).fillna(-1, ["hits"]),
+    "SELECT CAST(c AS BIGINT) AS config, CAST(c // 2 + 1 AS DOUBLE) AS limit, CAST(5 + 2 * (c % 2) AS INTEGER) AS side, coalesce(hits, -1) AS hits, round(recall, 6) AS recall FROM (VALUES (0), (1), (2), (3)) g(c) LEFT JOIN sc ON sc.run = c",
     REGION, _RUNS,
 )
 _on_frames(
