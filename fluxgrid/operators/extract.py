@@ -31,19 +31,21 @@ class Settings:
 
 
 def label_component(rows: np.ndarray, cols: np.ndarray, start: int) -> np.ndarray:
-    """Indices of the 8-connected cells that hold the cell `start`."""
-    at = {(r, c): i for i, (r, c) in enumerate(zip(rows.tolist(), cols.tolist()))}
-    seen, queue = {start}, [start]
-    while queue:
-        i = queue.pop()
-        r, c = int(rows[i]), int(cols[i])
-        for dr in (-1, 0, 1):
-            for dc in (-1, 0, 1):
-                j = at.get((r + dr, c + dc))
-                if j is not None and j not in seen:
-                    seen.add(j)
-                    queue.append(j)
-    return np.array(sorted(seen))
+    """Indices of the 8-connected cells that hold the cell `start`; a wave of cells at a time."""
+    wide = int(cols.max() - cols.min()) + 3
+    at = (rows - rows.min() + 1) * wide + cols - cols.min() + 1
+    open_ = np.zeros((int(rows.max() - rows.min()) + 3) * wide, bool)
+    open_[at] = True
+    steps = np.array([-wide - 1, -wide, -wide + 1, -1, 1, wide - 1, wide, wide + 1])
+    wave = at[start : start + 1]
+    open_[wave] = False
+    seen = [wave]
+    while len(wave):
+        wave = (wave[:, None] + steps).ravel()
+        wave = np.unique(wave[open_[wave]])
+        open_[wave] = False
+        seen.append(wave)
+    return np.flatnonzero(np.isin(at, np.concatenate(seen)))
 
 
 def eccentricity(rows: np.ndarray, cols: np.ndarray) -> float:

@@ -109,7 +109,7 @@ class Sparse:
         return out
 
 
-def leading(a: Sparse, k: int, tolerance: float = 1e-5, rounds: int = 60, depth: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def leading(a: Sparse, k: int, tolerance: float = 1e-4, rounds: int = 60, depth: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """The k largest eigenvalues of a symmetric matrix and their vectors, by a restarted block Krylov space: a block and its products
     with the matrix span a space, whose best vectors begin the next one. Stops when no residual is above the tolerance."""
     if a.n <= max(DENSE_VERTICES, 4 * k):
