@@ -1,9 +1,12 @@
 """Secret scans by assignment-aware lexing.
 
-Three fixed patterns give the base spans. The lexer reads a text as source or configuration: it yields name-literal pairs
-(``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``name := literal``, ``<name>literal</name>``), follows names
-that were given a literal earlier in the text (``a = "xyz"; api_token = a``), and scores every literal by how sensitive its
-target name is and by how random the literal looks. Literals at or above ``MIN_SCORE`` add spans of kind ``pair``.
+Three fixed patterns give the base spans. The lexer reads a text as source or configuration: strings with escapes, triple and
+back quotes, unquoted values, comments (whose inside is read as statements of its own), calls and subscripts. It yields
+name-literal pairs (``name = "literal"``, ``name: type = "literal"``, ``"name": literal``, ``name := "a" + "b"``,
+``set_name("literal")``, ``env["name"] = "literal"``, ``<name>literal</name>``), follows names that are given to other names
+anywhere in the text (``api_token = a`` before or after ``a = "xyz"``), and scores every literal by how sensitive its target
+names are and by how random the literal looks. Literals at or above ``MIN_SCORE`` add spans of kind ``pair``; a concatenation is
+one literal from its first to its last string. Blocks of private keys are pairs whatever their name.
 
 Edge cases: null is an empty text and has no spans. Offsets are code points, ends exclusive. A pair span equal to or inside a
 base span isn't repeated. Repeated rows give repeated result rows.
@@ -31,17 +34,38 @@ STEMS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 KINDS = ("assign", "access", "hex", "pair")
 
 #: How sensitive a name is, by the words in it.
-NAME_WEIGHTS = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5, "credentials": 2.5, "private": 1.5, "access": 1.0, "auth": 1.5, "bearer": 2.0, "signature": 1.0, "salt": 1.0, "key": 1.0, "api": 1.0, "dsn": 1.0, "id": -1.0, "name": -1.5, "url": -1.5, "path": -1.5, "file": -1.5, "public": -2.0, "length": -3.0, "count": -3.0, "type": -2.0, "label": -2.0, "example": -2.0}
+NAME_WEIGHTS = {
+    "password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5,
+    "credentials": 2.5, "private": 1.5, "access": 1.0, "auth": 1.5, "bearer": 2.0, "signature": 1.0, "salt": 1.0, "key": 1.0, "api": 1.0,
+    "dsn": 1.0, "id": -1.0, "name": -1.5, "url": -1.5, "path": -1.5, "file": -1.5, "public": -2.0, "length": -3.0, "count": -3.0,
+    "type": -2.0, "label": -2.0, "example": -2.0,
+}
 MIN_SCORE = 4.0
 #: Literals shorter than this hold no secret.
 MIN_LITERAL = 8
 
-TOKEN = re.compile(r"""(?P<str>"[^"\n]{0,4096}"|'[^'\n]{0,4096}')|(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*)|(?P<op>:=|=>|==|!=|[=:])|(?P<num>[0-9][A-Za-z0-9+/_.=-]*)|(?P<nl>[\n;,{}()])""")
-MARK = re.compile(r"[=:]")
-#: Where the lexer looks for tokens around an assignment, at least; a name that begins before or a literal that ends behind is read whole.
+#: Strings may be of any length and hold escaped quotes; every branch is linear in what it reads.
+TOKEN = re.compile(
+    r"""(?P<comment>(?<!\S)\#|(?<![:\S])//|/\*|\*/)
+    |(?P<triple>\"\"\".*?\"\"\"|\'\'\'.*?\'\'\')
+    |(?P<str>"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\\n]*(?:\\.[^`\\\n]*)*`)
+    |(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*)
+    |(?P<op>:=|=>|==|!=|[=:])
+    |(?P<num>[0-9][A-Za-z0-9+/_.=-]*)
+    |(?P<plus>\+|\.\.)
+    |(?P<call>\()
+    |(?P<sub>\[)
+    |(?P<close>\])
+    |(?P<end>[\n;,{})])""",
+    re.VERBOSE | re.DOTALL,
+)
+#: An unquoted value.
+BARE = re.compile(r"[\x20\t]*([A-Za-z0-9+/_.=~$-]+)")
+#: Where statements begin that may hold a pair: at assignments, and at calls and subscripts with a string.
+MARK = re.compile(r"""[=:]|[A-Za-z0-9_$]\(\s*["'`]""")
+#: Characters before a mark and behind it that the lexer reads, at least; a name, a string or a concatenation is read whole.
 BACK, AHEAD = 128, 4200
-#: A quoted literal right behind an assignment, of any length.
-QUOTED = re.compile(r"""[\x20\t]*(?:"[^"\n]*"|'[^'\n]*')""")
+PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", re.DOTALL)
 #: ``<name>literal</name>``, and the tags of ``<x name="name" value="literal"/>`` and ``<x name="name">literal</x>``.
 ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
 TAG = re.compile(r"<[A-Za-z_][^<>]*>(?:([^<>]*)</)?")
@@ -67,8 +91,8 @@ def literal_score(literal: str) -> float:
     return min(bits / 2, 2.0) + 0.5 * (kinds - 1)
 
 
-def pairs(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, name, literal) of each literal given to a name, with constants propagated in order of the text."""
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Parts of a text around its marks, in order and apart."""
     spans: list[tuple[int, int]] = []
     for m in MARK.finditer(text):
         a, b = max(0, m.start() - BACK), min(len(text), m.end() + AHEAD)
@@ -81,40 +105,108 @@ def pairs(text: str) -> list[tuple[int, int, str, str]]:
             spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
             spans.append((a, b))
-    found, known, at_end = [], {}, 0
-    for a, b in spans:
-        name = op = None
-        at_end = max(a, at_end)
-        while at_end < b:
-            quoted = QUOTED.match(text, at_end) if op and name else None
-            m = quoted or TOKEN.search(text, at_end)
-            if not m or m.start() >= b:
-                break
-            at_end = m.end()
-            kind, s = m.lastgroup, m.group()
-            if quoted:
-                kind, s = "str", s.lstrip(" \t")
+    return spans
+
+
+class Reader:
+    """Reads statements of a text into literals given to names, and names given to names."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.given: list[tuple[int, int, str, str]] = []  # start, end, name, literal
+        self.alias: dict[str, set[str]] = {}  # names that are given the value of a name
+
+    def inner(self, m: re.Match) -> tuple[int, int, str]:
+        """Place and characters of a string without its quotes."""
+        k = 3 if m.lastgroup == "triple" else 1
+        return m.start() + k, m.end() - k, m.group()[k:-k]
+
+    def value(self, name: str, at: int) -> int:
+        """Reads what is given to a name from a place on, and returns the place behind it."""
+        m = TOKEN.match(self.text, self.blank(at))
+        if m and m.lastgroup in ("str", "triple"):
+            first, last, literal = self.inner(m)
+            at = m.end()
+            while (m := TOKEN.match(self.text, self.blank(at, joined=True))) and m.lastgroup in ("str", "triple", "plus"):
+                if m.lastgroup == "plus":
+                    follows = TOKEN.match(self.text, self.blank(m.end(), joined=True))
+                    if not follows or follows.lastgroup not in ("str", "triple"):
+                        break
+                    m = follows
+                elif "\n" in self.text[at : m.start()]:
+                    break
+                _, last, more = self.inner(m)
+                literal, at = literal + more, m.end()
+            self.given.append((first, last, name, literal.replace("\\", "")))
+            return at
+        if m and m.lastgroup in ("call", "sub", "end", "comment", "op"):
+            return at
+        if m := BARE.match(self.text, at):
+            literal = m[1].rstrip(".")
+            self.given.append((m.start(1), m.start(1) + len(literal), name, literal))
+            self.alias.setdefault(literal, set()).add(name)
+            return m.end()
+        return at
+
+    def blank(self, at: int, joined: bool = False) -> int:
+        """The next place that isn't white space; line ends count as such only within a concatenation."""
+        space = " \t\r\n\\" if joined else " \t"
+        while at < len(self.text) and self.text[at] in space:
+            at += 1
+        return at
+
+    def read(self, a: int, b: int) -> int:
+        """Reads from a to b, and beyond if a string begun before b ends there; returns the place behind."""
+        name = typed = called = None
+        at = a
+        while at < b and (m := TOKEN.search(self.text, at)) and m.start() < b:
+            kind, token, at = m.lastgroup, m.group(), m.end()
             if kind == "op":
-                op = s if name and s in ("=", ":", ":=", "=>") else None
-                continue
-            if kind == "nl":
-                name = op = None
-                continue
-            inner = (m.end() - len(s) + 1, m.end() - 1, s[1:-1]) if kind == "str" else (m.start(), m.end(), s)
-            if op and name:
-                if kind == "name" and s in known:
-                    at = known[s]
-                    found.append((at[0], at[1], name, at[2]))
-                    known[name] = at
+                target = name or (typed if token == "=" else None)
+                if target and token in ("=", ":", ":=", "=>"):
+                    at = self.value(target, at)
+                    typed = target if token == ":" else None
+                else:
+                    typed = None
+                name = called = None
+            elif kind == "name":
+                name, called, typed = token, None, None
+            elif kind in ("str", "triple"):
+                if called:
+                    at = self.value(called, m.start())
+                    name = called = None
                 else:
-                    literal = inner[2].rstrip(".") if kind != "str" else inner[2]
-                    at = (inner[0], inner[0] + len(literal), literal)
-                    found.append((at[0], at[1], name, literal))
-                    known[name] = at
-                name = op = None
+                    name, typed = self.inner(m)[2], None
+            elif kind == "call":
+                name, called, typed = None, name, None
+            elif kind == "sub":
+                called = typed = None
+            elif kind == "close":
+                called = None
             else:
-                name, op = inner[2] if kind in ("name", "str") else None, None
-    return found
+                name = called = typed = None
+        return at
+
+    def pairs(self) -> list[tuple[int, int, str, str]]:
+        """Each literal with every name that it reaches."""
+        out = []
+        for a, b, name, literal in self.given:
+            seen, todo = {name}, [name]
+            while todo:
+                for n in self.alias.get(todo.pop(), ()):
+                    if n not in seen:
+                        seen.add(n)
+                        todo.append(n)
+            out += [(a, b, n, literal) for n in sorted(seen)]
+        return out
+
+
+def pairs(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, name, literal) of each literal given to a name, directly or over other names before or behind."""
+    reader, at = Reader(text), 0
+    for a, b in stretches(text):
+        at = reader.read(max(a, at), b)
+    return reader.pairs()
 
 
 def tagged(text: str) -> list[tuple[int, int, str, str]]:
@@ -155,7 +247,9 @@ def scan(text: str, raw: bytes) -> tuple[list, list]:
     """Base spans and all spans, by start and then kind."""
     base = sorted(base_spans(text, raw))
     more = set()
-    if b"=" in raw or b":" in raw or b"</" in raw:
+    if b"PRIVATE KEY-----" in raw:
+        more |= {(m.start(), 3, m.end()) for m in PRIVATE.finditer(text)}
+    if any(c in raw for c in (b"=", b":", b"</", b"(")):
         for a, b, name, literal in pairs(text) + (tagged(text) if b"<" in raw else []):
             if name_score(name) + literal_score(literal) >= MIN_SCORE and name_score(name) > 0 and not any(x <= a and b <= y for x, _, y in base):
                 more.add((a, 3, b))

@@ -420,6 +420,35 @@ def test_op9_elements(spark):
     assert got[4] == "" and masked[4] == texts[4]
 
 
+def test_op9_lexer(spark):
+    """Each form gives its literal, whole; what looks like one of them but isn't is left alone."""
+    key = "Zx81kPq90LmN2"
+    forms = [
+        ('db_pwd = """' + key + '"""', [key]), ("db_pwd = '''\n" + key + "'''", ["\n" + key]), ('auth_key = "Zx81" + "kPq90LmN2"', ['Zx81" + "kPq90LmN2']),
+        ('auth_key = ("Zx81kPq9"\n  "0LmN2abc")', []), ('auth_key = "Zx81kPq9" +\n    "0LmN2abc"', ['Zx81kPq9" +\n    "0LmN2abc']),
+        (r'auth_key = "Zx81\"kPq90LmN2" + x', [r'Zx81\"kPq90LmN2']), (f'set_pwd("{key}")', [key]), (f"os.environ['DB_PWD'] = '{key}'", [key]),
+        (f"auth_key = cfg\nother = 1\ncfg = '{key}'", [key]), (f"cfg = '{key}'\nmid = cfg\nauth_key = mid", [key]), (f"auth_key: str = '{key}'", [key]),
+        (f"# auth_key = {key}\nx = 1", [key]), (f"auth_key = # {key}", []), (f'print("{key}")', []), (f"if auth_key == '{key}':", []), (f"auth_key = `{key}`", [key]),
+        (f"const auth_key = '{key}'; // '{key}'", [key]), ("auth_key = Zx81/kPq+90LmN2==", ["Zx81/kPq+90LmN2=="]),
+    ]
+    block = "-----BEGIN RSA PRIVATE KEY-----\nAbC\n-----END RSA PRIVATE KEY-----"
+    forms.append((f"x\n{block}\ny", [block]))
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs_of(spark, [t for t, _ in forms])).collect()}
+    for i, (text, want) in enumerate(forms):
+        found = [text[int(x.split(":")[1]) : int(x.split(":")[2])] for x in got[i].split(",") if x]
+        assert found == want, (text, found)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab_k=:\"'`#/*\\\n ()[]+{}", max_size=60))
+def test_op9_lexer_ends(text):
+    """Any text is read to its end, and every pair's literal lies where it says."""
+    for a, b, name, literal in secrets.pairs(text):
+        assert 0 <= a <= b <= len(text) and name
+        if "\\" not in text and '"' not in literal and b - a == len(literal):
+            assert text[a:b] == literal
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(-3, 3, allow_nan=False), max_size=25))
 def test_op10_best_segment(scores):
