@@ -26,12 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings that the operators rely on: small Arrow batches, and a checkpoint folder where none is set."""
+    """Session settings that the operators rely on: small Arrow batches, which hold from then on (a plan reads the setting when it
+    runs), and the checkpoint folder of spark.checkpoint.dir. Without that setting a temporary folder serves a single machine; a
+    cluster is refused, since its executors don't share one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

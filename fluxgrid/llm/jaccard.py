@@ -498,14 +498,16 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, block: int = BLOCK
     else:
         label = scratch.put(common.connected_components(vertices, links), "labels")
     classes = all_sets.join(label, F.col("sid") == F.col("v"), "left").select("doc_id", "sid", "n", F.coalesce("component", "sid").alias("class"))
-    lowest = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("lowest"))
+    # Written, so that the join with a class of a third of all rows can be split.
+    lowest = scratch.put(classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("lowest")), "lowest")
     joined = classes.join(lowest, "class", "left")
     own = ("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
     if not count:
         return joined.select(*own)
     # Links: all pairs of sets of one class, in pairs of blocks. Every set of a class of several was checked, so its members are at hand.
     times = all_sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.count("*").alias("times"))
-    sized = label.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("component")) / (2 * block)).cast("int")).withColumn("size", F.count("*").over(Window.partitionBy("component"))).where("size > 1")
+    sizes = scratch.put(label.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    sized = label.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / (2 * block)).cast("int"))
     members = held[0]
     for more in held[1:]:
         members = members.unionByName(more.join(members.select("sid"), "sid", "left_anti"))

@@ -9,6 +9,7 @@ a third of all documents isn't one task's.
 
 Edge cases: a null source is a source of its own, named ''. A null doc_id hashes as ''. Rows with equal doc_id are repeated
 equally often. A source without a target share, where shares are given, has mean 0 and no copies. An empty table stays empty.
+Columns of the input named copy_no, n_copies, rate or shuffle_key are replaced by the result's; all others are kept.
 """
 
 from __future__ import annotations
