@@ -63,7 +63,7 @@ def cut_points(b: bytes) -> list[int]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each different chunk of a text, with all its places, packed as start * 512 + length."""
+    """One row for each different chunk of a text, with all its places, packed as start * 512 + length; d1 and d2 are 96 bits of a digest."""
     for batch in batches:
         digests: list[bytes] = []
         places: list[list[int]] = []
@@ -79,7 +79,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(own))
         d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
         owner = pa.array(np.repeat(np.arange(batch.num_rows), n))
-        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), batch.column("doc_id").take(owner), batch.column("rid").take(owner), pa.array(places, pa.list_(pa.int64()))], ["d1", "d2", "doc_id", "rid", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array((d[:, 1] >> 32).astype(np.int32)), batch.column("doc_id").take(owner), batch.column("rid").take(owner), pa.array(places, pa.list_(pa.int64()))], ["d1", "d2", "doc_id", "rid", "spans"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def _runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.Record
 def repeated_passages(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, rid, start, end, n_chunks, n_copies, removed) of each repeated passage of docs(doc_id, text); offsets are bytes, rid is the text's hash."""
     scratch = common.Scratch(docs.sparkSession)
-    chunks = scratch.put(common.map_rows(docs.withColumn("rid", F.xxhash64("text")), _chunks, "d1 long, d2 long, doc_id long, rid long, spans array<long>"), "chunks")
+    chunks = scratch.put(common.map_rows(docs.withColumn("rid", F.xxhash64("text")), _chunks, "d1 long, d2 int, doc_id long, rid long, spans array<long>"), "chunks")
     often = chunks.groupBy("d1", "d2").agg(F.sum(F.size("spans")).alias("n"), F.min(F.struct("doc_id", F.col("spans")[0].alias("span"))).alias("first")).where("n >= 2")
     found = chunks.join(often, ["d1", "d2"]).select("doc_id", "rid", "spans", "n", F.when(F.col("doc_id").eqNullSafe(F.col("first.doc_id")), F.col("first.span")).alias("keep"))
     per_doc = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("spans", "n", "keep")).alias("found"))

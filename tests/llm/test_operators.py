@@ -312,6 +312,35 @@ def test_op6_chunks_cover_the_text(b):
     assert (ends[-1] if ends else 0) == len(b) and (sizes <= chunks.MAX_CHUNK).all() and (sizes[:-1] >= chunks.MIN_CHUNK).all()
 
 
+def test_op6_brute_force(spark):
+    """Runs of repeated chunks by dictionaries, over the operator's own cuts: places, copies, and which of them goes."""
+    shared, other = prose(70), prose(45)
+    texts = [prose(30) + shared + prose(20), shared + prose(40), prose(15) + other + shared, other + "\n" + other, prose(50), "", None, "x" * 400, prose(8) + "x" * 300]
+    texts += [texts[4]]
+    raw = [(t or "").encode() for t in texts]
+    places: dict[bytes, list] = {}
+    parts = []
+    for i, b in enumerate(raw):
+        ends = chunks.cut_points(b)
+        parts.append(list(zip([0, *ends[:-1]], ends)))
+        for a, e in parts[-1]:
+            places.setdefault(b[a:e], []).append((i, a))
+    want = set()
+    for i, b in enumerate(raw):
+        run: list[tuple] = []
+        for a, e in [*parts[i], (None, None)]:
+            if a is not None and len(places[b[a:e]]) > 1:
+                run.append((a, e, (i, a) != min(places[b[a:e]]), len(places[b[a:e]])))
+                continue
+            if run and run[-1][1] - run[0][0] >= chunks.MIN_RUN:
+                cut = [0, *(k for k in range(1, len(run)) if run[k][2] != run[k - 1][2]), len(run)]
+                for x, y in zip(cut, cut[1:]):
+                    want.add((i, run[x][0], run[y - 1][1], y - x, max(r[3] for r in run[x:y]), run[x][2]))
+            run = []
+    got = chunks.repeated_passages(common.texts(docs_of(spark, texts))).drop("rid").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_op6_forced_cuts_follow_the_content(monkeypatch):
     """Passages of two words without a hash cut; the same passage at other places still gives the same chunks."""
     own, shared, passages = np.random.default_rng(12), [], []
