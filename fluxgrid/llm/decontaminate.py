@@ -229,7 +229,7 @@ def _search(numbered: DataFrame, items: Items, space: tuple[np.ndarray, np.ndarr
         words, tells = [set(ws) for ws in items.words], [set(ws) for ws in telling]
         # A common subsequence has no more words than both have, repeats counted; that is cheap to see first.
         enough = [(MAYBE * len(ws) - (len(ws) - len(w)), INFORMATIVE * len(ts) - (len(ts) - len(t))) for ws, w, ts, t in zip(items.words, words, telling, tells)]
-        least = max(2, int(np.ceil(0.8 * INFORMATIVE * min(sum(column[w] >= 0 for w in ws) for _, _, ws in items.parts))))  # no leak has fewer informative words of some part, four in five of them in one passage
+        least = max(1, int(np.ceil(0.8 * INFORMATIVE * min(sum(column[w] >= 0 for w in ws) for _, _, ws in items.parts))))  # no leak has fewer informative words of some part, four in five of them in one passage
         for batch in batches:
             b = Batch(batch)
             out: dict[tuple[int, int], tuple] = {}

@@ -237,6 +237,37 @@ def test_op3_long_items(spark):
     assert set(got) == {(40, 0), (41, 1), (42, 2), (44, 3)} and got[40, 0] == got[41, 1] == 1.0
 
 
+def test_op3_verbatim_items_of_any_length(spark):
+    own = np.random.default_rng(11)
+    words = ["".join(own.choice(list("abcdefgh"), 7)) for _ in range(4000)]
+    filler = ["".join(own.choice(list("mnopqrst"), 6)) for _ in range(600)]
+    items = [" ".join(own.choice(words, n, replace=False)) for n in (1, 2, 5, 30, 120, 200, 300, 1000)]
+    fill = lambda n: " ".join(own.choice(filler, n))
+    texts = [fill(150) for _ in range(30)] + [f"{fill(40)} {x} {fill(55)}" for x in items]
+    bench = spark.createDataFrame([*enumerate(items), (99, None), (98, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(common.texts(docs_of(spark, texts)), bench).collect()}
+    assert got >= {(30 + k, k) for k in range(len(items))} and all(d >= 30 for d, _ in got)
+
+
+def test_op3_recall_against_brute_force(spark, sf_dir):
+    """Every pair of which seven in ten words of the item are in order in some stretch of the text, found by trying all stretches."""
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op3_decontaminate(spark, sf_dir).collect()}
+    items = [(r.item_id, decontaminate.split(r.text.encode())) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    number = {w: k for k, w in enumerate({w for _, ws in items for w in ws})}
+    want = set()
+    for r in common.table(spark, sf_dir, "documents").select("doc_id", "text").collect():
+        text = np.array([number.get(w, -1) for w in decontaminate.split((r.text or "").encode())], np.int64)
+        for item, ws in items:
+            ids = [number[w] for w in ws]
+            held = np.concatenate([[0], np.cumsum(np.isin(text, ids))])
+            for at in range(0, max(1, len(text)), 24):
+                lo, hi = max(0, at - 24), min(len(text), at + 96)
+                if held[hi] - held[lo] >= 0.7 * len(ids) and decontaminate.common_subsequence(ids, text[lo:hi]) >= 0.7 * len(ids):
+                    want.add((r.doc_id, item))
+                    break
+    assert len(want & got) >= 0.9 * len(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=20), st.lists(st.integers(-1, 4), max_size=30))
 def test_op3_common_subsequence(a, b):
