@@ -427,6 +427,45 @@ def test_op8_base_and_probability(spark, small):
     assert abs((10 ** tree.bits(context | np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-5
 
 
+def test_op8_context_tree_by_hand(spark):
+    """Every node a dictionary entry: block probabilities from the leaves up, then estimates mixed along each context."""
+    texts = ["the cat sat on the mat", "The cat  ate the rat", "é ü", "", "a cat sat", "on the rat a mat", None, "zebra the"]
+    rows = common.texts(docs_of(spark, texts)).withColumn("held_out", F.col("doc_id") >= 4)
+    got = {r.doc_id: r.score for r in lm.score(rows, lm.fit(rows.where("not held_out"))).collect()}
+
+    def steps(t):
+        raw = b"\x0b" * lm.DEPTH + b" ".join((t or "").encode().lower().split()) + b"\n"
+        for i in range(lm.DEPTH, len(raw)):
+            for j in range(8):
+                yield raw[i - lm.DEPTH : i][::-1], raw[i] >> (8 - j) if j else 0, j, raw[i] >> (7 - j) & 1
+
+    counts = {}
+    for t in texts[:4]:
+        for context, prefix, j, bit in steps(t):
+            for d in range(lm.DEPTH + 1):
+                counts.setdefault((context[:d], j, prefix), [0, 0])[bit] += 1
+    kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+    block, weight, below = {}, {}, Counter()
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        e = kt(counts[node])
+        whole = e if len(node[0]) == lm.DEPTH else math.log(0.5) + np.logaddexp(e, below[node])
+        block[node], weight[node] = whole, 1.0 if len(node[0]) == lm.DEPTH else math.exp(math.log(0.5) + e - whole)
+        if node[0]:
+            below[node[0][:-1], node[1], node[2]] += whole
+    for i, t in enumerate(texts):
+        want = 0.0
+        for context, prefix, j, bit in steps(t):
+            p = None
+            for d in range(lm.DEPTH, -1, -1):
+                if n := counts.get((context[:d], j, prefix)):
+                    one = (n[1] + 0.5) / (sum(n) + 1)
+                    w = weight[context[:d], j, prefix]
+                    p = one if p is None else w * one + (1 - w) * p
+            p = 0.5 if p is None else p
+            want += math.log10(p if bit else 1 - p)
+        assert got[i] == pytest.approx(want, rel=1e-5, abs=1e-5), t
+
+
 def test_op8_every_gram_counts(spark):
     """More distinct grams than any fixed number of kept ones: scores are those of the whole tree."""
     letters = np.random.default_rng(5).choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8), 900_000).tobytes().decode()
