@@ -76,3 +76,28 @@ def test_empty(spark, sf_dir):
     empty = common.table(spark, sf_dir, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and very long texts, repeated rows, and extra columns whose names the operators use themselves."""
+    import corpus_pipeline
+
+    words = "the quick brown fox jumps over a lazy dog while seven pale birds watch from some old wooden fence near our quiet river".split()
+    long = " ".join(words[(i * i + i // 7) % len(words)] + str(i) for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (None, None, "en", "a", 10), (3, long, "en", "a", 9), (3, long, "en", "a", 9), (4, "a", "de", "b", 1), (5, " \n\t ", None, "a", 5), (6, long + " end", "en", "b", 1), (7, "auth_key = 'Zx81kPq90LmN2'", None, None, 5)]
+    kind = "doc_id long, text string, lang string, source string, n_chars int, rate double, sid long, label string, token long"
+    odd = spark.createDataFrame([(*r, 0.5, 7, "x", 3) for r in rows], kind)
+    stages = dict(corpus_pipeline.STAGES)
+    got = {name: [tuple(r) for r in f(spark, odd, sf_dir).select("doc_id", "text").collect()] for name, f in stages.items() if name != "mix"}
+    for name, f in stages.items():
+        for docs in (odd, odd.limit(0)):
+            out = f(spark, docs, sf_dir)
+            assert set(odd.columns) <= set(out.columns) and (name == "mix" or out.columns == odd.columns)
+        assert out.count() == 0
+    assert not {1, 2, 4, 5} & {d for d, _ in got["quality"]}
+    assert sorted(d for d, t in got["near"] if t and len(t) > 1000) == [3] and {1, 2, 4, 5, 7} <= {d for d, _ in got["near"]}
+    assert sorted(got["leaks"], key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+    masked = dict(got["secrets"])
+    assert masked[7] == "auth_key = '[SECRET]'" and masked[1] is None and masked[2] == "" and len(got["secrets"]) == len(rows)
+    mixed = stages["mix"](spark, odd, sf_dir).toPandas()
+    assert (mixed.groupby(["doc_id", "text"], dropna=False).n_copies.first() >= 1).all() and mixed.shuffle_key.is_monotonic_increasing
