@@ -44,12 +44,12 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_id
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(path)
+        encoder = tokens.encoder(path)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), [x or "" for x in b.column("text").to_pylist()]
             rows: list[tuple] = []
-            for i, raw in zip(ids, encoder.encode(texts)):
-                raw += last
+            for i, text in zip(ids, texts):
+                raw = encoder.encode(text) + last
                 for k, (s, n) in enumerate(cuts(len(raw) // 4, size)):
                     cut = raw[4 * s : 4 * (s + n)]
                     rows.append((i, k, s, n, zlib.crc32(cut), cut)[: len(names)])

@@ -1,6 +1,6 @@
 """The document queries by name, with oracle text where SQL can express them."""
 
-from fluxgrid.llm import chunks, decontaminate, jaccard, langid, lm, mixing, overwrite, packing, quality, secrets, substrings, toxicity
+from fluxgrid.llm import align, chunks, decontaminate, jaccard, langid, lm, mixing, overwrite, packing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": substrings.op1_suffix_array_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_alignment": align.op11_token_alignment,
     "op12_late_overwrite": overwrite.op12_late_overwrite,
     "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
