@@ -5,7 +5,9 @@ A text is lower-cased, everything but letters becomes one space, and every byte
 counts as rejected, are calibrated on training chunks that were left out of the descent.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and rejected. Without training rows every text is
-``und``. Ties go to the language that sorts first. Repeated rows give repeated result rows.
+``und``. Ties go to the language that sorts first. Repeated rows give repeated result rows; rows with one doc_id and different
+languages are learned as they stand. Languages written without spaces are learned from pieces of ``PIECE`` characters. Columns
+other than doc_id, text and lang are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 #: Bounds on what the model is fitted to: labelled documents, and chunks of CHUNK words of their whole texts.
 MAX_DOCS, MAX_CHUNKS, CHUNK = 4_000, 16_000, 40
+#: Characters of a piece of a chunk that has few white spaces or none.
+PIECE = 8 * CHUNK
 BLOCK = 1 << 20
 #: Share of right predictions that those which aren't rejected reach on the chunks left out.
 PRECISION = 0.99
@@ -91,8 +95,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (text or "").split()
             for k in range(0, len(words), CHUNK):
                 part = " ".join(words[k : k + CHUNK])
-                if has_letter(part) and len(part) < 40 * CHUNK:
-                    rows.append((i, k, lang, part))
+                cuts = [0] if len(part) < 5 * PIECE else range(0, len(part), PIECE)
+                for s in cuts:
+                    piece = part if len(cuts) == 1 else part[s : s + PIECE]
+                    if has_letter(piece):
+                        rows.append((i, k + (s << 32), lang, piece))
         cols = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "at", "lang", "part"])
 
@@ -100,8 +107,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chunks: int = MAX_CHUNKS, dim: int = 16, epochs: int = 4, rate: float = 0.1, seed: int = 7) -> Model:
     """Learns from docs(doc_id, text, lang): chunks of at most `max_docs` whole texts, `max_chunks` of them, reach the driver."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null")
-    chosen = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    chunks = common.map_rows(common.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text"), _chunks, "doc_id long, at long, lang string, part string")
+    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    rows = common.texts(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null").join(F.broadcast(chosen), "doc_id")
+    chunks = common.map_rows(rows.select("doc_id", "lang", "text"), _chunks, "doc_id long, at long, lang string, part string")
     rows = chunks.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "part").limit(max_chunks).toArrow()
     return train(rows.column("part").to_pylist(), rows.column("lang").to_pylist(), dim, epochs, rate, seed)
 

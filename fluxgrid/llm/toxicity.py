@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from fluxgrid.llm import common
 
-#: Bounds on what the model is fitted to: labelled documents, and tokens that keep a score.
-MAX_TRAIN, MAX_TOKENS = 20_000, 50_000
+#: Bound on the labelled documents that the model is fitted to; every token of theirs that has a z-score of MIN_Z is kept.
+MAX_TRAIN = 20_000
 #: Prior weight as a share of all counted tokens, and the z-score a token needs.
 PRIOR, MIN_Z = 0.02, 2.5
 #: Expected number of chance segments below which a segment is significant.
@@ -112,7 +112,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.string()))], ["doc_id", "label", "k1", "k2", "tokens"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, where=None, max_train: int = MAX_TRAIN, max_tokens: int = MAX_TOKENS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, where=None, max_train: int = MAX_TRAIN) -> Model:
     """Learns from at most `max_train` labelled documents; near copies count once, so that their words aren't taken for toxic."""
     sample = common.label_sample(docs, labels, "toxic", max_train, where)
     keyed = common.map_rows(sample, _keyed, "doc_id long, label int, k1 long, k2 long, tokens array<string>")
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, max_train: int = MAX_TRA
         odds = lambda y, n: F.log((F.col(y) + a) / (n + prior - F.col(y) - a))
         delta = odds("t", n_t) - odds("c", n_c)
         z = delta / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
-        kept = counts.select("token", delta.alias("s"), z.alias("z")).where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "token").limit(max_tokens)
+        kept = counts.select("token", delta.alias("s"), z.alias("z")).where(F.abs("z") >= MIN_Z)
         model.score = {r.token.encode(): r.s for r in kept.collect()}
     measured = _measure(sample, model, ["label"]).select("label", "n_tokens", "best", "rest").toPandas()
     y, n, best, rest = (measured[c].to_numpy(float) for c in ("label", "n_tokens", "best", "rest"))
