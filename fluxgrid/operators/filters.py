@@ -174,7 +174,7 @@ def contrast(image: DataFrame, column: str, low: float = 0.01, high: float = 0.9
 def display_stretch(image: DataFrame, column: str, intensity: float = 7.0) -> DataFrame:
     """Background of a view: between the 2nd and 98th percentile, times intensity / 7 * 255; an image of one value divides by 1."""
     ends = image.agg(F.expr(f"percentile({column}, 0.02)").alias("a"), F.expr(f"percentile({column}, 0.98)").alias("b"))
-    shown = F.expr(f"{intensity} / 7 * ({column} - a) * 255 / (case when b = a then 1 else b - a end)")
+    shown = F.lit(intensity / 7) * (F.col(column) - F.col("a")) * 255 / F.expr("case when b = a then 1 else b - a end")
     return image.join(F.broadcast(ends)).withColumn("shown", shown).drop("a", "b")
 
 

@@ -11,6 +11,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Between all rows of x and of y: l2 (squared), ip (1 - dot) or cosine (1 - cosine), none below 0 but those of ip.
+
+    Squares of differences, summed in pieces of bounded size: a vector is at distance 0 from its copy, and equal pairs have equal
+    distances whatever the number of rows.
+    """
+    if metric == "l2":
+        out = np.empty((len(x), len(y)))
+        step = max(1, 4_000_000 // max(1, y.size))
+        for s in range(0, len(x), step):
+            diff = x[s : s + step, None, :] - y
+            out[s : s + step] = np.einsum("abk,abk->ab", diff, diff)
+        return out
+    if metric == "ip":
+        return 1 - x @ y.T
+    if metric == "cosine":
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
+        return np.maximum(1 - x @ y.T, 0)
+    raise ValueError(f"metric {metric} isn't known")
+
+
 def nearest(vectors: DataFrame, k: int, metric: str = "l2", queries: DataFrame | None = None, block: int = 1024) -> DataFrame:
     """(i, j, d, rank): the k nearest of all vectors for each query, itself included; ties by number.
 
@@ -29,12 +50,9 @@ def nearest(vectors: DataFrame, k: int, metric: str = "l2", queries: DataFrame |
         if own.empty or all_.empty:
             return pd.DataFrame({"i": [], "j": [], "d": []})
         x, y = np.stack(own.x.to_numpy()).astype(float), np.stack(all_.x.to_numpy()).astype(float)
-        if metric == "l2":
-            d = ((x[:, None, :] - y[None]) ** 2).sum(-1) if len(x) * len(y) * x.shape[1] < 4_000_000 else (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
-        elif metric == "ip":
-            d = 1 - x @ y.T
-        else:
-            d = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
+        d = distances(x, y, metric)
+        if metric != "ip":
+            d[own.i.to_numpy()[:, None] == all_.i.to_numpy()] = 0
         at = np.argsort(d, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"i": np.repeat(own.i.to_numpy(), at.shape[1]), "j": all_.i.to_numpy()[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
 
@@ -111,7 +129,8 @@ class Sparse:
 
 def leading(a: Sparse, k: int, tolerance: float = 1e-4, rounds: int = 60, depth: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """The k largest eigenvalues of a symmetric matrix and their vectors, by a restarted block Krylov space: a block and its products
-    with the matrix span a space, whose best vectors begin the next one. Stops when no residual is above the tolerance."""
+    with the matrix span a space, whose best vectors begin the next one. Stops when no residual is above the tolerance, and raises
+    RuntimeError if that takes more rounds than given. Up to DENSE_VERTICES the whole spectrum is solved, which is exact."""
     if a.n <= max(DENSE_VERTICES, 4 * k):
         values, v = np.linalg.eigh(a.dense())
         order = np.argsort(-values, kind="stable")[:k]
@@ -132,8 +151,8 @@ def leading(a: Sparse, k: int, tolerance: float = 1e-4, rounds: int = 60, depth:
         order = np.argsort(-values)[:width]
         x, ax = q @ s[:, order], aq @ s[:, order]
         if np.linalg.norm(ax[:, :k] - x[:, :k] * values[order][:k], axis=0).max() < tolerance:
-            break
-    return values[order][:k], x[:, :k]
+            return values[order][:k], x[:, :k]
+    raise RuntimeError(f"the leading {k} vectors didn't settle in {rounds} rounds")
 
 
 def walk_vectors(edges: Sparse, k: int) -> tuple[np.ndarray, np.ndarray]:

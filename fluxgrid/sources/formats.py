@@ -1,8 +1,8 @@
-"""Stacks and regions in files: uncompressed TIFF pages, region documents, parquet stacks."""
+"""Stacks and regions in files: TIFF pages, region documents, parquet stacks."""
 
 from __future__ import annotations
 
-import struct
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,59 +12,42 @@ from pyspark.sql import functions as F
 
 from fluxgrid.operators.filters import trial_key
 from fluxgrid.operators.stack import join_trials
+from fluxgrid.sources import tiff
+from fluxgrid.sources.files import store
+
+
+#: Frames of a written file.
+FRAMES = 256
 
 
 def read_pages(data: bytes) -> Iterator[np.ndarray]:
-    """Pages of an uncompressed strip TIFF of 8, 16 or 32 bits."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    while at:
-        n = struct.unpack_from(order + "H", data, at)[0]
-        tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            code, size = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}.get(kind, ("", 0))
-            if code:
-                where = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-                tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, where)
-        if tags.get(259, (1,))[0] != 1:
-            raise ValueError("only uncompressed TIFF is read")
-        kind = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-        raw = b"".join(data[o : o + c] for o, c in zip(tags[273], tags[279]))
-        yield np.frombuffer(raw, f"{order}{kind}{tags[258][0] // 8}").reshape(tags[257][0], tags[256][0])
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+    """Pages of a TIFF in memory."""
+    f = io.BytesIO(data)
+    for _, page in list(tiff.places(f)):
+        yield page.samples(f)
 
 
 def write_pages(pages: np.ndarray) -> bytes:
     """A TIFF with a strip a page; pages is (frame, row, col) of uint8, uint16 or float32."""
-    n, rows, cols = pages.shape
-    kind = 3 if pages.dtype.kind == "f" else 1
-    size = rows * cols * pages.dtype.itemsize
-    out, at = [b"II", struct.pack("<HI", 42, 8)], 8
-    for k in range(n):
-        tags = [(256, 4, cols), (257, 4, rows), (258, 3, 8 * pages.dtype.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, at + 2 + 12 * 9 + 4), (278, 4, rows), (279, 4, size), (339, 3, kind)]
-        following = at + 2 + 12 * 9 + 4 + size
-        out += [struct.pack("<H", 9), b"".join(struct.pack("<HHII", t, f, 1, v) for t, f, v in tags), struct.pack("<I", following if k + 1 < n else 0), pages[k].astype(pages.dtype.newbyteorder("<")).tobytes()]
-        at = following
-    return b"".join(out)
+    return tiff.write(pages)
 
 
 def tiff_frames(spark: SparkSession, path: str, one_stack: bool = False, offset: float | None = None, tolerance: float = 4000.0) -> DataFrame:
-    """frames(trial, frame, row, col, pixel, v) of a TIFF or a folder of them, a file being a task.
+    """frames(trial, frame, row, col, pixel, v) of a TIFF or a folder of them, a range of pages being a task.
 
     A file is a trial; with one_stack the files of a folder, in order of their names, are one stack in time, without a trial. If an
     offset is given (2 ** 15, say) and the first frame's mean is within the tolerance of it, the offset is taken off, not below 0.
     """
 
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch.path, batch.content):
-                for k, page in enumerate(read_pages(bytes(data))):
-                    r, c = np.divmod(np.arange(page.size), page.shape[1])
-                    yield pd.DataFrame({"trial": name.rsplit("/", 1)[-1], "frame": k, "row": r, "col": c, "pixel": np.arange(page.size), "v": page.ravel().astype(float)})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    frames = files.select("path", "content").mapInPandas(pages, "trial string, frame long, row long, col long, pixel long, v double")
+    try:
+        store(path)
+    except ValueError:  # only Spark reads this store, and gives whole files
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        frames = files.select("path", "content").mapInPandas(_whole_files, tiff.SCHEMA)
+    else:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.dataSource.register(tiff.TiffSource)
+        frames = spark.read.format("tiff_pages").load(path)
     if one_stack:
         frames = join_trials(frames)
     if offset is not None:
@@ -75,6 +58,14 @@ def tiff_frames(spark: SparkSession, path: str, one_stack: bool = False, offset:
     return frames
 
 
+def _whole_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for name, data in zip(batch.path, batch.content):
+            for k, page in enumerate(read_pages(bytes(data))):
+                r, c = np.divmod(np.arange(page.size), page.shape[1])
+                yield pd.DataFrame({"trial": name.rsplit("/", 1)[-1], "frame": k, "row": r, "col": c, "pixel": np.arange(page.size), "v": page.ravel().astype(float)})
+
+
 def sparse_regions(cells: DataFrame, ncols: int) -> DataFrame:
     """Regions from the entries of a sparse pixel x region matrix, cells(row, col, v) numbered from 1; zeros are no entries."""
     own = cells.where("v <> 0").selectExpr("cast(col - 1 as long) as roi", "cast(row - 1 as long) as pixel").distinct()
@@ -94,8 +85,9 @@ def read_regions(lines: DataFrame, ncols: int, row0: int = 0, col0: int = 0) ->
 
 
 def write_stack(frames: DataFrame, path: str) -> None:
-    """A stack by trial, so that a read of some trials reads no others."""
-    frames.repartition("trial").sortWithinPartitions("row", "col", "frame").write.partitionBy("trial").mode("overwrite").parquet(path)
+    """A stack by trial, so that a read of some trials reads no others; FRAMES frames of a trial are a file, written by one task."""
+    parts = frames.withColumn("__part", F.expr(f"frame div {FRAMES}")).repartition("trial", "__part")
+    parts.sortWithinPartitions("trial", "__part", "frame", "row", "col").drop("__part").write.partitionBy("trial").mode("overwrite").parquet(path)
 
 
 def export_regions(regions: DataFrame, roi_class: DataFrame, row0: int = 0, col0: int = 0) -> DataFrame:
