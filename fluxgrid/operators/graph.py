@@ -299,24 +299,63 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("v").distinct().join(roots, F.col("v") == F.col("a"), "left").select("v", F.coalesce("root", "v").alias("component"))
 
 
-def gram(matrix: DataFrame) -> np.ndarray:
-    """T x T Gram matrix of pixel vectors centred over time, summed over tasks; T is a stack's number of frames."""
+def centred_product(matrix: DataFrame, v: np.ndarray) -> np.ndarray:
+    """X' X v of the pixel vectors centred over time, X; tasks sum up their own pixels, and a few tasks their sums."""
+    n, width = v.shape
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = None
+        total = np.zeros((n, width))
         for b in batches:
-            x = np.array(b.column("vec").to_pylist(), float)
-            if len(x):
-                x = x - x.mean(1, keepdims=True)
-                g = x.T @ x if g is None else g + x.T @ x
-        if g is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(g)), len(g))), pa.array(np.tile(np.arange(len(g)), len(g))), pa.array(g.ravel())], ["a", "b", "g"])
+            x = np.array(b.column("vec").to_pylist(), float).reshape(-1, n)
+            x = x - x.mean(1, keepdims=True)
+            total += x.T @ (x @ v)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
 
-    rows = matrix.select("vec").mapInArrow(part, "a long, b long, g double").groupBy("a", "b").agg(F.sum("g").alias("g")).toPandas()
-    n = int(rows.a.max()) + 1 if len(rows) else 0
-    out = np.zeros((n, n))
-    out[rows.a, rows.b] = rows.g
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, width))
+        for b in batches:
+            for raw in b.column("s").to_pylist():
+                total += np.frombuffer(raw).reshape(n, width)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    sums = matrix.select("vec").mapInArrow(part, "s binary")
+    return sum((np.frombuffer(r.s).reshape(n, width) for r in sums.repartition(8).mapInArrow(add, "s binary").collect()), np.zeros((n, width)))
+
+
+def principal(matrix: DataFrame, most: int = 100, tolerance: float = 1e-9, rounds: int = 100, depth: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` largest singular values of the pixel vectors centred over time, and their directions in time.
+
+    A random block of directions and its products with X' X span a space, whose best directions begin the next one. The driver holds
+    frames x (most + 10) numbers a few times, and nothing of frames x frames. Raises RuntimeError without convergence.
+    """
+    first = matrix.select(F.size("vec").alias("n")).first()
+    n = first.n if first else 0
+    if not n:
+        return np.zeros(0), np.zeros((0, 0))
+    width = min(n, most + 10)
+    x = np.linalg.qr(np.random.default_rng(5).normal(size=(n, width)))[0]
+    ax = centred_product(matrix, x)
+    for _ in range(rounds):
+        q, aq = x, ax
+        for _ in range(depth if width < n else 0):
+            y = aq[:, -width:]
+            for _ in range(2):
+                y = y - q @ (q.T @ y)
+            y = np.linalg.qr(y)[0][:, : n - q.shape[1]]
+            if not y.shape[1]:
+                break
+            q, aq = np.concatenate([q, y], axis=1), np.concatenate([aq, centred_product(matrix, y)], axis=1)
+            width_now = y.shape[1]
+            if width_now < width:
+                break
+        h = q.T @ aq
+        values, s = np.linalg.eigh((h + h.T) / 2)
+        s, values = s[:, ::-1][:, :width], values[::-1][:width]
+        x, ax = q @ s, aq @ s
+        k = min(most, n)
+        if np.linalg.norm(ax[:, :k] - x[:, :k] * values[:k], axis=0).max() <= tolerance * max(values[0], 1e-300):
+            return np.sqrt(np.maximum(values[:k], 0)), x[:, :k]
+    raise RuntimeError(f"{most} principal components didn't settle in {rounds} rounds")
 
 
 def elbow_value(values: np.ndarray) -> float:
@@ -329,21 +368,18 @@ def elbow_value(values: np.ndarray) -> float:
 
 
 def principal_values(matrix: DataFrame, most: int = 100) -> DataFrame:
-    """(k, value, kept): singular values of the centred pixel x time matrix; those above the elbow of the first 100 are kept."""
-    s = np.sqrt(np.maximum(np.linalg.eigvalsh(gram(matrix))[::-1], 0))
-    limit = elbow_value(s[:most])
+    """(k, value, kept): the `most` largest singular values of the centred pixel x time matrix; those above their elbow are kept."""
+    s, _ = principal(matrix, most)
+    limit = elbow_value(s)
     return matrix.sparkSession.createDataFrame([(k, float(round(v, 6)), bool(v > limit)) for k, v in enumerate(s)], "k long, value double, kept boolean")
 
 
 def principal_vectors(matrix: DataFrame, most: int = 100) -> DataFrame:
-    """(keys of matrix, x): vec projected on the principal directions whose singular value is above the elbow of the first `most`.
-
-    The T x T Gram matrix goes to the driver (T is a stack's number of frames); at most `most` directions go to all workers.
-    """
-    values, v = np.linalg.eigh(gram(matrix))
-    s = np.sqrt(np.maximum(values[::-1], 0))
-    kept = np.flatnonzero(s[:most] > elbow_value(s[:most]))
-    v = np.ascontiguousarray(v[:, ::-1][:, kept if len(kept) else [0]])
+    """(keys of matrix, x): vec projected on the principal directions whose singular value is above the elbow of the first `most`; at most
+    `most` directions of a stack's number of frames go to all workers."""
+    s, v = principal(matrix, most)
+    kept = np.flatnonzero(s > elbow_value(s))
+    v = np.ascontiguousarray(v[:, kept if len(kept) else [0]]) if len(s) else np.zeros((0, 0))
     rest = [c for c in matrix.columns if c != "vec"]
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

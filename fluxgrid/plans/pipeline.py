@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxgrid.operators import extract, filters, graph, regions, stack, traces
+from fluxgrid.operators import edges, extract, filters, graph, neighbours, regions, spectrum, stack, traces
 
 # Sections, parameters and defaults of the published parameter document.
 GLOBAL = {"save_intermediate_steps": True, "load_into_mem": True} | {
@@ -65,8 +66,8 @@ def as_bool(text: str | bool) -> bool:
 
 @dataclass(frozen=True)
 class Config:
-    """Sections of a run. Parameters of the published document that only steer another implementation (accuracy, connections, loading
-    into memory) are kept and change nothing here; unknown ones are refused."""
+    """Sections of a run. accuracy and connections steer the neighbours of tiles of more than TILE_PIXELS pixels. Parameters of the
+    published document that only steer another implementation (loading into memory) are kept and change nothing; unknown ones are refused."""
 
     global_: dict = field(default_factory=lambda: dict(GLOBAL))
     dataset: dict = field(default_factory=lambda: dict(DATASET))
@@ -184,6 +185,24 @@ def preprocess(dense: DataFrame, config: Config, nrows: int, ncols: int, nframes
     return dense, shape
 
 
+#: Pixels of a tile up to which one task makes and solves its graph; larger tiles are solved by many tasks, one tile after the other.
+TILE_PIXELS = 1 << 16
+
+
+def large_spectra(tiled: DataFrame, eigen: dict) -> DataFrame:
+    """(box, step, pixel, x) of tiles that are too large for one task: neighbours by descent (with the parameters accuracy and
+    connections), affinities and leading vectors are all relations."""
+    tiled, out = graph.cut_lineage(tiled), None
+    for box, step in tiled.select("box", "step").distinct().orderBy("box", "step").collect():  # few: a tile has more than TILE_PIXELS pixels
+        own = tiled.where((F.col("box") == box) & (F.col("step") == step)).select(F.col("pixel").alias("i"), "x")
+        near = graph.cut_lineage(neighbours.descend(own, eigen["knn"], eigen["metric"], eigen["connections"], eigen["accuracy"]))
+        weights = graph.symmetric(graph.affinity(near, min(eigen["normalize_w_k"] + 1, eigen["knn"])))
+        found = graph.cut_lineage(spectrum.walk_vectors(graph.cut_lineage(weights.where("w > 0")), eigen["num_eig"], 1e-4))
+        part = found.select(F.lit(box).alias("box"), F.lit(step).alias("step"), F.col("i").alias("pixel"), "x")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def spectra(filtered: DataFrame, config: Config, shape: Shape) -> DataFrame:
     """(box, pixel, x): leading walk vectors of every tile and time block, blocks one behind the other."""
     per_side = int(config.box["total_num_spatial_boxes"] ** 0.5)
@@ -202,7 +221,10 @@ def spectra(filtered: DataFrame, config: Config, shape: Shape) -> DataFrame:
     place = vectors.withColumns({"row": F.expr(f"pixel div {shape.ncols}"), "col": F.expr(f"pixel % {shape.ncols}")})
     tiled = stack.tile(place, stack.tiles(shape.nrows, shape.ncols, per_side, overlap)).select("box", "step", "pixel", "x")
     e = config.eigen
-    found = graph.tile_spectra(tiled, ("box", "step"), e["num_eig"], e["knn"], e["normalize_w_k"], e["metric"])
+    if -(-shape.nrows // per_side) * -(-shape.ncols // per_side) > TILE_PIXELS:
+        found = large_spectra(tiled, e)
+    else:
+        found = graph.tile_spectra(tiled, ("box", "step"), e["num_eig"], e["knn"], e["normalize_w_k"], e["metric"])
     return graph.stack_blocks(found, "step", ("box",)) if steps > 1 else found.select("box", "pixel", "x")
 
 
@@ -215,22 +237,32 @@ def settings(config: Config) -> extract.Settings:
     )
 
 
-def find_regions(dense: DataFrame, config: Config, nrows: int, ncols: int, nframes: int, mask: DataFrame | None = None) -> DataFrame:
+def find_regions(dense: DataFrame, config: Config, nrows: int, ncols: int, nframes: int, mask: DataFrame | None = None, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> DataFrame:
     """(roi, pixel, row, col) in the loaded (cropped) image: spectrum and clustering per tile, merging across tiles by overlap and
-    correlation, filling, and the limit of circularity. Trials follow each other in time."""
-    filtered, shape = preprocess(dense, config, nrows, ncols, nframes, mask)
-    if "trial" in filtered.columns:
-        filtered = stack.join_trials(filtered)
-    filtered = graph.cut_lineage(filtered)
-    vectors = spectra(filtered, config, shape)
-    if config.widefield:
-        vectors = graph.cut_lineage(vectors)
+    correlation, filling, and the limit of circularity. Trials follow each other in time.
+
+    keep(stage, make) gives the stages filtered, spectra and regions: what make() makes, or what was stored of it.
+    """
+    keep = keep or (lambda stage, make: graph.cut_lineage(make()))
+    _, shape = load_stack(dense, config, Shape(nrows, ncols, nframes), mask)
+
+    def filter_() -> DataFrame:
+        filtered, _ = preprocess(dense, config, nrows, ncols, nframes, mask)
+        return stack.join_trials(filtered) if "trial" in filtered.columns else filtered
+
+    filtered = keep("filtered", filter_)
+    vectors = keep("spectra", lambda: spectra(filtered, config, shape))
+    return keep("regions", lambda: _clustered(dense, filtered, vectors, config, shape, Shape(nrows, ncols, nframes), mask))
+
+
+def _clustered(dense: DataFrame, filtered: DataFrame, vectors: DataFrame, config: Config, shape: Shape, whole: Shape, mask: DataFrame | None) -> DataFrame:
+    """The regions of spectra, merged and filled."""
     evec = vectors.selectExpr("box", f"pixel div {shape.ncols} as row", f"pixel % {shape.ncols} as col", "x")
     found = extract.spectral_regions(evec, settings(config)).selectExpr("box * 1000000 + roi as roi", f"row * {shape.ncols} + col as pixel", "row", "col")
     found = graph.cut_lineage(found)
     r = config.roi_extraction
     if r["merge"]:
-        loaded, _ = load_stack(dense, config, Shape(nrows, ncols, nframes), mask)
+        loaded, _ = load_stack(dense, config, whole, mask)
         loaded = stack.join_trials(loaded) if "trial" in loaded.columns else loaded
         pairs = regions.merge_pairs(found, traces.mean_trace(found, loaded), None if config.widefield else 0.1, r["merge_temporal_coef"])
         found = regions.merge(found, pairs)
@@ -240,7 +272,7 @@ def find_regions(dense: DataFrame, config: Config, nrows: int, ncols: int, nfram
     if config.widefield:
         found = regions.resolve_in_spectrum(found, vectors.where("box = 0"))
     if r["roi_circ_threshold"] > 0:
-        found = found.join(regions.circularity(found).where(F.col("circularity") >= r["roi_circ_threshold"]).select("roi"), "roi", "left_semi")
+        found = found.join(edges.circle_fit(found).where(F.col("circularity") >= r["roi_circ_threshold"]).select("roi"), "roi", "left_semi")
     return found.select("roi", "pixel", "row", "col")
 
 

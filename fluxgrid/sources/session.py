@@ -1,11 +1,14 @@
 """A run's stored results in one folder: configuration, filtered stack, spectra, regions, classes and traces, as Parquet and JSON.
 
-Every table is written whole beside the one before and then put in its place, so that a reader never sees half of it. Traces are
+A table is a folder of versions, of which readers take the last whole one, so that a reader never sees half of a table and a writer that
+breaks off loses nothing; the version before stays for those who still read it. Traces are
 partitioned by kind and spectra by box and time block, so that a look at some reads no others.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +34,15 @@ class Session:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def exists(self, name: str) -> bool:
+    def versions(self, name: str) -> list[int]:
+        """Numbers of the whole versions of a table; one is whole when its job has left its mark."""
         files, at = self._files(name)
-        return files.exists(at)
+        found = [x.getPath() for x in files.listStatus(at)] if files.exists(at) else []
+        numbers = [(int(p.getName()[1:]), p) for p in found if re.fullmatch(r"v\d+", p.getName())]
+        return sorted(n for n, p in numbers if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def exists(self, name: str) -> bool:
+        return bool(self.versions(name))
 
     def clear(self, name: str) -> bool:
         """Deletes a table; whether there was one."""
@@ -41,19 +50,23 @@ class Session:
         return files.delete(at, True)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Stores a table and returns it as it is read again."""
+        """Stores a table as a further version and returns it as it is read again; the one before the last goes."""
         parts = [c for c in PARTITIONS.get(name, ()) if c in df.columns]
-        self.clear(f"{name}.new")
-        df.write.partitionBy(*parts).parquet(self.path(f"{name}.new"))
-        self.clear(name)
-        files, at = self._files(f"{name}.new")
-        files.rename(at, self._files(name)[1])
+        there = self.versions(name)
+        number = there[-1] + 1 if there else 0
+        files, _ = self._files(name)
+        half = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/v{number}")
+        files.delete(half, True)  # left by a job that broke off
+        df.write.partitionBy(*parts).parquet(f"{self.path(name)}/v{number}")
+        for old in there[:-1]:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/v{old}"), True)
         return self.get(name)
 
     def get(self, name: str) -> DataFrame:
-        if not self.exists(name):
+        there = self.versions(name)
+        if not there:
             raise FileNotFoundError(self.path(name))
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.parquet(f"{self.path(name)}/v{there[-1]}")
 
     def put_config(self, config: Config) -> None:
         line = self.spark.createDataFrame([(config.dump(), config.widefield)], "document string, widefield boolean")
