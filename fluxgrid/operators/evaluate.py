@@ -48,6 +48,19 @@ def parameter_grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
     return grid
 
 
+def grid_by(rows: DataFrame, values: dict[str, list]) -> DataFrame:
+    """Every row with each combination of the values given for each parameter and the combination's number, `config`, from 0; for
+    parameters that are tried on each trial, or limits that follow from a trial's own samples. Nothing is joined."""
+    total = 1
+    for v in values.values():
+        total *= len(v)
+    grid, rest = rows.withColumn("config", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")))), total
+    for name, v in values.items():
+        rest //= len(v)
+        grid = grid.withColumn(name, F.element_at(F.array(*map(F.lit, v)), (F.expr(f"config div {rest} % {len(v)}") + 1).cast("int")))
+    return grid
+
+
 def run_table(configs: DataFrame, results: DataFrame) -> DataFrame:
     """Configurations with the results of their runs; a configuration that hasn't run keeps null results."""
     return configs.join(results, "config", "left")

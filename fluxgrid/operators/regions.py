@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from fluxgrid.operators.filters import EIGHT, FOUR, offsets
 from fluxgrid.operators.graph import components, cut_lineage  # noqa: F401
+from fluxgrid.operators.spectrum import Tables, numbered
 
 
 def seeds(norms: DataFrame) -> DataFrame:
-    """Cells by descending norm; ties by number."""
-    return norms.withColumn("seed", F.row_number().over(Window.orderBy(F.desc("norm2"), "i")).cast("long"))
+    """Cells by descending norm; ties by number. Ranks come from a sort by ranges, so that no task holds all cells."""
+    return numbered(norms, [F.desc("norm2"), F.col("i")], Tables(norms.sparkSession), "seeds").withColumn("seed", F.col("at") + 1).drop("at")
 
 
 def local_maxima(image: DataFrame, column: str) -> DataFrame:
@@ -39,11 +40,14 @@ def seed_distance(vectors: DataFrame, seed: int) -> DataFrame:
 def elbow(values: DataFrame, column: str, half: bool = False) -> DataFrame:
     """The value farthest from the line from the smallest to the largest; of the first half only if asked for.
 
-    Ranks come from counts of distinct values, so that a window holds those and not all rows.
+    Ranks come from counts of distinct values in ranges of values, so that no task holds all of them.
     """
     counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("v")
-    ranked = counts.withColumn("k", F.sum("c").over(w) - F.col("c"))
+    ranged = cut_lineage(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("part").agg(F.sum("c").alias("n")).select("part", before.alias("start"))  # a row for each partition
+    inside = F.sum("c").over(Window.partitionBy("part").orderBy("v")) - F.col("c")
+    ranked = ranged.withColumn("k", inside).join(F.broadcast(starts), "part").select("v", "c", (F.col("k") + F.col("start")).alias("k"))
     if half:
         ranked = ranked.join(F.broadcast(counts.agg((F.sum("c") / 2).cast("long").alias("n")))).where("k < n").withColumn("c", F.expr("least(c, n - k)")).drop("n")
     ends = ranked.agg(F.min("v").alias("v0"), F.max("v").alias("v1"), (F.sum("c") - 1).alias("l"))

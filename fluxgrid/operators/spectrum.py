@@ -89,13 +89,13 @@ class Graph:
         self.tiles = self.tables.put(e.groupBy("dst", "src").applyInArrow(lambda t: _tile(t, block), kind), "tiles")
         self.blocks = edges.sparkSession.range(-(-self.n // block)).withColumnRenamed("id", "b")
 
-    def step(self, state: DataFrame, change: Callable[[int, np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
-        """state(b, q, y) after the space was changed to change(b, q, y), whose last `width` columns were multiplied into the new y."""
+    def step(self, state: DataFrame, change: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> DataFrame:
+        """state(b, q, y) after the space was changed to change(q, y), whose last `width` columns were multiplied into the new y."""
         rows, send_kind = self.rows, "dst long, src long, x binary"
 
         def send(key: tuple, tiles: pa.Table, own: pa.Table) -> pa.Table:
             b = key[0].as_py()
-            q = change(b, _matrix(own.column("q")[0].as_py(), rows(b)), _matrix(own.column("y")[0].as_py(), rows(b)))
+            q = change(_matrix(own.column("q")[0].as_py(), rows(b)), _matrix(own.column("y")[0].as_py(), rows(b)))
             last = q[:, q.shape[1] - width :]
             needs = [np.frombuffer(x, np.int32) for x in tiles.column("need").to_pylist()]
             raw = [np.ascontiguousarray(q).tobytes(), *(np.ascontiguousarray(last[x]).tobytes() for x in needs)]
@@ -112,34 +112,25 @@ class Graph:
         sent = self.tiles.select("src", "dst", "need").groupBy("src").cogroup(state.withColumnRenamed("b", "src").groupBy("src")).applyInArrow(send, send_kind)
         return self.tiles.groupBy("dst").cogroup(sent.groupBy("dst")).applyInArrow(gather, "b long, q binary, y binary")
 
-    def gram(self, state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Products of the space, and of the new block, with the new block; a task sums up its own blocks."""
+    def gram(self, state: DataFrame, change: Callable[[np.ndarray, np.ndarray], np.ndarray] = lambda q, y: y) -> tuple[np.ndarray, np.ndarray]:
+        """Products of the space, and of the new block changed to change(q, y), with that block; a task sums up its own blocks."""
         rows = self.rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
                 for b, q, y in zip(*(batch.column(c).to_pylist() for c in ("b", "q", "y"))):
-                    q, y = _matrix(q, rows(b)), _matrix(y, rows(b))
+                    q = _matrix(q, rows(b))
+                    y = change(q, _matrix(y, rows(b)))
                     part = np.concatenate([q, y], axis=1).T @ y
                     total = part if total is None else total + part
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([total.shape[1]], pa.int64())], names=["g", "width"])
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([total.shape[0]], pa.int64()), pa.array([total.shape[1]], pa.int64())], names=["g", "height", "width"])
 
-        found = [np.frombuffer(r.g, np.float64).reshape(-1, r.width) for r in state.mapInArrow(run, "g binary, width long").collect()]
+        found = [np.frombuffer(r.g, np.float64).reshape(r.height, r.width) for r in state.mapInArrow(run, "g binary, height long, width long").collect()]
         total = sum(found)
-        return total[: -total.shape[1]], total[-total.shape[1] :]
-
-    def mapped(self, state: DataFrame, change: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-        """state with the new block changed to change(q, y)."""
-        rows = self.rows
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                new = [np.ascontiguousarray(change(_matrix(q, rows(b)), _matrix(y, rows(b)))).tobytes() for b, q, y in zip(*(batch.column(c).to_pylist() for c in ("b", "q", "y")))]
-                yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("q"), pa.array(new, pa.binary())], names=["b", "q", "y"])
-
-        return state.mapInArrow(run, "b long, q binary, y binary")
+        width = total.shape[1]
+        return total[: len(total) - width], total[len(total) - width :]
 
     def random(self, state: DataFrame, seed: int, width: int) -> DataFrame:
         """state(b[, q]) with a random new block."""
@@ -170,7 +161,7 @@ def leading(graph: Graph, k: int, tolerance: float = 1e-6, max_steps: int = 400,
     values that are met several times (a graph of several components has 1 that often). Raises RuntimeError after max_steps products.
     """
     k, tables = min(k, graph.n), graph.tables
-    most = max(most or 3 * k, k + 3 * width)
+    most = max(most or k + 10 * width, k + 3 * width)
     width = min(width, graph.n)
     h, m, confirmed, dropped = np.zeros((0, 0)), 0, None, []
 
@@ -182,51 +173,47 @@ def leading(graph: Graph, k: int, tolerance: float = 1e-6, max_steps: int = 400,
         del dropped[:-2]
         return out
 
-    def orthogonal(state: DataFrame, name: str):
-        """state with y orthonormal and orthogonal to q, but for a last correction (c, t); and r, the old y in terms of the new."""
+    def orthogonal(state: DataFrame):
+        """What makes y orthonormal and orthogonal to q, in two corrections, its width then, and r, the old y in terms of the new."""
         c, s = graph.gram(state)
-        scale = float(np.sqrt(max(np.trace(s), 1e-300)))
-        t, r = _whiten(s - c.T @ c, scale)
-        state = settle(graph.mapped(state, lambda q, y, c=c, t=t: (y - q @ c) @ t), name)
-        c2, s2 = graph.gram(state)
+        t, r = _whiten(s - c.T @ c, float(np.sqrt(max(np.trace(s), 1e-300))))
+        c2, s2 = graph.gram(state, lambda q, y: (y - q @ c) @ t)
         t2, r2 = _whiten(s2 - c2.T @ c2, 1e-3) if len(s2) else (s2, s2)
-        return state, c, (c2, t2), r2 @ r
+        return c, (lambda q, y: ((y - q @ c) @ t - q @ c2) @ t2), t2.shape[1], r2 @ r
 
-    state, _, fix, _ = orthogonal(graph.random(graph.blocks, seed, width), "start")
+    state = settle(graph.random(graph.blocks, seed, width), "start")
+    _, fix, new, _ = orthogonal(state)
     keep = np.zeros((0, 0))
     for step in range(max_steps):
-        new = fix[1].shape[1]
-
-        def change(b: int, q: np.ndarray, y: np.ndarray, keep=keep, fix=fix) -> np.ndarray:
-            y = (y - q @ fix[0]) @ fix[1]
-            return np.concatenate([q @ keep, y], axis=1)
-
         if new:
-            state = settle(graph.step(state, change, new), f"product{step}")
-            state, c, fix, r = orthogonal(state, f"block{step}")
+            state = settle(graph.step(state, lambda q, y, keep=keep, fix=fix: np.concatenate([q @ keep, fix(q, y)], axis=1), new), f"product{step}")
+            added = new
+            c, fix, new, r = orthogonal(state)
             m = len(c)
             grown = np.zeros((m, m))
             grown[: len(h), : len(h)] = h
-            grown[:, m - new :], grown[m - new :, :] = c, c.T
+            grown[:, m - added :], grown[m - added :, :] = c, c.T
             h = (grown + grown.T) / 2
-        else:
-            r = np.zeros((0, h.shape[1]))
         values, s = np.linalg.eigh(h)
         values, s = values[::-1], s[:, ::-1]
         keep = np.eye(m)
-        if m >= k:
-            left = np.linalg.norm(r @ s[m - r.shape[1] :, :k], axis=0) if new and len(r) else np.zeros(k)
+        full = not new or m + width > most  # a random block has to have grown before it can show that nothing is left
+        if m >= k and (confirmed is None or full):
+            left = np.linalg.norm(r @ s[m - r.shape[1] :, :k], axis=0) if new else np.zeros(k)
             if left.max() < tolerance:
                 if m >= graph.n or (confirmed is not None and np.abs(confirmed - values[:k]).max() < 10 * tolerance):
                     return values[:k], state, s[:, :k]
-                confirmed, h, m = values[:k].copy(), np.diag(values[:k]), k
-                keep = s[:, :k]
                 # the best vectors stay, and a random block takes the place of the next one
-                state = settle(graph.random(_kept(graph, state, keep), seed + step + 1, width), f"again{step}")
-                state, _, fix, _ = orthogonal(state, f"random{step}")
+                confirmed, h, m = values[:k].copy(), np.diag(values[:k]), k
+                state = settle(graph.random(_kept(graph, state, s[:, :k]), seed + step + 1, width), f"again{step}")
+                _, fix, new, _ = orthogonal(state)
                 keep = np.eye(k)
                 continue
-        if m + width > most:
+        if not new:  # the space is closed but too small: a random block opens it
+            state = settle(graph.random(_kept(graph, state, s), seed + step + 1, width), f"more{step}")
+            h = np.diag(values)
+            _, fix, new, _ = orthogonal(state)
+        elif m + width > most:
             best = min(k + width, m)
             keep, h = s[:, :best], np.diag(values[:best])
     raise RuntimeError(f"the leading {k} vectors didn't settle in {max_steps} products")

@@ -95,10 +95,11 @@ def tiles(nrows: int, ncols: int, per_side: int, overlap: int) -> list[tuple[int
     return out
 
 
-def tile(pixels: DataFrame, boxes: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """Pixels with each box that holds them; the boxes are a constant of the plan."""
+def tile(pixels: DataFrame, boxes: list[tuple[int, int, int, int, int]], closed: bool = False) -> DataFrame:
+    """Pixels with each box that holds them; the boxes are a constant of the plan. Ends are outside of a box, or inside if closed."""
     rows = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(("box", "r0", "r1", "c0", "c1"), b))) for b in boxes))
-    held = F.filter(rows, lambda b: (F.col("row") >= b["r0"]) & (F.col("row") < b["r1"]) & (F.col("col") >= b["c0"]) & (F.col("col") < b["c1"]))
+    more = int(closed)
+    held = F.filter(rows, lambda b: (F.col("row") >= b["r0"]) & (F.col("row") < b["r1"] + more) & (F.col("col") >= b["c0"]) & (F.col("col") < b["c1"] + more))
     return pixels.withColumn("b", F.explode(held)).select("*", "b.*").drop("b")
 
 

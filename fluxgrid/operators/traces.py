@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,10 +85,38 @@ def standardise(traces: DataFrame, gap: float = 5.0) -> DataFrame:
     return traces.withColumn("y", (F.col("v") - F.avg("v").over(w)) / (gap * F.stddev_pop("v").over(w)) + F.col("roi"))
 
 
-def correlation(traces: DataFrame) -> DataFrame:
-    """Pearson correlation of each two traces, a < b."""
-    x, y = traces.select(F.col("roi").alias("a"), "frame", F.col("v").alias("x")), traces.select(F.col("roi").alias("b"), "frame", F.col("v").alias("y"))
-    return x.join(y, "frame").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
+def correlation(traces: DataFrame, block: int = 512) -> DataFrame:
+    """Pearson correlation of each two traces over the frames that both have, a < b; null if one is constant there.
+
+    Blocks of traces meet blocks of traces as matrices of (trace, frame), so that a task holds two blocks and no pair of rows is joined.
+    """
+    n = max(1, -(-traces.select("roi").distinct().count() // block))
+    rows = traces.groupBy("roi").agg(F.collect_list("frame").alias("frames"), F.collect_list("v").alias("vs")).withColumn("own", F.pmod(F.xxhash64("roi"), F.lit(n)).cast("int"))
+    # block pairs p <= q; a row goes to those of its own block
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.withColumn("o", other).select("roi", "frames", "vs", "own", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frames = np.unique(np.concatenate(pdf.frames.to_numpy()))
+        x, there = np.zeros((len(pdf), len(frames))), np.zeros((len(pdf), len(frames)))
+        for k, (f, v) in enumerate(zip(pdf.frames, pdf.vs)):
+            at = np.searchsorted(frames, f)
+            x[k, at], there[k, at] = v, 1
+        x = x - (x.sum(1, keepdims=True) / there.sum(1, keepdims=True)) * there  # a shift changes no correlation
+        left, right = (pdf.own == pdf.p.iloc[0]).to_numpy(), (pdf.own == pdf.q.iloc[0]).to_numpy()
+        a, b, ma, mb = x[left], x[right], there[left], there[right]
+        m = ma @ mb.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = a @ b.T - (a @ mb.T) * (ma @ b.T) / m
+            va, vb = (a * a) @ mb.T - (a @ mb.T) ** 2 / m, ma @ (b * b).T - (ma @ b.T) ** 2 / m
+            corr = cov / np.sqrt(va * vb)
+        corr[(va <= 1e-12 * np.maximum((a * a) @ mb.T, 1e-300)) | (vb <= 1e-12 * np.maximum(ma @ (b * b).T, 1e-300))] = np.nan
+        ra, rb = pdf.roi.to_numpy()[left], pdf.roi.to_numpy()[right]
+        i, j = np.nonzero((m > 0) & ((ra[:, None] < rb) if pdf.p.iloc[0] == pdf.q.iloc[0] else np.ones(m.shape, bool)))
+        return pd.DataFrame({"a": np.minimum(ra[i], rb[j]), "b": np.maximum(ra[i], rb[j]), "corr": corr[i, j]})
+
+    out = dealt.groupBy("p", "q").applyInPandas(run, "a long, b long, corr double")
+    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def noise(traces: DataFrame, width: int = 25, step: int = 10, share: float = 0.25) -> DataFrame:

@@ -79,13 +79,13 @@ boxes AS (SELECT i * 2 + j AS box, greatest(0, i * (nrows // 2) - 2) AS r0, CASE
 grid AS (SELECT DISTINCT pixel, row, col FROM frames)"""
 
 
-def _tiled(f: DataFrame) -> DataFrame:
-    return stack.tile(f.select("pixel", "row", "col").distinct(), stack.tiles(_size(f)[0], 15, 2, 2))
+def _tiled(f: DataFrame, closed: bool = False) -> DataFrame:
+    return stack.tile(f.select("pixel", "row", "col").distinct(), stack.tiles(_size(f)[0], 15, 2, 2), closed)
 
 
 _on_frames("spatial_boxes", lambda f: _tiled(f).select("box", "pixel"), "SELECT CAST(box AS BIGINT) AS box, pixel FROM grid JOIN boxes ON row >= r0 AND row < r1 AND col >= c0 AND col < c1", _BOXES)
 _on_frames("box_remap", lambda f: stack.image_pixel(stack.box_pixel(_tiled(f)), 15).select("box", "pixel", "box_pixel", "image_pixel"), "SELECT CAST(box AS BIGINT) AS box, pixel, (row - r0) * (c1 - c0) + col - c0 AS box_pixel, pixel AS image_pixel FROM grid JOIN boxes ON row >= r0 AND row < r1 AND col >= c0 AND col < c1", _BOXES)
-_on_frames("point_in_box", lambda f: _tiled(f).groupBy("pixel").agg(F.count("*").alias("n_boxes")), "SELECT pixel, count(*) AS n_boxes FROM grid JOIN boxes ON row >= r0 AND row < r1 AND col >= c0 AND col < c1 GROUP BY pixel", _BOXES)
+_on_frames("point_in_box", lambda f: _tiled(f, True).groupBy("pixel").agg(F.count("*").alias("n_boxes")), "SELECT pixel, count(*) AS n_boxes FROM grid JOIN boxes ON row >= r0 AND row <= r1 AND col >= c0 AND col <= c1 GROUP BY pixel", _BOXES)
 _on_frames("mosaic", lambda f: stack.mosaic(_tiled(f), _size(f)[0], 15, 2).select("box", "pixel"), "SELECT CAST(CASE WHEN nrows < 2 THEN 1 ELSE least(row // (nrows // 2), 1) END * 2 + least(col // 7, 1) AS BIGINT) AS box, pixel FROM grid, size", _BOXES)
 _MASK = ",\nmask AS (SELECT DISTINCT pixel FROM frames WHERE (row + col) % 3 <> 0)"
 
@@ -243,7 +243,15 @@ _SC = "SELECT (SELECT count(*) FROM mt) / (SELECT count(*) FROM ca) AS r, (SELEC
 _on_frames("eval_centers", lambda f: evaluate.centre_scores(regions.shape(_a(f)), regions.shape(_b(f)), 2.0).select(R6("recall"), R6("precision")), f"SELECT round(r, 6) AS recall, round(p, 6) AS precision FROM ({_SC})", REGION, _CEN)
 _on_frames("eval_f1", lambda f: evaluate.centre_scores(regions.shape(_a(f)), regions.shape(_b(f)), 2.0).select("f1"), f"SELECT CASE WHEN r + p = 0 THEN 0.0 ELSE round(2 * r * p / (r + p), 4) END AS f1 FROM ({_SC})", REGION, _CEN)
 _on_frames("eval_shapes", lambda f: evaluate.shape_scores(_match(f), _a(f), _b(f)).select(R6("inclusion"), R6("exclusion")), "SELECT round(avg(coalesce(shared, 0) / sa.n), 6) AS inclusion, round(avg(coalesce(shared, 0) / sb.n), 6) AS exclusion FROM mt LEFT JOIN ov USING (a, b) JOIN sa ON sa.roi = mt.a JOIN sb ON sb.roi = mt.b", REGION, _CEN, _OV)
-register("param_grid", lambda s, d: evaluate.parameter_grid(s, {"median": [False, True], "size": [3, 5, 7], "metric": ["l2", "cosine"]}), "SELECT row_number() OVER (ORDER BY m, s, k) - 1 AS config, m = 1 AS median, s AS size, CASE k WHEN 0 THEN 'l2' ELSE 'cosine' END AS metric FROM (VALUES (0),(1)) a(m), (VALUES (3),(5),(7)) b(s), (VALUES (0),(1)) c(k)")
+register(
+    "param_grid", lambda s, d: evaluate.grid_by(
+        src.event_frames(s, d, True).groupBy("trial").agg(F.expr("percentile(v, array(0.5, 0.9))").alias("levels")), {"median": [False, True], "size": [3, 5, 7], "level": [0, 1]}
+    ).select("trial", "config", "median", "size", R6(F.get("levels", "level"), "threshold")),
+    """WITH tf AS (SELECT event_type AS trial, round(sum(value), 4) AS v FROM events GROUP BY event_type, user_id, date_diff('day', TIMESTAMP '2024-01-01', ts)),
+p AS (SELECT trial, quantile_cont(v, 0.5) AS low, quantile_cont(v, 0.9) AS high FROM tf GROUP BY trial)
+SELECT trial, CAST(m * 6 + s * 2 + k AS BIGINT) AS config, m = 1 AS median, 3 + 2 * s AS size, round(CASE k WHEN 0 THEN low ELSE high END, 6) AS threshold
+FROM p, (VALUES (0),(1)) a(m), (VALUES (0),(1),(2)) b(s), (VALUES (0),(1)) c(k)""",
+)
 register("frames_months", lambda s, d: stack.project(src.part_frames(s, d), "mean").select("pixel", R6("mean")), "SELECT pixel, round(avg(v), 6) AS mean FROM (SELECT CAST(l_partkey % 400 AS BIGINT) AS pixel, (year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS frame, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL) GROUP BY pixel")
 
 # Kernels that SQL can't express

@@ -19,5 +19,5 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
         ORACLES[name] = oracle
 
 
-from fluxgrid.plans import grid_queries, session_queries  # noqa: E402, F401
+from fluxgrid.plans import grid_queries, relation_queries, session_queries  # noqa: E402, F401
 

@@ -130,7 +130,7 @@ def _kinds(f: DataFrame) -> DataFrame:
     return traces.all_kinds(_a(f), regions.ring(_odd(f), _size(f)[0], 15, 2), f)
 
 
-_on_frames("traces_all", lambda f: _kinds(f).select("kind", "roi", "frame", F.round("v", 4).alias("v")), "SELECT kind, roi, frame, round(v, 4) AS v FROM nine", REGION, TRACE, _DIL, _RING, _KINDS)
+_on_frames("traces_all", lambda f: _kinds(f).select("kind", "roi", "frame", R6("v")), "SELECT kind, roi, frame, round(v, 6) AS v FROM nine", REGION, TRACE, _DIL, _RING, _KINDS)
 _on_frames(
     "scale_by_first", lambda f: traces.scale_by_first(_kinds(f), "mean").select("kind", "roi", "frame", F.round("y", 4).alias("y")),
     "SELECT kind, roi, frame, round(v / s, 4) AS y FROM nine JOIN (SELECT roi, 6 * stddev_pop(v) AS s FROM nine WHERE kind = 'mean' GROUP BY roi) USING (roi)",

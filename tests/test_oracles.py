@@ -12,7 +12,7 @@ from fluxgrid.plans import registry
 def rows(df):
     out = []
     for r in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("null" if pd.isna(v) else round(float(v), 4) + 0.0 if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("null" if pd.isna(v) else round(float(v), 6) + 0.0 if isinstance(v, float) else str(v) for v in r))
     return sorted(out, key=str)
 
 
@@ -32,4 +32,4 @@ def test_query(spark, sf_dir, duck, name):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         for u, v in zip(x, y):
-            assert u == v or isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1e-3 * max(1, abs(u)), (x, y)
+            assert u == v or isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 2e-9 * max(1, abs(u)), (x, y)
