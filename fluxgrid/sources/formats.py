@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,10 @@ def write_pages(pages: np.ndarray) -> bytes:
     return tiff.write(pages)
 
 
-def tiff_frames(spark: SparkSession, path: str, one_stack: bool = False, offset: float | None = None, tolerance: float = 4000.0) -> DataFrame:
+def tiff_frames(spark: SparkSession, path: str, one_stack: bool = False, offset: float | None = None, tolerance: float = 4000.0, trials: list[str] | None = None, between: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """frames(trial, frame, row, col, pixel, v) of a TIFF or a folder of them, a range of pages being a task.
 
+    Of the files only those named in trials are read, and of their frames those from between[0] to between[1], where given.
     A file is a trial; with one_stack the files of a folder, in order of their names, are one stack in time, without a trial. If an
     offset is given (2 ** 15, say) and the first frame's mean is within the tolerance of it, the offset is taken off, not below 0.
     """
@@ -45,9 +47,13 @@ def tiff_frames(spark: SparkSession, path: str, one_stack: bool = False, offset:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         frames = files.select("path", "content").mapInPandas(_whole_files, tiff.SCHEMA)
     else:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         spark.dataSource.register(tiff.TiffSource)
-        frames = spark.read.format("tiff_pages").load(path)
+        wanted = {"trials": json.dumps(trials) if trials is not None else None, "first": between[0], "last": between[1]}
+        frames = spark.read.format("tiff_pages").options(**{k: v for k, v in wanted.items() if v is not None}).load(path)
+    if trials is not None:
+        frames = frames.where(F.col("trial").isin(trials))
+    if between != (None, None):
+        frames = frames.where(F.col("frame").between(between[0] or 0, between[1] if between[1] is not None else 1 << 62))
     if one_stack:
         frames = join_trials(frames)
     if offset is not None:
@@ -86,7 +92,7 @@ def read_regions(lines: DataFrame, ncols: int, row0: int = 0, col0: int = 0) ->
 
 def write_stack(frames: DataFrame, path: str) -> None:
     """A stack by trial, so that a read of some trials reads no others; FRAMES frames of a trial are a file, written by one task."""
-    parts = frames.withColumn("__part", F.expr(f"frame div {FRAMES}")).repartition("trial", "__part")
+    parts = frames.withColumn("__part", F.expr(f"frame div {FRAMES}")).repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "trial", "__part")
     parts.sortWithinPartitions("trial", "__part", "frame", "row", "col").drop("__part").write.partitionBy("trial").mode("overwrite").parquet(path)
 
 

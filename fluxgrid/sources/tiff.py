@@ -1,12 +1,13 @@
 """TIFF and BigTIFF stacks: pages of strips, plain, LZW, Deflate or PackBits, as a data source with a partition for a range of pages.
 
-The driver reads the page directories alone; a task reads the strips of its own pages. Filters on trial and frame leave out files and
-pages before anything is read, if the session pushes filters to Python sources (spark.sql.python.filterPushdown.enabled).
+The driver reads the page directories alone; a task reads the strips of its own pages. Options choose files and pages before any
+sample is read.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fluxgrid.sources.files import matching, store
 
@@ -175,30 +176,21 @@ class PageRange(InputPartition):
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str, samples: int):
-        self.path, self.samples, self.wanted = path, samples, []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes what speaks of trial and frame; Spark still applies every filter to the rows."""
-        tests = {EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b}
-        for f in filters:
-            if type(f) in tests and getattr(f, "attribute", None) in (("trial",), ("frame",)):
-                self.wanted.append((f.attribute[0], tests[type(f)], f.value))
-            yield f
-
-    def _wants(self, name: str, value) -> bool:
-        return all(test(value, other) for column, test, other in self.wanted if column == name)
+    def __init__(self, path: str, samples: int = SAMPLES, trials: list[str] | None = None, first: int = 0, last: int | None = None):
+        self.path, self.samples, self.trials, self.first, self.last = path, samples, trials, first, last
 
     def partitions(self) -> list[PageRange]:
         files, _ = store(self.path)
         out = []
         for x in matching(self.path, ".tif", ".tiff"):
-            if not self._wants("trial", x.rsplit("/", 1)[-1]):
+            if self.trials is not None and x.rsplit("/", 1)[-1] not in self.trials:
                 continue
             with files.open_input_file(x) as f:
                 held, size = [], 0
                 for k, (at, page) in enumerate(places(f)):
-                    if self._wants("frame", k):
+                    if self.last is not None and k > self.last:
+                        break
+                    if k >= self.first:
                         held.append((k, at))
                         size += page.rows * page.cols
                     if size >= self.samples:
@@ -221,8 +213,11 @@ class Reader(DataSourceReader):
 
 
 class TiffSource(DataSource):
-    """spark.read.format("tiff_pages").load(path): the frames of a file, or of all .tif and .tiff files of a folder. Option samples: how
-    many a partition has, about."""
+    """spark.read.format("tiff_pages").load(path): the frames of a file, or of all .tif and .tiff files of a folder.
+
+    Options: samples, how many a partition has, about; trials, a JSON list of file names; first and last, the frames to read. They stand
+    for pushed filters: Spark 4.1 keeps the filters of one query of a Python source for the next query of the same DataFrame.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -232,4 +227,5 @@ class TiffSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"], int(self.options.get("samples", SAMPLES)))
+        o = self.options
+        return Reader(o["path"], int(o.get("samples", SAMPLES)), json.loads(o["trials"]) if "trials" in o else None, int(o.get("first", 0)), int(o["last"]) if "last" in o else None)
