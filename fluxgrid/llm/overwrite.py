@@ -58,12 +58,20 @@ def latest(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(order).alias("__last")).select(*(F.col(c) if c in keys else F.col(f"__last.row.`{c}`").alias(c) for c in rows.columns))
 
 
+def unused(columns: list[str]) -> str:
+    """A beginning that none of the names has, whatever their case."""
+    start = "__"
+    while any(c.lower().startswith(start) for c in columns):
+        start += "_"
+    return start
+
+
 class Layout:
     """Files of `per_file` rows a day in one folder, named d<day>-<number>.parquet."""
 
     def __init__(self, scratch: common.Scratch, folder: str, like: DataFrame, key: str, at: str, per_file: int):
         self.scratch, self.spark, self.folder, self.key, self.at, self.per_file = scratch, scratch.spark, folder, key, at, per_file
-        self.schema = like.schema
+        self.schema, self.own = like.schema, unused(like.columns)
         self._path = self.spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(folder))
@@ -78,24 +86,25 @@ class Layout:
         return self.spark.read.schema(self.schema).parquet(self.folder)
 
     def numbered(self, rows: DataFrame) -> DataFrame:
-        """rows with __file, the name of a row's file from its day and number."""
-        columns = rows.columns
-        ranged = rows.withColumn("__day", day_of(rows, self.at)).repartitionByRange("__day", self.at, self.key)
-        ranged = ranged.sortWithinPartitions("__day", self.at, self.key).withColumn("__seq", F.monotonically_increasing_id())
-        ranged = self.scratch.put(ranged.withColumn("__range", F.shiftright("__seq", 33)), f"ranged-{uuid.uuid4().hex}")
-        starts = ranged.groupBy("__range", "__day").agg(F.min("__seq").alias("__first"), F.count("*").alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.partitionBy("__day").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = starts.select("__range", "__day", (before - F.col("__first")).alias("__shift"))
-        placed = ranged.join(F.broadcast(starts), ["__range", "__day"])  # a row for each range and each day's first
-        return placed.select(*(F.col(f"`{c}`") for c in columns), F.format_string("d%d-%06d", "__day", F.expr(f"(__seq + __shift) div {self.per_file}")).alias("__file"))
+        """rows with the name of each row's file, from its day and number, in a last column."""
+        columns, (day, seq, part, shift, file) = rows.columns, (f"{self.own}{x}" for x in ("day", "seq", "range", "shift", "file"))
+        ranged = rows.withColumn(day, day_of(rows, self.at)).repartitionByRange(day, self.at, self.key)
+        ranged = ranged.sortWithinPartitions(day, self.at, self.key).withColumn(seq, F.monotonically_increasing_id())
+        ranged = self.scratch.put(ranged.withColumn(part, F.shiftright(seq, 33)), f"ranged-{uuid.uuid4().hex}")
+        starts = ranged.groupBy(part, day).agg(F.min(seq).alias("first"), F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(day).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = starts.select(part, day, (before - F.col("first")).alias(shift))
+        placed = ranged.join(F.broadcast(starts), [part, day])  # a row for each range and each day's first
+        name = F.format_string("d%d-%06d", day, F.expr(f"({seq} + {shift}) div {self.per_file}"))
+        return placed.select(*(F.col(f"`{c}`") for c in columns), name.alias(file))
 
     def stage(self, rows: DataFrame) -> str:
         """Writes the files of these rows' days into a new folder inside the layout's; returns it."""
-        folder = f"{self.folder}/_staged-{uuid.uuid4().hex}"
+        folder, file = f"{self.folder}/_staged-{uuid.uuid4().hex}", f"{self.own}file"
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # a number keeps small files from all being merged into one task
-        dealt = self.numbered(rows).repartition(tasks, "__file").sortWithinPartitions("__file", self.at, self.key)
+        dealt = self.numbered(rows).repartition(tasks, file).sortWithinPartitions(file, self.at, self.key)
         # files are moved after the whole job only, so that tasks may commit theirs one by one
-        dealt.write.option("maxRecordsPerFile", 0).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("__file").parquet(folder)
+        dealt.write.option("maxRecordsPerFile", 0).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(file).parquet(folder)
         return folder
 
     def settle(self, staged: str, gone: list[str] = ()) -> None:
@@ -103,9 +112,9 @@ class Layout:
         for x in gone:
             self._fs.delete(self._path(x), False)
         moves = []
-        for x in self._fs.globStatus(self._path(f"{staged}/__file=*/*.parquet")):
+        for x in self._fs.globStatus(self._path(f"{staged}/{self.own}file=*/*.parquet")):
             x = str(x.getPath().toString())
-            moves.append((x, f"{self.folder}/{re.search(r'/__file=([^/]*)/', x)[1]}.parquet"))
+            moves.append((x, f"{self.folder}/{re.search(f'/{self.own}file=([^/]*)/', x)[1]}.parquet"))
         for x, to in moves:
             if not self._fs.rename(self._path(x), self._path(to)):
                 raise OSError(f"{x} can't be moved to {to}")
@@ -115,14 +124,15 @@ class Layout:
         """Brings in late rows, one for each key, each later than what the layout has; returns the days rewritten."""
         start = self.files()
         late = self.scratch.put(late, f"late-{uuid.uuid4().hex}")
-        keys = late.select(F.col(self.key).alias("__key"))
-        kept = self.read().select(F.col(self.key).alias("__id"), _day_in_path().alias("__day"))
-        maybe = passing(kept, "__id", self.scratch.put(bloom(keys, "__key"), f"bloom-{uuid.uuid4().hex}"))
-        hit = maybe.join(keys, F.col("__id").eqNullSafe(F.col("__key")), "left_semi").select("__day")
+        same = F.col(self.key).eqNullSafe(F.col(f"{self.own}key"))
+        keys = late.select(F.col(self.key).alias(f"{self.own}key"))
+        kept = self.read().select(F.col(self.key), _day_in_path().alias("__day"))
+        maybe = passing(kept, self.key, self.scratch.put(bloom(keys, f"{self.own}key"), f"bloom-{uuid.uuid4().hex}"))
+        hit = maybe.join(keys, same, "left_semi").select("__day")
         days = hit.union(late.select(day_of(late, self.at).alias("__day"))).distinct()
         changed = [r[0] for r in days.toLocalIterator()]
         gone = [x for x, d in start.items() if d in changed]
-        stay = self.read().where(_day_in_path().isin(changed)).join(keys, F.col(self.key).eqNullSafe(F.col("__key")), "left_anti")
+        stay = self.read().where(_day_in_path().isin(changed)).join(keys, same, "left_anti")
         self.settle(self.stage(stay.unionByName(late)), gone)
         return sorted(changed)
 
@@ -203,11 +213,11 @@ def overwrite_late(sales: DataFrame, cut_us: int, files: int = 700) -> DataFrame
     per_file = 1 + sales.count() // files
     rows = with_copies(sales)
     early = F.coalesce(micros(rows, "arrived_at") < cut_us, F.lit(False))
-    names = sales.columns
-    last = scratch.put(latest(rows.withColumn("__early", early), ["__early", "sale_id"], "arrived_at"), "latest")
+    names, soon = sales.columns, f"{unused(sales.columns)}early"
+    last = scratch.put(latest(rows.withColumn(soon, early), [soon, "sale_id"], "arrived_at"), "latest")
     layout = Layout(scratch, folder, sales, "sale_id", "sold_at", per_file)
-    layout.settle(layout.stage(last.where("__early").select(*(F.col(f"`{c}`") for c in names))))
-    changed = layout.overwrite(last.where("not __early").select(*(F.col(f"`{c}`") for c in names)))
+    layout.settle(layout.stage(last.where(soon).select(*(F.col(f"`{c}`") for c in names))))
+    changed = layout.overwrite(last.where(f"not {soon}").select(*(F.col(f"`{c}`") for c in names)))
     final = layout.read()
     if not layout.files():
         return spark.createDataFrame([], RESULT)
