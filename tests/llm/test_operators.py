@@ -324,6 +324,23 @@ def test_op5_descent_is_stable(n, seed):
     assert model.predict("12 34") == model.predict("") == model.predict(None) == ("und", 0.0)
 
 
+def test_op5_learns_a_language_without_spaces(spark):
+    letters = [chr(0x3042 + k) for k in range(60)]
+    rows = [(i, "".join(rng.choice(letters, 2400)), "ja") for i in range(6)] + [(i, prose(400), "en") for i in range(6, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = [r for b in langid._chunks(iter(docs.where("doc_id = 0").toArrow().to_batches())) for r in b.to_pylist()]
+    assert "".join(r["part"] for r in sorted(pieces, key=lambda r: r["at"])) == rows[0][1]  # nothing is left out
+    model = langid.fit(docs)
+    assert model.langs == ["en", "ja"]
+    assert model.predict("".join(rng.choice(letters, 300)))[0] == "ja" and model.predict(prose(50))[0] == "en"
+
+
+def test_op5_rows_of_one_id_keep_their_languages(spark):
+    docs = spark.createDataFrame([(1, "aaa bbb " * 60, "x"), (1, "ccc ddd " * 60, "y"), (2, "aaa bbb " * 60, "x"), (3, "ccc ddd " * 60, "y")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.predict("aaa bbb aaa")[0] == "x" and model.predict("ccc ddd ccc")[0] == "y"
+
+
 def test_op5_prediction_is_the_mean_of_embeddings():
     """A text's logits are the mean over its subwords, taken one by one; ties go to the language that sorts first."""
     model = langid.train(*lang_chunks(200, 6))
