@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxgrid.operators import demix, edges, extract, graph, neighbours, regions, spectrum, traces
+from fluxgrid.plans import pipeline
 from fluxgrid.sources import tables as src
 
 G = np.mgrid[:24, :24]
@@ -301,3 +302,19 @@ def test_correlation_by_blocks(spark, block):
                 assert got[a, b] is None
             else:
                 assert got[a, b] == pytest.approx(np.corrcoef(x[a, both], x[b, both])[0, 1], abs=1e-9)
+
+
+def test_large_tiles_have_the_spectra_of_small_ones(spark, monkeypatch):
+    """The run's spectra by relations are those of one task a tile."""
+    rng = np.random.default_rng(3)
+    r, c = np.mgrid[:10, :10]
+    data = rng.normal(0, 0.05, (10, 10, 30)) + sum(((r - a) ** 2 + (c - b) ** 2 <= 5)[..., None] * rng.random(30) for a, b in ((2, 2), (7, 6)))
+    i, t = np.divmod(np.arange(3000), 30)
+    frames = spark.createDataFrame(pd.DataFrame({"pixel": i, "row": i // 10, "col": i % 10, "frame": t, "v": data.ravel()}))
+    config = pipeline.Config.load('{"eigen": {"num_eig": 4, "knn": 20, "normalize_w_k": 12}}')
+    one = pipeline.spectra(frames, config, pipeline.Shape(10, 10, 30)).orderBy("pixel").toPandas()
+    monkeypatch.setattr(pipeline, "TILE_PIXELS", 50)
+    many = pipeline.spectra(frames, config, pipeline.Shape(10, 10, 30)).orderBy("pixel").toPandas()
+    assert one.pixel.tolist() == many.pixel.tolist() and (one.box == many.box).all()
+    for x, y in zip(np.stack(one.x).T, np.stack(many.x).T):
+        assert min(abs(x - y).max(), abs(x + y).max()) < 1e-2 * abs(x).max()
