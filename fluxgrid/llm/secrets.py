@@ -3,7 +3,8 @@
 Three fixed patterns give the base spans. The lexer reads a text as source or configuration: strings with escapes, triple and
 back quotes, unquoted values, comments (whose inside is read as statements of its own), calls and subscripts. It yields
 name-literal pairs (``name = "literal"``, ``name: type = "literal"``, ``"name": literal``, ``name := "a" + "b"``,
-``set_name("literal")``, ``env["name"] = "literal"``, ``<name>literal</name>``), follows names that are given to other names
+``set_name("literal")``, ``env["name"] = "literal"``, ``name = ["literal", "literal"]``, ``name = get("x", "literal")``,
+``<name>literal</name>``), follows names that are given to other names
 anywhere in the text (``api_token = a`` before or after ``a = "xyz"``), and scores every literal by how sensitive its target
 names are and by how random the literal looks. Literals at or above ``MIN_SCORE`` add spans of kind ``pair``; a concatenation is
 one literal from its first to its last string. Blocks of private keys are pairs whatever their name.
@@ -44,11 +45,12 @@ MIN_SCORE = 4.0
 #: Literals shorter than this hold no secret.
 MIN_LITERAL = 8
 
-#: Strings may be of any length and hold escaped quotes; every branch is linear in what it reads.
+#: Strings may be of any length and hold escaped quotes; every branch is linear in what it reads. A quote behind a letter or a digit is
+#: an apostrophe or a measure and opens no string, but for the prefixes of strings.
 TOKEN = re.compile(
     r"""(?P<comment>(?<!\S)\#|(?<![:\S])//|/\*|\*/)
     |(?P<triple>\"\"\".*?\"\"\"|\'\'\'.*?\'\'\')
-    |(?P<str>"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\\n]*(?:\\.[^`\\\n]*)*`)
+    |(?P<str>(?<![A-Za-z0-9])(?:[bBrRuUfF]{1,2}(?=["'])(?!\"\"\"|\'\'\'))?(?:"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`\\\n]*(?:\\.[^`\\\n]*)*`))
     |(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*)
     |(?P<op>:=|=>|==|!=|[=:])
     |(?P<num>[0-9][A-Za-z0-9+/_.=-]*)
@@ -63,9 +65,10 @@ TOKEN = re.compile(
 BARE = re.compile(r"[\x20\t]*([A-Za-z0-9+/_.=~$-]+)")
 #: Where statements begin that may hold a pair: at assignments, and at calls and subscripts with a string.
 MARK = re.compile(r"""[=:]|[A-Za-z0-9_$]\(\s*["'`]""")
-#: Characters before a mark and behind it that the lexer reads, at least; a name, a string or a concatenation is read whole.
-BACK, AHEAD = 128, 4200
-PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", re.DOTALL)
+#: Characters behind a mark that the lexer reads, at least, unless the line ends; it begins at the line's start, outside of any string of the
+#: line, and a name, a string or a concatenation is read whole.
+AHEAD = 4200
+PRIVATE, PRIVATE_END = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"), re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY-----")
 #: ``<name>literal</name>``, and the tags of ``<x name="name" value="literal"/>`` and ``<x name="name">literal</x>``.
 ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>([^<>]*)</\1\s*>")
 TAG = re.compile(r"<[A-Za-z_][^<>]*>(?:([^<>]*)</)?")
@@ -75,9 +78,9 @@ PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 def name_score(name: str) -> float:
-    """Sum of the weights of the words of a name in snake, kebab, dotted or camel case."""
+    """Sum of the weights of the words of a name in snake, kebab, dotted or camel case, plural or not."""
     parts = [p.lower() for p in PART.findall(name)]
-    score = sum(NAME_WEIGHTS.get(p, 0.0) for p in parts)
+    score = sum(NAME_WEIGHTS.get(p, NAME_WEIGHTS.get(p.removesuffix("s"), 0.0)) for p in parts)
     return score + sum(NAME_WEIGHTS.get(a + b, 0.0) for a, b in zip(parts, parts[1:]))
 
 
@@ -94,13 +97,13 @@ def literal_score(literal: str) -> float:
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of a text around its marks, in order and apart."""
     spans: list[tuple[int, int]] = []
+    line = seen = 0
     for m in MARK.finditer(text):
-        a, b = max(0, m.start() - BACK), min(len(text), m.end() + AHEAD)
+        eol = text.rfind("\n", seen, m.start())
+        line, seen = (eol + 1 if eol >= 0 else line), m.start()
+        a, b = line, min(len(text), m.end() + AHEAD)
         eol = text.find("\n", m.end(), b)
         b = b if eol < 0 else eol + 1
-        until = spans[-1][1] if spans else 0
-        while a > until and (text[a - 1].isalnum() or text[a - 1] in "_.$-"):
-            a -= 1
         if spans and a <= spans[-1][1]:
             spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
@@ -108,6 +111,15 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def private_keys(text: str) -> list[tuple[int, int]]:
+    """Blocks from a beginning to the next end, each character read once."""
+    out, at = [], 0
+    while (m := PRIVATE.search(text, at)) and (e := PRIVATE_END.search(text, m.end())):
+        out.append((m.start(), e.end()))
+        at = e.end()
+    return out
+
+
 class Reader:
     """Reads statements of a text into literals given to names, and names given to names."""
 
@@ -119,7 +131,20 @@ class Reader:
     def inner(self, m: re.Match) -> tuple[int, int, str]:
         """Place and characters of a string without its quotes."""
         k = 3 if m.lastgroup == "triple" else 1
-        return m.start() + k, m.end() - k, m.group()[k:-k]
+        token = m.group()
+        a = m.start() + k + (len(token) - len(token.lstrip("bBrRuUfF")) if k == 1 else 0)
+        return a, m.end() - k, self.text[a : m.end() - k]
+
+    def listed(self, name: str, at: int, between: tuple[str, ...]) -> int:
+        """Gives each string up to the first other token to a name; returns the place behind."""
+        while m := TOKEN.match(self.text, self.blank(at, joined=True)):
+            if m.lastgroup in ("str", "triple"):
+                first, last, literal = self.inner(m)
+                self.given.append((first, last, name, literal.replace("\\", "")))
+            elif m.lastgroup not in between and m.group() != ",":
+                break
+            at = m.end()
+        return at
 
     def value(self, name: str, at: int) -> int:
         """Reads what is given to a name from a place on, and returns the place behind it."""
@@ -139,7 +164,11 @@ class Reader:
                 literal, at = literal + more, m.end()
             self.given.append((first, last, name, literal.replace("\\", "")))
             return at
-        if m and m.lastgroup in ("call", "sub", "end", "comment", "op"):
+        if m and m.lastgroup == "sub":
+            return self.listed(name, m.end(), ())
+        if m and m.lastgroup == "name" and self.text[m.end() : m.end() + 1] == "(":  # what a call gives, or falls back to
+            return self.listed(name, m.end() + 1, ("name", "num", "op"))
+        if m and m.lastgroup in ("call", "end", "comment", "op"):
             return at
         if m := BARE.match(self.text, at):
             literal = m[1].rstrip(".")
@@ -183,26 +212,31 @@ class Reader:
                 called = typed = None
             elif kind == "close":
                 called = None
+            elif token == "\n" and called:
+                name = typed = None  # the literal may stand on the next line
             else:
                 name = called = typed = None
         return at
 
     def pairs(self) -> list[tuple[int, int, str, str]]:
-        """Each literal with every name that it reaches."""
-        out = []
-        for a, b, name, literal in self.given:
-            seen, todo = {name}, [name]
+        """Each literal with the most sensitive name that it reaches; names are gone through once, the most sensitive first."""
+        given_by: dict[str, list[str]] = {}
+        for name, targets in self.alias.items():
+            for t in targets:
+                given_by.setdefault(t, []).append(name)
+        best: dict[str, str] = {}
+        for target in sorted({n for *_, n, _ in self.given} | given_by.keys(), key=lambda n: (-name_score(n), n)):
+            todo = [target]
             while todo:
-                for n in self.alias.get(todo.pop(), ()):
-                    if n not in seen:
-                        seen.add(n)
-                        todo.append(n)
-            out += [(a, b, n, literal) for n in sorted(seen)]
-        return out
+                if (n := todo.pop()) not in best:
+                    best[n] = target
+                    todo += given_by.get(n, ())
+        return [(a, b, best[name], literal) for a, b, name, literal in self.given]
 
 
 def pairs(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, name, literal) of each literal given to a name, directly or over other names before or behind."""
+    """(start, end, name, literal) of each literal given to a name, with the most sensitive of the names that it reaches directly or over
+    other names before or behind."""
     reader, at = Reader(text), 0
     for a, b in stretches(text):
         at = reader.read(max(a, at), b)
@@ -248,7 +282,7 @@ def scan(text: str, raw: bytes) -> tuple[list, list]:
     base = sorted(base_spans(text, raw))
     more = set()
     if b"PRIVATE KEY-----" in raw:
-        more |= {(m.start(), 3, m.end()) for m in PRIVATE.finditer(text)}
+        more |= {(a, 3, b) for a, b in private_keys(text)}
     if any(c in raw for c in (b"=", b":", b"</", b"(")):
         for a, b, name, literal in pairs(text) + (tagged(text) if b"<" in raw else []):
             if name_score(name) + literal_score(literal) >= MIN_SCORE and name_score(name) > 0 and not any(x <= a and b <= y for x, _, y in base):

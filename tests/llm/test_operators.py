@@ -572,6 +572,29 @@ def test_op9_lexer(spark):
         assert found == want, (text, found)
 
 
+def test_op9_lexer_in_prose_lists_and_calls():
+    key = "Zx81kPq90LmN2"
+    forms = [
+        (f"Don't set db_passphrase = '{key}' in the sites' file", [key]), (f'print "{"x" * 300}", db_passphrase = "{key}"', [key]), (f"passphrases = ['{key}', '{key}9']", [key, key + "9"]),
+        (f"set_passphrase(\n    '{key}')", [key]), (f"passphrase = os.environ.get('PP', '{key}')", [key]), ("passphrase = os.environ.get('PP')", []), (f"auth_key = b'{key}'", [key]),
+        (f'5" disk, auth_key = "{key}"', [key]),
+    ]
+    for text, want in forms:
+        found = [text[a:b] for a, _, b in secrets.scan(text, text.encode())[1]]
+        assert found == want, (text, found)
+
+
+def test_op9_is_linear_in_chains_and_blocks():
+    import time
+
+    chain = "v0 = 'Zx81kPq90LmN2'\n" + "".join(f"v{k + 1} = v{k}\n" for k in range(2000)) + "auth_key = v2000\n"
+    blocks = "-----BEGIN RSA PRIVATE KEY-----\n" * 4000
+    began = time.process_time()
+    assert [chain[a:b] for a, _, b in secrets.scan(chain, chain.encode())[1]] == ["Zx81kPq90LmN2"]
+    assert secrets.scan(blocks, blocks.encode())[1] == []
+    assert time.process_time() - began < 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab_k=:\"'`#/*\\\n ()[]+{}", max_size=60))
 def test_op9_lexer_ends(text):
