@@ -285,7 +285,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, component): smallest reachable node, by alternating large-star and small-star steps with a checkpoint each."""
     cur, before = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
     cur = cut_lineage(cur)
-    while True:
+    for _ in range(60):  # every round halves the distances to the smallest node, at least
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         down = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -295,6 +295,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("components did not settle")
     roots = cur.groupBy("a").agg(F.min("b").alias("root"))
     return nodes.select("v").distinct().join(roots, F.col("v") == F.col("a"), "left").select("v", F.coalesce("root", "v").alias("component"))
 

@@ -233,7 +233,7 @@ def settings(config: Config) -> extract.Settings:
     return extract.Settings(
         r["num_rois"], r["max_iter"], r["roi_size_min"], r["roi_size_max"], r["num_eigen_vector_select"],
         r["eigen_threshold_value"] if r["eigen_threshold_method"] else None, r["elbow_threshold_value"] if r["elbow_threshold_method"] else None,
-        r["roi_eccentricity_limit"], r["fill_holes"], r["refinement"], r["area_stop_threshold"], r["local_max_method"] or config.widefield,
+        r["roi_eccentricity_limit"], r["fill_holes"], r["refinement"], r["area_stop_threshold"] if config.widefield else 1.0, r["local_max_method"] or config.widefield,
     )
 
 
