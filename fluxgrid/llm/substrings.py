@@ -10,7 +10,7 @@ records with equal anchors form a group, and only groups of two records or more
 
 Within a task, the texts of some groups are joined and get a suffix array in two stages: suffixes smaller than their successors
 are sorted directly, the others are induced by one scan over the buckets. Common prefixes of neighbours then tell which windows
-are repeated, at both lengths. Equal texts, and equal records of a group, are counted before they are shuffled and sorted once;
+are repeated, at both lengths. Only those smaller suffixes are ever sorted. Equal texts, and equal records of a group, are counted before they are shuffled and sorted once;
 all counts are partial sums that come back by joins. Groups of more than ``HOT`` different records are split: blocks of
 ``BLOCK_WINDOWS`` windows are dealt out again by the bytes that all windows of a block share, then by single windows, so that no
 task holds an unbounded group and no string is missed.
@@ -38,8 +38,10 @@ LENGTH, SHORT, GRAM = 400, 300, 80
 HOT, BLOCK_WINDOWS = 512, 16
 #: Bytes of text that get one suffix array, about.
 CHUNK = 1 << 20
-#: Ranks of a suffix array take this many bits, so that three of them fit one sort key.
+#: Ranks of the suffixes that are sorted take this many bits, so that three of them fit one sort key.
 RANK_BITS = 21
+#: What replaces the bytes behind the first k of a word: 255, which is in no text.
+BEHIND = np.array([(1 << (64 - 8 * k)) - 1 for k in range(9)], np.uint64)
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -158,41 +160,65 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 4096]), _SLICE)], schema=_SLICE)
 
 
-def _names(keys: np.ndarray) -> np.ndarray:
-    """Ranks of keys; equal keys get equal ranks."""
-    order = np.argsort(keys)
-    sorted_ = keys[order]
-    out = np.empty(len(keys), np.uint64)
-    out[order] = np.cumsum(np.concatenate([[0], (sorted_[1:] != sorted_[:-1]).astype(np.int64)])).astype(np.uint64)
-    return out
+def _words(t: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each position as one number, zeros behind the end; one more position for all that lie beyond."""
+    n = len(t)
+    wide = np.concatenate([t, np.zeros(9, np.uint8)]).astype(np.uint64)
+    word = np.zeros(n + 1, np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | wide[i : i + n + 1]
+    return word
 
 
-def suffix_array(t: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
-    """Suffixes of t (bytes, 0 only as a separator, last byte 0) in order of their first 432 bytes at least.
+def _refined(rank: np.ndarray, live: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """Sorts the tied entries `live` by keys (the first one orders most) within their ranks, which are updated; returns those still tied."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    live, keys = live[order], [k[order] for k in keys]
+    edges = lambda *xs: np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in xs])]))
+    group, new = edges(rank[live]), edges(*keys)
+    group_sizes, sizes = np.diff(np.concatenate([group, [len(live)]])), np.diff(np.concatenate([new, [len(live)]]))
+    rank[live] += np.repeat(new, sizes) - np.repeat(group, group_sizes)
+    return live[np.repeat(sizes > 1, sizes)]
 
-    Also the names by which suffixes were compared, with their lengths: ranks of the 216, 72, 24 and 8 bytes at each position, and
-    the 8 bytes themselves. t has less than 2 ** RANK_BITS bytes.
+
+def direct_order(t: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Order of the suffixes at `own`, the positions whose suffix is smaller than its successor. Nothing else is sorted.
+
+    The bytes from one such position to the next are a letter (where one letter begins another, the longer one is smaller, because
+    its suffix falls where the other's rises). Letters are ranked from the text; then suffixes that still tie are compared by
+    the ranks of three times as many letters in each round, until none tie.
     """
+    m, n = len(own), len(t)
+    rank, live = np.zeros(m, np.int64), np.arange(m)
+    word = _words(t)
+    length = np.diff(np.concatenate([own, [own[-1] + n]])) + 1 if m else own  # the last letter runs over the end
+    at = 0
+    while len(live):
+        w = word[np.minimum(own[live] + at, n)] | BEHIND[np.clip(length[live] - at, 0, 8)]
+        live = _refined(rank, live, [rank[live], w] if at else [w])
+        at += 8
+        live = live[length[live] >= at]  # one that ends here is told from longer ones by what stands behind it
+    tied = np.bincount(rank, minlength=m)[rank] > 1 if m else np.zeros(0, bool)
+    live, k = np.flatnonzero(tied), 1
+    ahead = lambda i: np.where(i < m, rank[np.minimum(i, m - 1)], 0)
+    while len(live):
+        live = _refined(rank, live, [(((rank[live] << RANK_BITS) | ahead(live + k)) << RANK_BITS) | ahead(live + 2 * k)])
+        k *= 3
+    out = np.empty(m, np.int64)
+    out[rank] = own
+    return out
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffixes of t (no byte 255, last byte 0 and no smaller one) in order. t has less than 2 ** RANK_BITS bytes."""
     n = len(t)
     if n >= 1 << RANK_BITS:
         raise ValueError(f"a text of {n} bytes is too long for one suffix array")
-    wide = np.concatenate([t, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | wide[i : i + n]
-    ahead = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), x.dtype)])[:n]
-    bits = np.uint64(RANK_BITS)
-    names = [(word, 1), (_names(word), 8)]
-    for k in (8, 24, 72):
-        x = names[-1][0]
-        names.append((_names((((x << bits) | ahead(x, k)) << bits) | ahead(x, 2 * k)), 3 * k))
-    top, span = names[-1]
     # Stage 1: types, then a direct sort of the suffixes that are smaller than their successors.
     change = np.flatnonzero(np.concatenate([t[1:] != t[:-1], [True]]))  # last position of each run of one byte
     rises = np.concatenate([t[1:], [0]])[change] > t[change]
     small = np.repeat(rises, np.diff(np.concatenate([[-1], change])))
-    own = np.flatnonzero(small)
-    own = own[np.argsort(((top << bits) | ahead(top, span))[own])]
+    own = direct_order(t, np.flatnonzero(small))
     # Stage 2: one scan over the buckets of first bytes; each suffix puts its larger predecessor at the front of its bucket.
     sizes = np.bincount(t, minlength=256)
     start = np.concatenate([[0], np.cumsum(sizes)])
@@ -228,31 +254,43 @@ def suffix_array(t: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, int]
             induce(batch)
         if len(tails[c]):
             induce(tails[c])
-    return sa, names[::-1]
+    return sa
 
 
-def common_prefixes(t: np.ndarray, sa: np.ndarray, names: list[tuple[np.ndarray, int]], limit: int = LENGTH) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in sa, up to limit (0 for the first)."""
+def common_prefixes(t: np.ndarray, sa: np.ndarray, limit: int = LENGTH) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it in sa, up to limit (0 for the first).
+
+    A position's common prefix is at most one byte shorter than that of the position before. So every 64th position is compared
+    from its start, and those halfway between known ones from what their left neighbour leaves them.
+    """
     n = len(t)
-    a, b = sa[1:], sa[:-1]
-    out = np.zeros(len(a), np.int64)
-    open_ = np.arange(len(a))
-    for name, k in names[:-1]:
-        live = open_
+    word = _words(t)
+    before = np.full(n, n)
+    before[sa[1:]] = sa[:-1]
+    out = np.zeros(n, np.int64)
+
+    def extend(at: np.ndarray, have: np.ndarray) -> None:
+        other, live = before[at], np.arange(len(at))
         while len(live):
-            x, y = a[live] + out[live], b[live] + out[live]
-            ok = np.maximum(x, y) < n
-            live, x, y = live[ok], x[ok], y[ok]
-            live = live[name[x] == name[y]]
-            out[live] += k
-            live = live[out[live] < limit]
-        open_ = open_[out[open_] < limit]
-    x, y = a[open_] + out[open_], b[open_] + out[open_]
-    ok = np.maximum(x, y) < n
-    open_, differ = open_[ok], names[-1][0][x[ok]] ^ names[-1][0][y[ok]]
-    for i in range(1, 8):
-        out[open_] += differ < np.uint64(1 << (64 - 8 * i))
-    return np.concatenate([[0], np.minimum(out, limit)])
+            x, y = at[live] + have[live], other[live] + have[live]
+            differ = word[np.minimum(x, n)] ^ word[np.minimum(y, n)]
+            whole = differ == 0
+            part, some = live[~whole], differ[~whole]
+            for i in range(1, 8):
+                have[part] += some < np.uint64(1 << (64 - 8 * i))
+            live = live[whole]
+            have[live] += 8
+            live = live[have[live] < limit]
+        out[at] = np.minimum(np.minimum(have, limit), n - np.maximum(at, other))
+
+    step = 64
+    extend(np.arange(0, n, step), np.zeros(-(-n // step), np.int64))
+    while step > 1:
+        half = step // 2
+        at = np.arange(half, n, step)
+        extend(at, np.maximum(out[at - half] - half, 0))
+        step = half
+    return out[sa]
 
 
 def longest_repeats(slices: list[bytes], windows: list[int], limit: int = LENGTH) -> list[np.ndarray]:
@@ -267,11 +305,13 @@ def longest_repeats(slices: list[bytes], windows: list[int], limit: int = LENGTH
     edge[starts] += 1
     np.add.at(edge, starts + np.array(windows), -1)
     asked = np.cumsum(edge[:-1]).astype(bool)
-    sa, names = suffix_array(t)
-    sa = sa[asked[sa]]
-    lcp = common_prefixes(t, sa, names, limit)
+    sa = suffix_array(t)
+    lcp = common_prefixes(t, sa, limit)
+    at = np.flatnonzero(asked[sa])
     most = np.zeros(len(t), np.int64)
-    most[sa] = np.maximum(lcp, np.concatenate([lcp[1:], [0]]))
+    if len(at):
+        between = np.minimum.reduceat(lcp[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else lcp[:0]  # smallest from one asked suffix to the next
+        most[sa[at]] = np.maximum(np.concatenate([[0], between]), np.concatenate([between, [0]]))
     return [most[at : at + n] for at, n in zip(starts.tolist(), windows)]
 
 

@@ -95,6 +95,36 @@ def test_op1_suffix_array(texts, n):
             assert (marked == hit).all()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", max_size=40), min_size=1, max_size=5), st.integers(1, 12), st.integers(1, 9))
+def test_op1_two_stages(texts, repeat, limit):
+    """The suffixes in order, common prefixes by hand, and a direct sort of the smaller suffixes alone."""
+    b = b"".join(bytes(np.repeat(np.frombuffer(x.encode(), np.uint8), repeat)) + b"\0" for x in texts)
+    t = np.frombuffer(b, np.uint8)
+    sa = substrings.suffix_array(t)
+    assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    common_ = [0]
+    for i, j in zip(sa.tolist()[1:], sa.tolist()):
+        k = 0
+        while k < min(limit, len(b) - max(i, j)) and b[i + k] == b[j + k]:
+            k += 1
+        common_.append(k)
+    assert substrings.common_prefixes(t, sa, limit).tolist() == common_
+    own = np.array([i for i in range(len(b) - 1) if b[i:] < b[i + 1 :]], np.int64)
+    assert substrings.direct_order(t, own).tolist() == [i for i in sa.tolist() if i in set(own.tolist())]
+
+
+def test_op1_sorts_smaller_suffixes_only(monkeypatch):
+    """Each sort of the first stage holds those suffixes at most that are smaller than their successors, and later ones only ties."""
+    b = (prose(4000).encode() + b"\0") * 2
+    small = sum(b[i : i + 40] < b[i + 1 : i + 41] for i in range(len(b) - 1))
+    sizes = []
+    refined = substrings._refined
+    monkeypatch.setattr(substrings, "_refined", lambda rank, live, keys: sizes.append(len(live)) or refined(rank, live, keys))
+    substrings.suffix_array(np.frombuffer(b, np.uint8))
+    assert sizes[0] == small < 0.6 * len(b) and max(sizes) == small
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab *#\n\t|", max_size=80))
 def test_op2_counts(text):
