@@ -23,3 +23,24 @@ def test_blocks_beyond_a_thousand_keep_their_numbers(spark):
     assert found.select("roi").distinct().count() == grid._a(f).select("roi").distinct().count() + grid._b(f).select("roi").distinct().count()
     assert regions.shape(found).selectExpr("max(r1 - r0)").first()[0] == 4
     assert sorted(grid._apart(tall(spark, 20)).collect()) == sorted(grid._both(tall(spark, 20)).collect())
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_closest_rows_are_those_of_all_distances(metric):
+    rng = np.random.default_rng(4)
+    y = rng.normal(50, 1, (3000, 16))
+    y[1500:1540] = y[7]  # more copies than places
+    ids = rng.permutation(9000)[:3000]
+    i, j, d = graph.closest(y[:500], ids[:500], y, ids, 6, metric, cells=1 << 16)
+    by = np.argsort(ids)
+    full = graph.pair_distances(np.repeat(y[:500], len(y), 0), np.tile(y[by], (500, 1)), metric).reshape(500, -1)
+    at = np.argsort(full, axis=1, kind="stable")[:, :6]
+    assert (i.reshape(-1, 6) == ids[:500, None]).all() and (j.reshape(-1, 6) == ids[by][at]).all()
+    assert (d.reshape(-1, 6) == np.take_along_axis(full, at, 1)).all()
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_blocks():
+    """A vector is sent once to each block; at 600,000 vectors there were 586 blocks."""
+    assert graph.block_count(600_000, 64, 1024) <= 12 and graph.block_count(3000, 64, 1024) == 3
+    for n, dim in ((10**7, 64), (10**5, 1000)):
+        assert n / graph.block_count(n, dim, 1024) * dim <= graph.BLOCK_NUMBERS
