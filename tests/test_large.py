@@ -44,3 +44,10 @@ def test_copies_of_a_vector_do_not_grow_with_the_blocks():
     assert graph.block_count(600_000, 64, 1024) <= 12 and graph.block_count(3000, 64, 1024) == 3
     for n, dim in ((10**7, 64), (10**5, 1000)):
         assert n / graph.block_count(n, dim, 1024) * dim <= graph.BLOCK_NUMBERS
+
+
+def test_neighbours_are_searched_once_for_a_laplacian(spark, sf_dir, monkeypatch):
+    """Each reader of the neighbours or of the weights had the whole search in its plan again."""
+    for name in ("affinity", "degree", "random_walk", "laplacian"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "embeddings" not in plan and "FlatMapGroupsInArrow" not in plan
