@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from fluxgrid.operators import extract, graph, regions, spectrum, traces
-from fluxgrid.plans import registry
+from fluxgrid.operators import extract, graph, neighbours, regions, spectrum, traces
+from fluxgrid.plans import pipeline, registry
 from fluxgrid.sources import tables as src
 
 grid = registry.grid_queries
@@ -51,3 +51,23 @@ def test_neighbours_are_searched_once_for_a_laplacian(spark, sf_dir, monkeypatch
     for name in ("affinity", "degree", "random_walk", "laplacian"):
         plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "embeddings" not in plan and "FlatMapGroupsInArrow" not in plan
+
+
+def ring(spark, n):
+    """A symmetric graph: each of n vertices with those one and two places on."""
+    e = spark.range(n).selectExpr("id as i", "explode(array(1, 2, -1, -2)) as s").selectExpr("i", f"pmod(i + s, {n}) as j", "1.0D / abs(s) as w")
+    return graph.cut_lineage(e)
+
+
+def test_more_vertices_make_larger_blocks(spark):
+    """With blocks of one size the rows that a product sends grew with the vertices times the blocks."""
+    assert spectrum.Graph(ring(spark, 400), 4).block == 50
+
+
+def test_large_tiles_have_exact_neighbours(spark, monkeypatch):
+    """A descent sends every vector a hundred times a round."""
+    monkeypatch.setattr(neighbours, "descend", None)
+    x = np.random.default_rng(1).normal(size=(60, 5))
+    tiled = spark.createDataFrame([(0, 0, p, v.tolist()) for p, v in enumerate(x)], "box long, step long, pixel long, x array<double>")
+    eigen = {"knn": 8, "metric": "l2", "normalize_w_k": 4, "num_eig": 4, "connections": 5, "accuracy": 8}
+    assert pipeline.large_spectra(tiled, eigen).count() == 60
