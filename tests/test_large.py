@@ -71,3 +71,19 @@ def test_large_tiles_have_exact_neighbours(spark, monkeypatch):
     tiled = spark.createDataFrame([(0, 0, p, v.tolist()) for p, v in enumerate(x)], "box long, step long, pixel long, x array<double>")
     eigen = {"knn": 8, "metric": "l2", "normalize_w_k": 4, "num_eig": 4, "connections": 5, "accuracy": 8}
     assert pipeline.large_spectra(tiled, eigen).count() == 60
+
+
+def test_a_chain_of_overlapping_regions_is_dealt_to_tiles(spark):
+    """One class of 60 blocks, each overlapping the next ones, with 4 rounds: tiles are 16 rows high, and the traces are those of one task."""
+    f = tall(spark, 100, 6)
+    found = grid._both(f)
+    got = extract.denoised_traces(found, f, rounds=4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "tr#" in plan  # the whole class was one group
+    got = got.toPandas().pivot(index="roi", columns="frame", values="v")
+    data = f.toPandas().pivot(index="pixel", columns="frame", values="v").to_numpy()
+    cells = found.toPandas()
+    a = np.zeros((len(got), len(data)))
+    a[np.searchsorted(got.index, cells.roi), cells.pixel] = 1
+    want = extract.demix(data, a, 4, data.mean(0))  # no pixel is free of regions
+    assert len(got) == cells.roi.nunique() and np.allclose(got.to_numpy(), want, rtol=1e-9)
