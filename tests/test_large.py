@@ -87,3 +87,15 @@ def test_a_chain_of_overlapping_regions_is_dealt_to_tiles(spark):
     a[np.searchsorted(got.index, cells.roi), cells.pixel] = 1
     want = extract.demix(data, a, 4, data.mean(0))  # no pixel is free of regions
     assert len(got) == cells.roi.nunique() and np.allclose(got.to_numpy(), want, rtol=1e-9)
+
+
+def test_a_large_single_graph_is_solved_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_VERTICES", 20)
+    monkeypatch.setattr(spectrum, "walk_vectors", lambda edges, k, tolerance: "many tasks")
+    assert graph.eigenvectors(ring(spark, 30), 5) == "many tasks"
+
+
+def test_the_large_spectrum_has_exact_neighbours(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(neighbours, "descend", None)
+    monkeypatch.setattr(spectrum, "walk_vectors", lambda edges, *_, **__: edges.selectExpr("i", "array(w) as x", "array(1.0D, w) as values"))
+    assert registry.QUERIES["large_spectrum"](spark, sf_dir).count() > 0
