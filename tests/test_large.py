@@ -99,3 +99,50 @@ def test_the_large_spectrum_has_exact_neighbours(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(neighbours, "descend", None)
     monkeypatch.setattr(spectrum, "walk_vectors", lambda edges, *_, **__: edges.selectExpr("i", "array(w) as x", "array(1.0D, w) as values"))
     assert registry.QUERIES["large_spectrum"](spark, sf_dir).count() > 0
+
+
+def test_more_tight_groups_than_the_space_is_wide_settle_soon(spark, monkeypatch):
+    """Each group has a value near 1, and those were told apart by products alone; the number of groups grows with the vectors."""
+    n, size = 40, 5
+    inside = spark.range(n).selectExpr("id as g").selectExpr("g", f"explode(sequence(0, {size - 1})) as p").selectExpr("g", "p", f"explode(sequence(0, {size - 1})) as q")
+    inside = inside.where("p <> q").selectExpr(f"g * {size} + p as i", f"g * {size} + q as j", "1.0D as w")
+    links = spark.range(n).selectExpr(f"id * {size} as i", f"pmod(id + 1, {n}) * {size} + 1 as j", "(1 + pmod(id * 7, 11)) * 1e-5D as w")
+    edges = graph.cut_lineage(inside.union(links).union(links.selectExpr("j", "i", "w")))
+    steps, plain = [], spectrum.Graph.step
+    monkeypatch.setattr(spectrum.Graph, "step", lambda *a: steps.append(1) or plain(*a))
+    got = spectrum.walk_vectors(edges, 4, 1e-9, block=64, width=4).orderBy("i").toPandas()
+    cells = edges.toPandas()
+    w = np.zeros((n * size, n * size))
+    w[cells.i, cells.j] = cells.w
+    scale = 1 / np.sqrt(w.sum(1) + 1e-9)
+    a = w * scale[:, None] * scale
+    assert len(steps) <= 20  # 90 products before
+    assert np.abs(np.linalg.eigvalsh(a)[::-1][:4] - got["values"][0]).max() < 1e-9
+    x = np.stack(got.x) / scale[:, None]
+    assert np.linalg.norm(a @ x - x * np.array(got["values"][0])[1:], axis=0).max() < 2e-9
+
+
+def test_of_many_groups_the_looser_ones_are_one(spark, monkeypatch):
+    """The graph of groups that a task solves is bounded; the start gets poorer by it, the result doesn't."""
+    monkeypatch.setattr(spectrum, "GROUPS", 3)
+    one = ring(spark, 12).selectExpr("i", "j", "w", "explode(sequence(0, 4)) as g")
+    found = spectrum.Graph(one.selectExpr("i + 12 * g as i", "j + 12 * g as j", "w * (g + 1) as w"), 32)
+    state = found.coarse(4, 1).toPandas()
+    y = np.concatenate([np.frombuffer(state.y[b]).reshape(-1, 4) for b in np.argsort(state.b)])
+    assert y.shape == (60, 4) and len({tuple(v) for v in y[:, :3] != 0}) == 3
+    assert len(found.groups()[1].collect()) == 5
+
+
+def test_the_kernel_multiplies_32_bit_numbers_and_is_exact(monkeypatch):
+    """Distances that 32 bits can't tell apart, and rows of very different lengths."""
+    rng = np.random.default_rng(8)
+    kinds, plain = set(), np.partition
+    monkeypatch.setattr(np, "partition", lambda z, *a, **b: kinds.add(z.dtype) or plain(z, *a, **b))
+    y = np.concatenate([1 + rng.integers(0, 9, (800, 4)) * 1e-9, rng.normal(size=(200, 4)) * 10.0 ** rng.integers(-9, 6, (200, 1))])
+    ids = rng.permutation(1000)
+    for metric in ("l2", "ip"):
+        _, j, d = graph.closest(y, ids, y, ids, 5, metric, cells=1 << 12)
+        full = graph.pair_distances(np.repeat(y, 1000, 0), np.tile(y[np.argsort(ids)], (1000, 1)), metric).reshape(1000, -1)
+        at = np.argsort(full, axis=1, kind="stable")[:, :5]
+        assert (j.reshape(-1, 5) == at).all() and (d.reshape(-1, 5) == np.take_along_axis(full, at, 1)).all()
+    assert kinds == {np.dtype(np.float32)}
