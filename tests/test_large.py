@@ -146,3 +146,17 @@ def test_the_kernel_multiplies_32_bit_numbers_and_is_exact(monkeypatch):
         at = np.argsort(full, axis=1, kind="stable")[:, :5]
         assert (j.reshape(-1, 5) == at).all() and (d.reshape(-1, 5) == np.take_along_axis(full, at, 1)).all()
     assert kinds == {np.dtype(np.float32)}
+
+
+def test_approximate_neighbours_of_a_bounded_table_are_exact(spark, sf_dir, monkeypatch):
+    """Random vectors of 64 numbers have no close ones: at 51,282 vectors the descent found 0.76 of the nine, and sent 160 KB a vector."""
+    monkeypatch.setattr(neighbours, "descend", None)
+    got = registry.QUERIES["knn_approx"](spark, sf_dir)
+    want = graph.nearest(src.vectors(spark, sf_dir), 10).selectExpr("i", "j", "round(d, 5) as d", "cast(rank as long) as rank")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_approximate_neighbours_of_larger_tables_are_found_by_descent(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(pipeline, "EXACT_PIXELS", 400)
+    got = registry.QUERIES["knn_approx"](spark, sf_dir)
+    assert neighbours.recall(got, graph.nearest(src.vectors(spark, sf_dir), 10)).first()[0] >= 0.9
